@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .language import op4_language_id
 from .licenses import op7_license_scans
 from .media import op9_media_columns
+from .packing import op5_best_fit_packing
 from .quality import op1_quality_rules
 from .secrets import op6_secret_scans
+from .urls import op10_sql, op10_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_secret_scans, op7_license_scans, op8_byte_bpe, op9_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_language_id, op5_best_fit_packing, op6_secret_scans, op7_license_scans, op8_byte_bpe, op9_media_columns, op10_url_filters)}
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": op10_sql()}
