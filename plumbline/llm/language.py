@@ -6,7 +6,7 @@ languages; a text's probabilities are the mean over its positions. Equal segment
 segment of a batch is run once and counts as often as it occurs: whole texts are read at the cost of their vocabulary.
 
 The network is trained on the driver by backpropagation through time, in numpy, from segments of a bounded sample of
-labelled documents (documented parameters below). Null texts and texts without a letter are `und` with score 0; so is
+labelled documents (documented parameters below; the most frequent segments of the sampled documents). Null texts and texts without a letter are `und` with score 0; so is
 everything if nothing is labelled. Ties go to the language that sorts first. Each row is judged alone.
 """
 
@@ -25,9 +25,9 @@ from .common import annotate, read_table, split_words, sums_by_text, tuned, whol
 #: Labelled documents of a language and distinct segments that train the network: what the driver collects at most.
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 300, 40_000
 #: States of each direction, bytes of a segment, segments of a step, passes over the sample, step size.
-HIDDEN, SPAN, BATCH, EPOCHS, RATE = 16, 24, 512, 6, 0.01
+HIDDEN, SPAN, BATCH, EPOCHS, RATE = 20, 24, 512, 6, 0.01
 #: Least score of a document that the pipeline keeps.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 UNDETERMINED = "und"
 
 _LETTERS = np.full(256, 32, np.uint8)
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     chosen = labelled.select("lang", "id").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     texts = labelled.join(F.broadcast(chosen.distinct()), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
     counted = texts.mapInArrow(_segment_counts, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.xxhash64("lang", "run"), "lang", "run").limit(sample_segments).toArrow()
+    rows = counted.orderBy(F.desc("n"), F.xxhash64("lang", "run"), "lang", "run").limit(sample_segments).toArrow()
     if not rows.num_rows:
         return None, []
     names = sorted(set(rows["lang"].to_pylist()))
