@@ -277,7 +277,7 @@ def _write_triples(table: pa.Table, trie: Trie) -> pa.Table:
     back = np.ones(nodes)
     back[place] = 1 - share
     inner = trie.pairs(second[kept], third[kept])
-    p = (counts[kept] - DISCOUNT) / total[context[kept]] + (1 - share)[context[kept]] * 10 ** (-inner["code"] / STEPS)
+    p = (counts[kept] - DISCOUNT) / total[context[kept]] + (1 - share)[context[kept]] * 10 ** (inner["code"] / -STEPS)
     value = place[context[kept]].astype(U64) * U64(trie.successors) + inner["rank"].astype(U64)
     order = np.argsort(value)
     arrays = {"code": code(p)[order], "back": code(back)} | {f"child.{k}": a for k, a in encode(value[order], nodes * trie.successors).items()}

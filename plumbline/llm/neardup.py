@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, hash_strings, mix, ngram_hashes, read_table, split_words, tuned, whole, written
+from .common import U64, fresh, hash_strings, mix, ngram_hashes, read_table, sized_ids, split_words, tuned, whole, written
 
 BANDS, ROWS = 40, 5
 #: A coordinate value holds the round above and the hash below.
@@ -299,6 +299,26 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str
     return found.select("doc", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those whose component has a smaller id, one row for each id; rows without an id stay.
+
+    Only the ids that go and the ids of several rows are joined to docs: broadcast if they are few (counted), by a
+    shuffle otherwise.
+    """
+    found = written(near_duplicates(docs, w, percent, id_col, text_col).select("doc", "component_id"), "components")
+    gone, few = sized_ids(found.where(F.col("doc") != F.col("component_id")).select("doc"), BROADCAST_CLASSES)
+    key = fresh(docs.columns, "gone")
+    gone = gone.select(F.col("doc").alias(key))
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col(key), "left_anti")
+    several = written(found.groupBy("doc").count().where("count > 1").select(F.col("doc").alias(key)), "repeated")
+    if several.isEmpty():
+        return kept
+    several, few = sized_ids(several, BROADCAST_CLASSES)
+    right = F.broadcast(several) if few else several
+    alone = kept.join(right, kept[id_col] == F.col(key), "left_anti")
+    return alone.unionByName(kept.join(right, kept[id_col] == F.col(key), "left_semi").dropDuplicates([id_col]))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, by four-word shingles and similarity 0.8."""
     docs = read_table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
