@@ -28,21 +28,41 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return np.asarray(lists.flatten(), np.float64).reshape(len(lists), -1)
 
 
-def dense_topk(items: DataFrame, item_id: str, item_vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, *, item_zone: str | None = None, query_zone: str | None = None, fp16: bool = False) -> DataFrame:
-    """(query, item, cos, rank) of the k best items of each query; zones restrict items to the query's zone."""
-    keep = [query_id, query_vec, *([query_zone] if query_zone else [])]
+def _allowed(asked: list, here: list, every: bool) -> np.ndarray:
+    """For each query and item of a block: is the item's value among the query's (every: has it all the query's)?"""
+    found: dict = {}
+    for a in asked:
+        key = tuple(a) if isinstance(a, list) else a
+        if key not in found:
+            if every:
+                want = set(a or ())
+                found[key] = np.fromiter((want.issubset(h or ()) for h in here), bool, len(here))
+            else:
+                want = set(a) if isinstance(a, list) else {a}
+                found[key] = np.fromiter((h is not None and h in want for h in here), bool, len(here))
+    return np.stack([found[tuple(a) if isinstance(a, list) else a] for a in asked]) if asked else np.zeros((0, len(here)), bool)
+
+
+def dense_topk(items: DataFrame, item_id: str, item_vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, *, item_zone: str | None = None, query_zone: str | None = None, item_tags: str | None = None, query_tags: str | None = None, fp16: bool = False) -> DataFrame:
+    """(query, item, cos, rank) of the k best items of each query.
+
+    query_zone: a value, or a list of values, one of which an item's zone must be. query_tags: a list that an item's tags
+    must contain whole. fp16 rounds vectors and scores through half precision.
+    """
+    more = [c for c in (query_zone, query_tags) if c], [c for c in (item_zone, item_tags) if c]
+    keep = [query_id, query_vec, *more[0]]
     asked = queries.select(*keep).where(F.col(query_vec).isNotNull())
-    held = items.select(item_id, item_vec, *([item_zone] if item_zone else [])).where(F.col(item_vec).isNotNull())
+    held = items.select(item_id, item_vec, *more[1]).where(F.col(item_vec).isNotNull())
     out = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("cos", T.DoubleType())])
     said = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(query_vec)).alias("d")).first()
+    kinds = [False] * bool(query_zone) + [True] * bool(query_tags)
 
-    def best(b: pa.RecordBatch, ids: pa.Array, q: np.ndarray, zone: list | None):
+    def best(b: pa.RecordBatch, ids: pa.Array, q: np.ndarray, masks: list[list]):
         m = _matrix(b.column(1))
         s = (half(q) @ half(m).T) if fp16 else q @ m.T
         s = half(s) if fp16 else np.round(s, 6)
-        if zone is not None:
-            here = np.array(b.column(2).to_pylist(), object)
-            s = np.where(np.array(zone, object)[:, None] == here[None, :], s, -np.inf)
+        for j, (asked_values, every) in enumerate(zip(masks, kinds, strict=True)):
+            s = np.where(_allowed(asked_values, b.column(2 + j).to_pylist(), every), s, -np.inf)
         order = np.array(b.column(0).to_pylist())
         first = np.lexsort((np.broadcast_to(order, s.shape), -s), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(q)), first.shape[1])
@@ -53,33 +73,31 @@ def dense_topk(items: DataFrame, item_id: str, item_vec: str, queries: DataFrame
 
     if (said["n"] or 0) * (said["d"] or 0) <= BROADCAST_NUMBERS:
         table = asked.toArrow().combine_chunks()
-        ids = pa.concat_arrays(table.column(0).chunks) if table.num_rows else None
-        q = _matrix(pa.concat_arrays(table.column(1).chunks)) if table.num_rows else None
-        zone = table.column(2).to_pylist() if query_zone and table.num_rows else None
-        sent = items.sparkSession.sparkContext.broadcast((ids, q, zone))
+        column = lambda j: pa.concat_arrays(table.column(j).chunks)
+        sent = items.sparkSession.sparkContext.broadcast((column(0), _matrix(column(1)), [column(2 + j).to_pylist() for j in range(len(kinds))]) if table.num_rows else None)
 
         def work(batches):
-            known, matrix, zones = sent.value
             for b in batches:
-                if matrix is not None and b.num_rows:
-                    for i in range(0, len(matrix), BLOCK):
-                        yield best(b, known[i : i + BLOCK], matrix[i : i + BLOCK], zones[i : i + BLOCK] if zones else None)
+                if sent.value and b.num_rows:
+                    ids, q, masks = sent.value
+                    for i in range(0, len(q), BLOCK):
+                        yield best(b, ids[i : i + BLOCK], q[i : i + BLOCK], [m[i : i + BLOCK] for m in masks])
 
         found = held.mapInArrow(work, out)
     else:
-        blocks = asked.withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(-(-said["n"] // BLOCK))))
-        packed = blocks.groupBy("block").agg(F.collect_list(F.struct(*keep)).alias("asked"))
-        groups = held.withColumn("part", F.spark_partition_id()).groupBy("part", F.floor(F.rand(7) * 64).alias("cut")).agg(F.collect_list(F.struct(*held.columns)).alias("held"))
+        # blocks of queries against blocks of items: rows of the product are blocks, not pairs
+        blocks = asked.groupBy(F.pmod(F.xxhash64(query_id), F.lit(-(-said["n"] // BLOCK))).alias("block")).agg(F.collect_list(F.struct(*keep)).alias("asked"))
+        n = held.count()
+        groups = held.groupBy(F.pmod(F.xxhash64(item_id), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct(*held.columns)).alias("held"))
 
         def work(batches):
             for b in batches:
                 for row in range(b.num_rows):
-                    a, h = b.column(0)[row].values, b.column(1)[row].values
-                    batch = pa.RecordBatch.from_arrays(a and h.flatten(), names=held.columns)
-                    parts = a.flatten()
-                    yield best(batch, parts[0], _matrix(parts[1]), parts[2].to_pylist() if query_zone else None)
+                    parts = b.column(0)[row].values.flatten()
+                    batch = pa.RecordBatch.from_arrays(b.column(1)[row].values.flatten(), names=held.columns)
+                    yield best(batch, parts[0], _matrix(parts[1]), [p.to_pylist() for p in parts[2:]])
 
-        found = groups.select("held").crossJoin(packed.select("asked")).select("asked", "held").mapInArrow(work, out)
+        found = blocks.select("asked").crossJoin(groups.select("held")).mapInArrow(work, out)
     return topk(found, query_id, item_id, "cos", k)
 
 

@@ -1,4 +1,65 @@
-"""Queries over the candidate pool."""
+"""Queries over the candidate pool and the rankers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import numbers
+from plumbline.functions.text import query_key as key_of
+from plumbline.operators import history, pool
+
+from .bindings import CHOICES, bound
 from .catalog import catalog
+from .text_queries import POSTINGS, bm25_scores
 
 QUERIES, ORACLE_SQL, query = catalog()
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bindings import ITEMS, QUERIES as ASKED
+
+    found = bm25_scores(spark, sf_dir)
+    here = found.join(bound(spark, sf_dir, ITEMS).select("item_id", "location", "n_chars"), "item_id").join(bound(spark, sf_dir, ASKED).select("query_id", F.col("location").alias("search_loc")), "query_id")
+    return here.select("query_id", "item_id", "bm25", (F.col("location") == F.col("search_loc")).cast("int").alias("in_geo"), (F.col("n_chars") % 2 == 0).cast("int").alias("filter_ok"))
+
+
+@query(POSTINGS + """, m AS (SELECT s.query_id, bm25, i.location = a.location AS g, n_chars % 2 = 0 AS f FROM scored s JOIN items i USING (item_id) JOIN asked a USING (query_id))
+SELECT query_id, max(bm25) AS best, coalesce(max(CASE WHEN g THEN bm25 END), 0.0) AS best_geo, round(ln(1 + count(*)::DOUBLE), 6) AS n_bm25_hits_log, round(ln(1 + count(*) FILTER (g)::DOUBLE), 6) AS geo_supply_bm25, round(ln(1 + count(*) FILTER (g AND f)::DOUBLE), 6) AS geo_supply_filt FROM m GROUP BY query_id""")
+def supply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maxima and counters of each query over the whole corpus."""
+    return pool.supply(marked(spark, sf_dir))
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> dict:
+    """The pool's inputs: parts with a place as items, order texts as queries, embeddings by number."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    part = read("part")
+    items = part.select(
+        F.col("p_partkey").alias("item_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Тип услуги "), "p_brand").alias("params"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("description"),
+        F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 5).cast("double").alias("rating"), F.col("p_size").alias("reviews"), (F.col("p_partkey") % 2 == 0).alias("phone_hidden"), (F.col("p_partkey") % 3 == 0).alias("message_forbidden"),
+        (F.col("p_partkey") % 90).alias("lat"), (F.col("p_partkey") % 180).alias("lon"), F.when(F.col("p_partkey") % 26 < 25, F.col("p_partkey") % 26).cast("int").alias("location"), F.col("p_brand").alias("microcat"),
+    )
+    asked = part.where("p_partkey % 40 = 1").select(
+        F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_type", "p_name").alias("query"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Вид услуги "), "p_type", F.lit(" Рейтинг пользователя 4 звезды и выше"))).alias("filters"),
+        (F.col("p_size") % 25).cast("int").alias("location"), F.when(F.col("p_size") % 10 == 0, 0).otherwise(114).alias("category"),
+    )
+    v = read("embeddings")
+    n = v.count()
+    item_vectors = items.select("item_id", (F.col("item_id") % n).alias("vec_id")).join(v, "vec_id").select("item_id", "embedding")
+    query_vectors = asked.select("query_id", ((F.col("query_id") * 7) % n).alias("vec_id")).join(v, "vec_id").select("query_id", "embedding")
+    short = lambda df: df.withColumn("embedding", numbers.unit(F.slice("embedding", 1, 32)))
+    pairs = bound(spark, sf_dir, CHOICES)
+    return {
+        "items": items, "queries": asked, "encoders": [(item_vectors, query_vectors), (short(item_vectors), short(query_vectors))], "shares": history.transitions(pairs),
+        "by_token": history.token_categories(pairs, F.col("query")), "chosen": history.choice_shares(pairs.withColumn("query_key", key_of(F.col("query")))),
+        "positives": asked.select("query_id", (F.col("query_id") + 1).alias("item_id")).union(asked.select("query_id", F.col("query_id").alias("item_id"))),
+    }
+
+
+@query()
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of nine channels with the rankers' fifty features and a label."""
+    found = pool.build_pool(**inputs(spark, sf_dir))
+    kinds = dict(found.dtypes)
+    return found.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else c for c in found.columns])
