@@ -63,3 +63,34 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pool.build_pool(**inputs(spark, sf_dir))
     kinds = dict(found.dtypes)
     return found.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else c for c in found.columns])
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small pool for the rankers: parts against the orders' texts, marked by what was chosen."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.select(
+        (F.col("l_orderkey") % 500).alias("query_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"), (F.col("l_quantity") > 40).cast("int").alias("label"),
+        F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"),
+    )
+
+
+@query()
+def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of a pointwise and a pairwise ranker, trained here, and their fusion."""
+    from plumbline.operators import rankers, ranking
+
+    pool_ = labelled(spark, sf_dir)
+    features = ["price", "discount", "tax"]
+    train = pool_.where("query_id % 2 = 0")
+    models = {"binary": rankers.train_one("binary", train, features, 3, depth=3), "lambdarank": rankers.train_one("lambdarank", train, features, 2, depth=3)}
+    ranked = rankers.model_ranks(pool_, models)
+    return ranked.select("query_id", "item_id", "label", "rank_model_binary", "rank_model_lambdarank", ranking.rrf({"rank_model_binary": 1.0, "rank_model_lambdarank": 1.0}).alias("fused"))
+
+
+@query()
+def head_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after a head of fixed weights."""
+    from plumbline.operators import head
+
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return head.apply_head(v, head.new_head(64, 32)).select("vec_id", F.transform("encoded", lambda x: F.round(x, 6)).alias("encoded"))
