@@ -80,9 +80,10 @@ def info_nce(w: dict, q: np.ndarray, p: np.ndarray, scale: float = SCALE) -> tup
     s = scale * outs[0] @ outs[1].T
     s -= s.max(1, keepdims=True)
     soft = np.exp(s)
-    soft /= soft.sum(1, keepdims=True)
+    total = soft.sum(1, keepdims=True)
+    soft /= total
     n = len(q)
-    loss = -float(np.log(soft[np.arange(n), np.arange(n)] + 1e-12).mean())
+    loss = float((np.log(total[:, 0]) - np.diag(s)).mean())
     ds = (soft - np.eye(n)) * scale / n
     grads: dict = {}
     for (trace, norm), u, du in ((kept[0], outs[0], ds @ outs[1]), (kept[1], outs[1], ds.T @ outs[0])):

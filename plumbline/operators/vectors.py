@@ -87,14 +87,14 @@ def dense_topk(items: DataFrame, item_id: str, item_vec: str, queries: DataFrame
     else:
         # blocks of queries against blocks of items: rows of the product are blocks, not pairs
         blocks = asked.groupBy(F.pmod(F.xxhash64(query_id), F.lit(-(-said["n"] // BLOCK))).alias("block")).agg(F.collect_list(F.struct(*keep)).alias("asked"))
-        n = held.count()
+        n, names = held.count(), held.columns
         groups = held.groupBy(F.pmod(F.xxhash64(item_id), F.lit(max(1, -(-n // BLOCK)))).alias("block")).agg(F.collect_list(F.struct(*held.columns)).alias("held"))
 
         def work(batches):
             for b in batches:
                 for row in range(b.num_rows):
                     parts = b.column(0)[row].values.flatten()
-                    batch = pa.RecordBatch.from_arrays(b.column(1)[row].values.flatten(), names=held.columns)
+                    batch = pa.RecordBatch.from_arrays(b.column(1)[row].values.flatten(), names=names)
                     yield best(batch, parts[0], _matrix(parts[1]), [p.to_pylist() for p in parts[2:]])
 
         found = blocks.select("asked").crossJoin(groups.select("held")).mapInArrow(work, out)
