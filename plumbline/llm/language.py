@@ -26,6 +26,8 @@ from .common import annotate, read_table, split_words, sums_by_text, tuned, whol
 SAMPLE_DOCS, SAMPLE_SEGMENTS = 300, 40_000
 #: States of each direction, bytes of a segment, segments of a step, passes over the sample, step size.
 HIDDEN, SPAN, BATCH, EPOCHS, RATE = 20, 24, 512, 6, 0.01
+#: Steps that a small sample gets at least, by more passes.
+LEAST_STEPS = 200
 #: Least score of a document that the pipeline keeps.
 MIN_SCORE = 0.3
 UNDETERMINED = "und"
@@ -144,6 +146,7 @@ def train(data: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.nd
     net, rng = BiGru(labels, seed=seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(data) // batch))))
     step, steps = 0, epochs * -(-len(data) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(data))
