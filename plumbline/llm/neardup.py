@@ -324,3 +324,21 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     rows = near_duplicates(docs, w=4, percent=80)
     return rows.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+
+
+def op3_sql(w: int = 4, percent: int = 80) -> str:
+    """The same rows in DuckDB's SQL: all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - {w - 1}, 1) + 1), lambda i: array_to_string(words[i : i + {w - 1}], ' '))) END AS items FROM worded
+), single AS (SELECT doc_id, unnest(items) AS item FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM single a JOIN single b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * n >= {percent} * (len(a.items) + len(b.items) - n)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, there) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON r.there = l.x),
+found AS (SELECT doc_id, min(there) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found USING (doc_id)"""
