@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -53,18 +52,13 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.upper, self.ones, self.low = arrays["upper"], arrays["ones"], arrays["low"]
         self.n, self.width = (int(x) for x in arrays["shape"])
+        self.zeros = np.arange(len(self.upper), dtype=np.int64) * 64 - self.ones[:-1]
 
     def _bucket(self, high: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least high: the ones before zero number high - 1."""
         k = high - 1
-        words = len(self.upper)
-        # zeros before word w are 64 w - ones[w]: binary search
-        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), words, np.int64)
-        while (open_ := lo + 1 < hi).any():
-            middle = (lo + hi) >> 1
-            before = middle * 64 - self.ones[middle] <= k
-            lo, hi = np.where(open_ & before, middle, lo), np.where(open_ & ~before, middle, hi)
-        at = lo * 64 + _select_in_word(~self.upper[lo], k - (lo * 64 - self.ones[lo]))
+        lo = np.searchsorted(self.zeros, k, side="right") - 1  # zeros before each word
+        at = lo * 64 + _select_in_word(~self.upper[lo], k - self.zeros[lo])
         return np.where(high > 0, at - k, 0)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -91,11 +85,14 @@ class EliasFano:
         want = x & U((1 << self.width) - 1)
         lo, end = self._bucket(high), self._bucket(high + 1)
         hi = end.copy()
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = np.zeros(len(x), bool)
-            less[open_] = self._low(middle[open_]) < want[open_]
-            lo, hi = np.where(open_ & less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
+        rows = np.flatnonzero(lo < hi)
+        while len(rows):  # binary search within buckets, over the rows that are still open
+            a, b = lo[rows], hi[rows]
+            middle = (a + b) >> 1
+            less = self._low(middle) < want[rows]
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            lo[rows], hi[rows] = a, b
+            rows = rows[a < b]
         equal = lo < end
         equal[equal] = self._low(lo[equal]) == want[equal]
         return lo, equal
@@ -140,17 +137,14 @@ def put(path: str, data: bytes) -> None:
 
 
 def mapped(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; from a store that can't be mapped, by way of a temporary copy."""
+    """The arrays of a file, memory-mapped; read into memory from a store that can't be mapped."""
     local = _local(path)
     if not local:
         from pyarrow import fs
 
         system, where = fs.FileSystem.from_uri(path)
-        with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(where) as f:
-            while block := f.read(8 << 20):
-                copy.write(block)
-            copy.flush()
-            return _views(np.memmap(copy.name, np.uint8, "r"))
+        with system.open_input_stream(where) as f:
+            return _views(np.frombuffer(f.read(), np.uint8))
     return _views(np.memmap(local, np.uint8, "r"))
 
 
@@ -162,5 +156,6 @@ def _views(data: np.ndarray) -> dict[str, np.ndarray]:
         kind = np.dtype(kind)
         count = int(np.prod(shape))
         begin = 8 + size + at
-        out[name] = data[begin : begin + count * kind.itemsize].view(kind).reshape(shape)
+        # a plain array over the same mapped pages: cheaper to index
+        out[name] = data[begin : begin + count * kind.itemsize].view(np.ndarray).view(kind).reshape(shape)
     return out

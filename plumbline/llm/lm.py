@@ -29,7 +29,7 @@ from .common import U64, annotate, hash_strings, mix, new_path, read_table, spli
 from .eliasfano import EliasFano, encode, mapped, packed, put
 
 #: Discount of both upper levels, least count of a kept triple, words of a shard, tokens counted before they are sent on.
-DISCOUNT, MIN_TRIPLES, SHARD_WORDS, FLUSH = 0.75, 2, 1 << 18, 2_000_000
+DISCOUNT, MIN_TRIPLES, SHARD_WORDS, FLUSH = 0.75, 2, 1 << 16, 1_000_000
 #: Codes of a unit of -log10 p: 16 bits reach 10**-16.
 STEPS = 4096.0
 #: Hash of the end token; no string is hashed to it on purpose.
@@ -191,52 +191,77 @@ def _summed(keys: np.ndarray, third: np.ndarray | None, counts: np.ndarray):
         new[1:] |= third[1:] != third[:-1]
         third = third[np.flatnonzero(new)]
     at = np.flatnonzero(new)
-    return keys[at], third, np.add.reduceat(counts, at) if len(at) else counts
+    return keys[at], third, np.add.reduceat(counts, at, dtype=np.int64) if len(at) else counts
 
 
-def _count_grams(batches, trie: Trie, order: int):
-    """Packed n-grams of a partition, a row for each shard of the first word: pair keys, third words, counts."""
+def _count_grams(batches, trie: Trie):
+    """Packed n-grams of a partition, a row for each shard of the first word: pairs with counts, and triples (pair key,
+    third word) with counts."""
+    pairs: list[np.ndarray] = []
     keys: list[np.ndarray] = []
     thirds: list[np.ndarray] = []
+    narrow = np.uint32 if trie.v < 1 << 32 else np.int64
 
     def sent():
-        k = np.concatenate(keys)
-        k, t, c = _summed(k, np.concatenate(thirds) if order == 3 else None, np.ones(len(k), np.int64))
-        shard = trie.shard_of((k // U64(trie.v + 1)).astype(np.int64))
-        keys.clear()
-        thirds.clear()
-        cuts = np.searchsorted(shard, np.arange(len(trie.offsets)))
+        k = np.concatenate(pairs)
+        k, _, c = _summed(k, None, np.ones(len(k), np.int32))
+        h = np.concatenate(keys)
+        h, t, d = _summed(h, np.concatenate(thirds), np.ones(len(h), np.int32))
+        for x in (pairs, keys, thirds):
+            x.clear()
+        # every context of a triple is one of the pairs: the triples under each pair are told by their number
+        children = np.bincount(np.searchsorted(k, h), minlength=len(k))
+        below = np.concatenate([[0], np.cumsum(children)])
+        first, second = (k // U64(trie.v + 1)).astype(np.int64), (k % U64(trie.v + 1)).astype(narrow)
+        cuts = np.searchsorted(trie.shard_of(first), np.arange(len(trie.offsets)))
         for s in range(len(cuts) - 1):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                most = int(c[a:b].max())
-                kind = np.uint16 if most < 1 << 16 else np.int64
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([k[a:b].tobytes()], pa.binary()), pa.array([b"" if t is None else t[a:b].tobytes()], pa.binary()), pa.array([c[a:b].astype(kind).tobytes()], pa.binary())], names=["shard", "keys", "third", "counts"])
+            i, j = slice(cuts[s], cuts[s + 1]), slice(below[cuts[s]], below[cuts[s + 1]])
+            if cuts[s] < cuts[s + 1]:
+                firsts, runs = np.unique(first[i], return_counts=True)
+                parts = (firsts.astype(narrow).tobytes(), _small(runs), second[i].tobytes(), _small(c[i]), _small(children[i]), t[j].tobytes(), _small(d[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in parts)], names=GRAMS)
 
     for b in batches:
         distinct, at, borders = token_hashes(whole(b.column(0)))
         ids = trie.words(distinct)[0][at]
         before, earlier = _contexts(ids, borders, trie.v)
-        if order == 2:
-            keys.append(before.astype(U64) * U64(trie.v + 1) + ids.astype(U64))
-        else:
-            use = earlier >= 0
-            keys.append(earlier[use].astype(U64) * U64(trie.v + 1) + before[use].astype(U64))
-            thirds.append(ids[use].astype(np.uint32 if trie.v < 1 << 32 else np.int64))
-        if sum(map(len, keys)) >= FLUSH:
+        use = earlier >= 0
+        pairs.append(before.astype(U64) * U64(trie.v + 1) + ids.astype(U64))
+        keys.append(earlier[use].astype(U64) * U64(trie.v + 1) + before[use].astype(U64))
+        thirds.append(ids[use].astype(narrow))
+        if sum(map(len, pairs)) >= FLUSH:
             yield from sent()
-    if keys:
+    if pairs:
         yield from sent()
 
 
-def _gathered(table: pa.Table, v: int, order: int):
-    keys, thirds, counts = [], [], []
-    for k, t, c in zip(table["keys"].to_pylist(), table["third"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        keys.append(np.frombuffer(k, U64))
-        counts.append(np.frombuffer(c, np.uint16 if len(c) == len(k) // 4 else np.int64).astype(np.int64))
-        if order == 3:
-            thirds.append(np.frombuffer(t, np.uint32 if v < 1 << 32 else np.int64).astype(np.int64))
-    return _summed(np.concatenate(keys), np.concatenate(thirds) if order == 3 else None, np.concatenate(counts))
+GRAMS = ["shard", "first", "runs", "second", "pair_n", "children", "third", "triple_n"]
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in 16 bits each if they all fit, in 64 otherwise."""
+    return counts.astype(np.uint16 if int(counts.max(initial=0)) < 1 << 16 else np.int64).tobytes()
+
+
+def _counts_of(data: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if data.size == 2 * n else np.int64).astype(np.int64)
+
+
+def _gathered(table: pa.Table, v: int):
+    """Merged pairs (keys, counts) and triples (pair keys, third words, counts) of a shard."""
+    narrow = np.dtype(np.uint32 if v < 1 << 32 else np.int64)
+    pairs, pair_n, contexts, thirds, triple_n = [], [], [], [], []
+    for row in range(table.num_rows):
+        data = {name: table[name][row].as_buffer() for name in GRAMS[1:]}
+        first, second, third = (np.frombuffer(data[x], narrow) for x in ("first", "second", "third"))
+        key = np.repeat(first.astype(U64) * U64(v + 1), _counts_of(data["runs"], len(first))) + second.astype(U64)
+        pairs.append(key)
+        pair_n.append(_counts_of(data["pair_n"], len(key)).astype(np.int32))
+        contexts.append(np.repeat(key, _counts_of(data["children"], len(key))))
+        thirds.append(third)
+        triple_n.append(_counts_of(data["triple_n"], len(third)).astype(np.int32))
+    keys, _, counts = _summed(np.concatenate(pairs), None, np.concatenate(pair_n))
+    return keys, counts, *_summed(np.concatenate(contexts), np.concatenate(thirds), np.concatenate(triple_n))
 
 
 def _write_words(table: pa.Table, folder: str) -> pa.Table:
@@ -248,8 +273,9 @@ def _write_words(table: pa.Table, folder: str) -> pa.Table:
 
 
 def _write_pairs(table: pa.Table, trie: Trie) -> pa.Table:
+    """Level 2 of a shard, and its kept triples with their contexts for the next step."""
     s = table["shard"][0].as_py()
-    keys, _, counts = _gathered(table, trie.v, 2)
+    keys, counts, context, third, n = _gathered(table, trie.v)
     first, second = (keys // U64(trie.v + 1)).astype(np.int64) - trie.offsets[s], (keys % U64(trie.v + 1)).astype(np.int64)
     words = int(trie.offsets[s + 1] - trie.offsets[s]) + (s == len(trie.offsets) - 2)
     total = np.bincount(first, weights=counts, minlength=words)
@@ -260,29 +286,29 @@ def _write_pairs(table: pa.Table, trie: Trie) -> pa.Table:
     arrays |= {f"child.{k}": a for k, a in encode(first.astype(U64) * U64(trie.v) + second.astype(U64), words * trie.v).items()}
     arrays |= {f"pointer.{k}": a for k, a in encode(np.concatenate([[0], np.cumsum(kinds)]), len(first) + 1).items()}
     put(f"{trie.folder}/2-{s}.bin", packed(arrays))
+    new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+    place = np.searchsorted(keys, context[new])  # every context of a triple is a pair of this shard
+    group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
+    sums = np.add.reduceat(n, new) if len(new) else n
+    kept = n >= MIN_TRIPLES
+    share = (n[kept] - DISCOUNT) / sums[group[kept]]
+    lost = 1 - np.bincount(group[kept], weights=share, minlength=len(new))
+    left = np.ones(len(keys))
+    left[place] = lost
+    put(f"{trie.folder}/t-{s}.bin", packed({"back": code(left), "place": place[group[kept]], "second": (context[kept] % U64(trie.v + 1)).astype(np.int64), "third": third[kept].astype(np.int64), "share": share, "lost": lost[group[kept]]}))
     return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([int(kinds.max(initial=1))], pa.int64())})
 
 
-def _write_triples(table: pa.Table, trie: Trie) -> pa.Table:
-    s = table["shard"][0].as_py()
-    keys, third, counts = _gathered(table, trie.v, 3)
-    first, second = (keys // U64(trie.v + 1)).astype(np.int64), (keys % U64(trie.v + 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    place = trie.pairs(first[new], second[new])["place"]
-    context = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(keys))))
-    total = np.add.reduceat(counts, new)
-    kept = counts >= MIN_TRIPLES
-    share = np.bincount(context[kept], weights=(counts[kept] - DISCOUNT) / total[context[kept]], minlength=len(new))
-    nodes = len(trie.level(2, s)["code"])
-    back = np.ones(nodes)
-    back[place] = 1 - share
-    inner = trie.pairs(second[kept], third[kept])
-    p = (counts[kept] - DISCOUNT) / total[context[kept]] + (1 - share)[context[kept]] * 10 ** (inner["code"] / -STEPS)
-    value = place[context[kept]].astype(U64) * U64(trie.successors) + inner["rank"].astype(U64)
-    order = np.argsort(value)
-    arrays = {"code": code(p)[order], "back": code(back)} | {f"child.{k}": a for k, a in encode(value[order], nodes * trie.successors).items()}
-    put(f"{trie.folder}/3-{s}.bin", packed(arrays))
-    return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([int(kept.sum())], pa.int64())})
+def _write_triples(shards: list[int], trie: Trie):
+    """Level 3 of shards: kept triples under their pairs, last words by their rank among the middle word's successors."""
+    for s in shards:
+        t = mapped(f"{trie.folder}/t-{s}.bin")
+        inner = trie.pairs(t["second"], t["third"])
+        p = t["share"] + t["lost"] * 10 ** (inner["code"] / -STEPS)
+        value = t["place"].astype(U64) * U64(trie.successors) + inner["rank"].astype(U64)
+        order = np.argsort(value)
+        arrays = {"code": code(p)[order], "back": t["back"]} | {f"child.{k}": a for k, a in encode(value[order], max(1, len(t["back"])) * trie.successors).items()}
+        put(f"{trie.folder}/3-{s}.bin", packed(arrays))
 
 
 def build(training: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[str, int, tuple[int, ...], int, int]:
@@ -305,17 +331,17 @@ def build(training: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[str, int
         if s not in sizes:  # a shard without words, as small vocabularies may have
             put(f"{folder}/1-{s}.bin", packed({"hash": np.zeros(0, U64), "count": np.zeros(0, np.int64)}))
     known = (folder, bits, tuple(sizes.get(s, 0) for s in range(1 << bits)), n)
-    grams = "shard int, keys binary, third binary, counts binary"
-    pairs = training.mapInArrow(lambda it: _count_grams(it, opened(*known, 0), 2), grams)
-    successors = max(r["n"] for r in pairs.groupBy("shard").applyInArrow(lambda t: _write_pairs(t, opened(*known, 0)), made).collect())
-    triples = training.mapInArrow(lambda it: _count_grams(it, opened(*known, 0), 3), grams)
-    there = {r["shard"] for r in triples.groupBy("shard").applyInArrow(lambda t: _write_triples(t, opened(*known, successors)), made).collect()}
-    empty = {f"child.{k}": a for k, a in encode(np.zeros(0, U64), 1).items()} | {"code": np.zeros(0, np.uint16)}
-    trie = Trie(*known, successors)
-    for s in range(1 << bits):
-        if s not in there and sizes.get(s, 0) + (s == (1 << bits) - 1):
-            level = trie.level(2, s) if s in sizes else None
-            put(f"{folder}/3-{s}.bin", packed(empty | {"back": np.zeros(len(level["code"]) if level else 0, np.uint16)}))
+    grams = training.mapInArrow(lambda it: _count_grams(it, opened(*known, 0)), "shard int, " + ", ".join(f"{x} binary" for x in GRAMS[1:]))
+    done = {r["shard"]: r["n"] for r in grams.groupBy("shard").applyInArrow(lambda t: _write_pairs(t, opened(*known, 0)), made).collect()}
+    successors = max(done.values())
+
+    def finish(batches):
+        for b in batches:
+            shards = b.column(0).to_pylist()
+            _write_triples(shards, opened(*known, successors))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32())], names=["shard"])
+
+    spark.createDataFrame([(s,) for s in done], "shard int").repartition(len(done)).mapInArrow(finish, "shard int").count()
     return *known, successors
 
 
