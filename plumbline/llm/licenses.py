@@ -5,6 +5,10 @@ k-grams in license templates (a table of fixed size, so its side is broadcast).
 position less the template position. Votes are counted by text, template and diagonal, neighbouring diagonals (a few
 words inserted or left out) are merged, and each merged span is verified against the words themselves.
 
+Names of licenses, short forms (CC BY-NC 4.0) and SPDX expressions are too short for votes, and one word more makes
+another license: they are found word for word, the longest one at its place. A span whose only names are those of other
+licenses (the Attribution notice over the words of Attribution-NonCommercial) is theirs and not counted.
+
 Base labels come from three fixed phrases. Null and empty texts: no words, no places, score 0.
 """
 
@@ -34,7 +38,42 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
+#: Creative Commons licenses: the words of the short form and of the name.
+COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+SPELLINGS = [("noncommercial", "non commercial"), ("sharealike", "share alike"), ("noderivatives", "noderivs"), ("noderivatives", "no derivatives"), ("noderivatives", "no derivs")]
+VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+#: SPDX identifiers and usual short forms, as words; they count after one of LEADS only.
+IDENTIFIERS = {
+    "mit": "mit", "mit 0": "mit", "x11": "mit", "expat": "mit", "apache": "apache", "apache 2": "apache", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib", "bsl 1 0": "boost", "wtfpl": "wtfpl",
+    "bsd": "bsd", "0bsd": "bsd", "cc0": "cc0", "cc0 1 0": "cc0", "artistic 2 0": "artistic", "python 2 0": "psf", "psf 2 0": "psf",
+    **{f"apache {v}": "apache" for v in ("1 0", "1 1", "2 0")}, **{f"bsd {n} clause": "bsd" for n in "234"}, **{f"{n} clause bsd": "bsd" for n in "234"}, **{f"mpl{v}": "mpl" for v in ("", " 1 0", " 1 1", " 2 0")}, **{f"epl{v}": "epl" for v in ("", " 1 0", " 2 0")},
+    **{f"{g}{v}{o}": g for g in ("gpl", "lgpl", "agpl") for v in ("", " 1 0", " 2 0", " 2 1", " 3 0", " v2", " v3", "v2", "v3") for o in ("", " only", " or later")},
+    **{f"cc {k}{v}": f"cc-{k.replace(' ', '-')}" for k in COMMONS for v in ("", *(f" {v}" for v in VERSIONS))},
+}
+LEADS = ("spdx license identifier", "license", "licence", "licensed under", "licensed under the", "licensed under a", "released under", "released under the", "distributed under", "distributed under the", "available under", "available under the", "published under", "published under the", "under the terms of the")
+#: What is a license's name wherever it stands.
+NAMES = {
+    **PHRASES, "gnu general public license": "gpl", "gnu gpl": "gpl", "lesser general public license": "lgpl", "library general public license": "lgpl", "gnu lgpl": "lgpl", "affero general public license": "agpl", "gnu agpl": "agpl", "mozilla public license": "mpl", "eclipse public license": "epl",
+    "apache 2 0 license": "apache", "bsd license": "bsd", "isc license": "isc", "zlib license": "zlib", "boost software license": "boost", "do what the fuck you want to public license": "wtfpl", "artistic license": "artistic", "python software foundation license": "psf",
+    **{f"{n} clause {x}": "bsd" for n in (2, 3, 4, "two", "three", "four") for x in ("bsd", "bsd license")}, "creative commons zero": "cc0", "cc0 1 0": "cc0", "creativecommons org publicdomain zero": "cc0",
+    **{x.format(k): f"cc-{k.replace(' ', '-')}" for k in COMMONS for x in ("cc {} license", "cc {} licence", "creativecommons org licenses {}", *(f"cc {{}} {v}" for v in VERSIONS))},
+}
+for _kind, _name in COMMONS.items():
+    _wordings = {_name}
+    for _one, _other in SPELLINGS:
+        _wordings |= {w.replace(_one, _other) for w in _wordings}
+    NAMES |= {f"creative commons {w}": f"cc-{_kind.replace(' ', '-')}" for w in _wordings}
 K = 3
 #: Diagonals no further apart than this are merged; a span counts if this share of the template's words is found in it.
 NEAR, COVERED = 2, 0.75
@@ -95,9 +134,10 @@ def candidates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k:
     return merged.groupBy("doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
-def covered(words: list[str], template: list[str]) -> float:
-    """Share of the template's words found in order in a span."""
-    return sum(m.size for m in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()) / len(template)
+def covered(words: list[str], template: list[str]) -> tuple[float, int, int]:
+    """Share of the template's words found in order in a span, and where the first and the last of them are."""
+    blocks = [m for m in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if m.size]
+    return sum(m.size for m in blocks) / len(template), blocks[0].a if blocks else 0, blocks[-1].a + blocks[-1].size if blocks else 0
 
 
 SCANNED = T.StructType(
@@ -131,22 +171,81 @@ def phrase_places(words: Words) -> dict[int, list[tuple[int, str]]]:
     return found
 
 
+def branches(phrases: dict[str, str], lead: bool) -> dict:
+    """A trie of words; under None what ends here: (label, is it an identifier after a lead?)."""
+    root: dict = {}
+    for phrase, label in phrases.items():
+        node = root
+        for w in phrase.split():
+            node = node.setdefault(w, {})
+        node[None] = (label, lead)
+    return root
+
+
+_IDS = branches(IDENTIFIERS, True)
+_NAMES = branches({f"{lead} {x}": label for lead in LEADS for x, label in IDENTIFIERS.items()}, True)
+for _phrase, _label in NAMES.items():
+    _node = _NAMES
+    for _w in _phrase.split():
+        _node = _node.setdefault(_w, {})
+    _node.setdefault(None, (_label, False))
+
+
+def longest(node: dict, words: list[str], at: int) -> tuple[int, str, bool] | None:
+    """End, label and kind of the longest phrase that starts at a place."""
+    best = None
+    while at < len(words) and words[at] in node:
+        node, at = node[words[at]], at + 1
+        if None in node:
+            best = (at, *node[None])
+    return best
+
+
+def name_places(words: Words) -> dict[int, list[tuple[int, int, str]]]:
+    """Text -> (first word, end, label) of names and short forms; none lies inside another."""
+    listed = words.dictionary.to_pylist()
+    starts, nexts = np.zeros(len(listed) + 1, bool), np.zeros(len(listed) + 1, bool)
+    seconds = set().union(*_NAMES.values()) - {None}
+    for i, w in enumerate(listed):
+        starts[i], nexts[i] = w in _NAMES, w in seconds
+    found: dict[int, list[tuple[int, int, str]]] = {}
+    if len(words.ids) < 2:
+        return found
+    hits = np.flatnonzero(starts[words.ids[:-1]] & nexts[words.ids[1:]])
+    hits = hits[[listed[words.ids[i + 1]] in _NAMES[listed[words.ids[i]]] for i in hits.tolist()]] if len(hits) else hits
+    owner = np.searchsorted(words.offsets, hits, side="right") - 1
+    for t in np.unique(owner).tolist():
+        low, high, stop = int(words.offsets[t]), int(words.offsets[t + 1]), 0
+        mine: list[str] = [listed[i] for i in words.ids[low:high]]
+        for at in (hits[owner == t] - low).tolist():
+            got = longest(_NAMES, mine, at)
+            while got and got[0] > stop:
+                stop = got[0]
+                found.setdefault(t, []).append((at, stop, got[1]))
+                at = stop + 1  # an SPDX expression goes on after its operator
+                got = longest(_IDS, mine, at) if got[2] and mine[stop : stop + 1] in (["or"], ["and"]) else None
+    return found
+
+
 def verify(texts: pa.Array, spans: list, templates: list[tuple[str, str]]) -> list[list]:
     """The columns of SCANNED for a batch; spans: candidate spans of each text, or None."""
     words = license_words(texts)
     wordings = [license_words(pa.array([w])) for _, w in templates]
     wordings = [x.dictionary.take(pa.array(x.ids)).to_pylist() for x in wordings]
-    places = phrase_places(words)
+    places, names = phrase_places(words), name_places(words)
     columns: list[list] = [[] for _ in SCANNED]
     for i in range(len(texts)):
         low, high = int(words.offsets[i]), int(words.offsets[i + 1])
         base = places.get(i, [])
-        labels, best, kept = {label for _, label in base}, 0.0, []
+        named = names.get(i, [])
+        labels, best = {label for _, label in base} | {label for *_, label in named}, float(bool(named))
+        kept = [f"{label}:{a}:{b}" for a, b, label in named]
         for s in spans[i] or ():
             begin, stop = low + s["begin"], min(high, low + s["stop"])
-            share = covered(words.dictionary.take(pa.array(words.ids[begin:stop])).to_pylist(), wordings[s["template"]])
-            if share >= COVERED:
-                label = templates[s["template"]][0]
+            share, first, last = covered(words.dictionary.take(pa.array(words.ids[begin:stop])).to_pylist(), wordings[s["template"]])
+            label = templates[s["template"]][0]
+            inside = {x for a, b, x in named if a < begin - low + last and begin - low + first < b}
+            if share >= COVERED and (not inside or label in inside):
                 labels.add(label)
                 best = max(best, share)
                 kept.append(f"{label}:{begin - low}:{stop - low}")

@@ -361,6 +361,27 @@ def test_license_diagonals(spark, monkeypatch):
     assert run() == got
 
 
+def test_license_wordings(spark):
+    """Short forms, SPDX lines and names; one word more is another license, and ordinary words are none."""
+    wanted = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under CC BY 4.0.": "cc-by", "CC BY-SA 3.0": "cc-by-sa", "Licensed under CC BY-ND 2.5": "cc-by-nd", "released under CC-BY-NC-SA-4.0": "cc-by-nc-sa", "Licensed under CC BY-NC-ND": "cc-by-nc-nd",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache,mit", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: Unheard-1.0": "",
+        "Licensed under the Mozilla Public License, Version 2.0": "mpl", "Licensed under the Apache License, Version 2.0.": "apache", "This is free and unencumbered software released into the public domain.": "unlicense",
+        "cc by mail to all, mit freundlichen": "", "GNU Lesser General Public License": "gpl,lgpl",
+    }
+    got = {r.text: r.found.labels for r in licenses.license_scans(spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string"))[0].collect()}
+    assert got == wanted
+
+
+def test_license_lines_of_the_tables(spark):
+    """Every document of the tables with a line that speaks of a license gets a label and score 1, and no other does."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    line = re.compile(r"(?mi)^(?:released under|licensed under|this work is licensed|spdx-license)")
+    for r in licenses.license_scans(docs)[0].collect():
+        assert (r.found.labels != "", r.found.score == 1.0) == ((True, True) if line.search(r.text or "") else (False, False)), r.doc_id
+
+
 RANKS = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 CODEC = bpe.Codec(RANKS, public_tokenizers.PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
