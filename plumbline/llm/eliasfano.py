@@ -136,6 +136,18 @@ def put(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def drop(path: str) -> None:
+    """Delete a file that has been put."""
+    local = _local(path)
+    if local:
+        os.unlink(local)
+        return
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(path)
+    system.delete_file(where)
+
+
 def mapped(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped; read into memory from a store that can't be mapped."""
     local = _local(path)

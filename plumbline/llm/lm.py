@@ -9,9 +9,8 @@ successor search, turns it into that rank and searches the triple by it. Probabi
 absolute discounting down to add-one words, and kept as 16-bit codes of -log10 p.
 
 Shards are files in the shared folder, written once per task and mapped by every executor, so no model passes through
-the driver or a broadcast; their number grows with the vocabulary. Triples seen fewer than MIN_TRIPLES times are left to
-the back-off weights, which take over their exact mass (a parameter of the model, not of the input). A null text is an
-empty one: the end token alone. Without training documents every word is unknown, with probability one.
+the driver or a broadcast; their number grows with the vocabulary. All triples are kept (MIN_TRIPLES is 1; with a larger
+one, the back-off weights take over the exact mass of the rest). A null text is an empty one: the end token alone. Without training documents every word is unknown, with probability one.
 """
 
 from __future__ import annotations
@@ -26,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, annotate, hash_strings, mix, new_path, read_table, split_words, sums_by_text, tuned, whole, written
-from .eliasfano import EliasFano, encode, mapped, packed, put
+from .eliasfano import EliasFano, drop, encode, mapped, packed, put
 
 #: Discount of both upper levels, least count of a kept triple, words of a shard, tokens counted before they are sent on.
-DISCOUNT, MIN_TRIPLES, SHARD_WORDS, FLUSH = 0.75, 2, 1 << 16, 1_000_000
+DISCOUNT, MIN_TRIPLES, SHARD_WORDS, FLUSH = 0.75, 1, 1 << 16, 1_000_000
 #: Codes of a unit of -log10 p: 16 bits reach 10**-16.
 STEPS = 4096.0
 #: Hash of the end token; no string is hashed to it on purpose.
@@ -243,6 +242,11 @@ def _small(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint16 if int(counts.max(initial=0)) < 1 << 16 else np.int64).tobytes()
 
 
+def _least(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least width that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def _counts_of(data: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if data.size == 2 * n else np.int64).astype(np.int64)
 
@@ -291,24 +295,37 @@ def _write_pairs(table: pa.Table, trie: Trie) -> pa.Table:
     group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
     sums = np.add.reduceat(n, new) if len(new) else n
     kept = n >= MIN_TRIPLES
-    share = (n[kept] - DISCOUNT) / sums[group[kept]]
-    lost = 1 - np.bincount(group[kept], weights=share, minlength=len(new))
-    left = np.ones(len(keys))
-    left[place] = lost
-    put(f"{trie.folder}/t-{s}.bin", packed({"back": code(left), "place": place[group[kept]], "second": (context[kept] % U64(trie.v + 1)).astype(np.int64), "third": third[kept].astype(np.int64), "share": share, "lost": lost[group[kept]]}))
+    # for a pair no more than the number of its triples and their sum, for a triple its last word and its count
+    kids, below = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    kids[place], below[place] = np.bincount(group[kept], minlength=len(new)), sums
+    put(f"{trie.folder}/t-{s}.bin", packed({"kids": _least(kids), "sum": _least(below), "third": third[kept], "n": _least(n[kept])}))
     return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([int(kinds.max(initial=1))], pa.int64())})
 
 
 def _write_triples(shards: list[int], trie: Trie):
     """Level 3 of shards: kept triples under their pairs, last words by their rank among the middle word's successors."""
     for s in shards:
-        t = mapped(f"{trie.folder}/t-{s}.bin")
-        inner = trie.pairs(t["second"], t["third"])
-        p = t["share"] + t["lost"] * 10 ** (inner["code"] / -STEPS)
-        value = t["place"].astype(U64) * U64(trie.successors) + inner["rank"].astype(U64)
-        order = np.argsort(value)
-        arrays = {"code": code(p)[order], "back": t["back"]} | {f"child.{k}": a for k, a in encode(value[order], max(1, len(t["back"])) * trie.successors).items()}
+        try:
+            t = mapped(f"{trie.folder}/t-{s}.bin")
+        except FileNotFoundError:  # the task has run before, up to here
+            continue
+        kids, below, seconds = t["kids"].astype(np.int64), t["sum"].astype(np.float64), trie.level(2, s)["child"]
+        borders = np.concatenate([[0], np.cumsum(kids)])
+        taken = np.concatenate([[0], np.cumsum(t["n"], dtype=np.int64)])[borders]
+        # what the kept triples leave of each pair's mass
+        left = np.where(below > 0, 1 - (np.diff(taken) - DISCOUNT * kids) / np.maximum(below, 1), 1.0)
+        place = np.repeat(np.arange(len(kids), dtype=np.int32), kids)
+        codes, value = np.zeros(len(place), np.uint16), np.zeros(len(place), U64)
+        for i in range(0, len(place), FLUSH):  # in order of pairs and last words, so of values
+            at = slice(i, i + FLUSH)
+            own, where = np.unique(place[at], return_inverse=True)
+            second = (seconds[own].astype(U64) % U64(trie.v)).astype(np.int64)[where]
+            inner = trie.pairs(second, t["third"][at].astype(np.int64))
+            codes[at] = code((t["n"][at] - DISCOUNT) / below[place[at]] + left[place[at]] * 10 ** (inner["code"] / -STEPS))
+            value[at] = place[at].astype(U64) * U64(trie.successors) + inner["rank"].astype(U64)
+        arrays = {"code": codes, "back": code(left)} | {f"child.{k}": a for k, a in encode(value, max(1, len(kids)) * trie.successors).items()}
         put(f"{trie.folder}/3-{s}.bin", packed(arrays))
+        drop(f"{trie.folder}/t-{s}.bin")
 
 
 def build(training: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[str, int, tuple[int, ...], int, int]:

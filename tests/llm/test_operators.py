@@ -154,6 +154,16 @@ def test_language_model(spark, folder, shard_words):
     assert sum(p2(some, w) for w in [*c, b"unknown"]) == pytest.approx(1)
 
 
+def test_language_model_keeps_triples_seen_once(spark):
+    known = lm.build(spark.createDataFrame([("a b c",), ("x b d",)], "text string"))
+    # n = 8 tokens of v = 6 kinds; c after b: (1 - d) / 2 + d p1, with p1 = 2 / 15; after a b: (1 - d) + d p2
+    p = lambda n, kinds, p: (1 - 0.75) / n + 0.75 * kinds / n * p
+    start, one = p(2, 2, 2 / 15), 2 / 15
+    b, c, end = p(1, 1, p(1, 1, 3 / 15)), p(1, 1, p(2, 2, one)), p(1, 1, p(1, 1, 3 / 15))
+    got = lm.score_texts(lm.opened(*known), pa.array(["a b c"]))[4][0]
+    assert got == pytest.approx(sum(map(math.log10, (start, b, c, end))), abs=2e-3)
+
+
 def test_language_model_query(spark, folder):
     got = rows_of(spark, "op2_lm_scoring", folder)
     assert Counter((r.doc_id, r.held_out) for r in got) == Counter((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, *_ in DOCS)
