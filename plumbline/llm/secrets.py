@@ -3,7 +3,8 @@
 Base kinds are three patterns. Beyond them each long token that stands after a sensitive word is a candidate: its
 marginal compressed bytes are the compressed size of the surrounding code followed by it, less that of the code alone,
 under a compressor primed with a dictionary of identifiers and common words. Names, paths and repeated strings cost
-few bytes a character, keys and passwords cost nearly their entropy; candidates above a fixed ratio are reported.
+few bytes a character, keys and passwords cost nearly their entropy; candidates above a fixed ratio are reported. Copies
+of the candidate itself are left out of the surroundings, so that a key that is set and then used is novel both times.
 
 Null and empty texts have no spans. Each row is scanned alone, whole, whatever its length.
 """
@@ -71,6 +72,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def without(text: str, low: int, high: int, part: str) -> str:
+    """text[low:high] less what belongs to copies of a part, those cut by the borders as well."""
+    kept, at, last = [], low, high + len(part) - 1
+    i = text.find(part, max(0, low - len(part) + 1), last)
+    while i >= 0:
+        kept.append(text[at : max(at, i)])
+        at = max(at, i + len(part))
+        i = text.find(part, i + len(part), last)
+    return "".join([*kept, text[at:high]])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Incompressible tokens in a sensitive context that touch no base span."""
     found = []
@@ -82,7 +94,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
         before = text[max(0, begin - CONTEXT) : begin].rpartition("\n")[2]
         if not SENSITIVE.search(before) or any(a < stop and begin < b for a, _, b in base):
             continue
-        around = text[max(0, begin - AROUND) : begin] + text[stop : stop + AROUND]
+        core = max(token.split("="), key=len)  # the value, where a name stands before it
+        around = without(text, max(0, begin - AROUND), begin, core) + without(text, stop, min(len(text), stop + AROUND), core)
         if novelty.marginal(around.encode(), token.encode()) >= least * len(token):
             found.append((begin, 3, stop))
     return found

@@ -338,6 +338,17 @@ def test_novel_secrets():
     assert secrets.scan("auth example_token_example_token_1234567890", n)[1] == []  # compressible
 
 
+def test_repeated_secrets():
+    """A key with copies nearby is reported at each place, also where the surroundings' border cuts a copy."""
+    n, r = secrets.Novelty(), random.Random(8)
+    for gap in (1, 40, 200, 225, 250):
+        key = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(39)) + "7"
+        filler = (prose(60, 3) + " ")[: gap - 1]
+        text = f"the bearer {key} {filler} bearer {key} and auth_key: {key} end"
+        found = [text[s:e] for s, k, e in secrets.scan(text, n)[1] if k == 3]
+        assert found == [key, key, key]
+
+
 def test_secret_query_and_masking(spark, folder):
     by = {r.doc_id: r for r in rows_of(spark, "op6_secret_scans", folder)}
     assert (by[8].n_assign, by[8].n_access, by[8].n_hex) == (1, 0, 1)
