@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and novelty against a dictionary-primed zstandard compressor.
 
-Base kinds are three patterns. Beyond them each long token that stands after a sensitive word is a candidate: its
+Base kinds are three patterns. Beyond them each long token with a sensitive word on either side, over line
+breaks, is a candidate, and the body of a private key between its BEGIN and END lines is secret as a whole. A candidate's
 marginal compressed bytes are the compressed size of the surrounding code followed by it, less that of the code alone,
 under a compressor primed with a dictionary of identifiers and common words. Names, paths and repeated strings cost
 few bytes a character, keys and passwords cost nearly their entropy; candidates above a fixed ratio are reported. Copies
@@ -30,7 +31,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 SENSITIVE = re.compile(r"passw|pwd|secret|token|key|auth|bearer|credential|private|cookie|session|signature", re.I | re.A)
-#: Characters before a candidate that make its context, and those around it that prime the compressor.
+#: Borders of a private key, and lines that may belong to one whose END is missing.
+HEADER = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PUBLIC)[A-Z0-9 ]*KEY(?: BLOCK)?-----")
+FOOTER = re.compile(r"-----END [A-Z0-9 ]*KEY(?: BLOCK)?-----")
+BODY = re.compile(r"(?:(?:\s|\\[nr])*(?:[A-Za-z0-9+/=]{20,}|[A-Za-z-]+:\x20[^\n]*))*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9]))?")
+#: Characters on each side of a candidate that make its context, over line breaks, and those that prime the compressor.
 CONTEXT, AROUND = 48, 256
 #: Least marginal bytes a character.
 NOVELTY = 0.6
@@ -72,6 +77,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def key_blocks(text: str) -> list[tuple[int, int, int]]:
+    """What stands between the BEGIN and END lines of private keys, whole: each line of it is secret."""
+    if "KEY" not in text or "-----BEGIN" not in text:
+        return []
+    found = []
+    for m in HEADER.finditer(text):
+        again = HEADER.search(text, m.end())
+        end = FOOTER.search(text, m.end(), again.start() if again else len(text))
+        if end:
+            stop = end.start()
+        else:  # the END line is missing: as far as the lines look like a key's
+            stop = BODY.match(text, m.end()).end()
+        body = text[m.end() : stop]
+        if body.strip():
+            found.append((m.end() + len(body) - len(body.lstrip()), 3, m.end() + len(body.rstrip())))
+    return found
+
+
 def without(text: str, low: int, high: int, part: str) -> str:
     """text[low:high] less what belongs to copies of a part, those cut by the borders as well."""
     kept, at, last = [], low, high + len(part) - 1
@@ -84,15 +107,17 @@ def without(text: str, low: int, high: int, part: str) -> str:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Incompressible tokens in a sensitive context that touch no base span."""
-    found = []
+    """Bodies of private keys, and incompressible tokens in a sensitive context that touch no base span."""
+    blocks = key_blocks(text)
+    found = list(blocks)
     for m in LONG.finditer(text):
         token = m[0]
         if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
             continue
         begin, stop = m.span()
-        before = text[max(0, begin - CONTEXT) : begin].rpartition("\n")[2]
-        if not SENSITIVE.search(before) or any(a < stop and begin < b for a, _, b in base):
+        if any(a < stop and begin < b for a, _, b in [*base, *blocks]):
+            continue
+        if not SENSITIVE.search(text[max(0, begin - CONTEXT) : begin]) and not SENSITIVE.search(text[stop : stop + CONTEXT]):
             continue
         core = max(token.split("="), key=len)  # the value, where a name stands before it
         around = without(text, max(0, begin - AROUND), begin, core) + without(text, stop, min(len(text), stop + AROUND), core)
