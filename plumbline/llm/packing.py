@@ -3,17 +3,19 @@
 Documents become token pieces of at most `limit` tokens (only longer ones are cut). Pieces are dealt to groups of a
 bounded number of pieces by a hash of their row, so that no key can gather in one task, and each group is packed by
 itself: best-fit decreasing gives the incumbent, a lower bound tells whether it is optimal, and if not branch and
-bound completes one bin at a time around the largest piece left, with undominated fillings only, pruned by the waste
-that the incumbent allows. A group costs less than one sequence over its own optimum for thousands of pieces.
+bound completes one bin at a time around the largest piece left, with undominated fillings only, the fullest first,
+pruned by the waste that the incumbent allows. Fillings are enumerated lazily and none is left out; the search opens
+nodes for two whole solutions and `nodes` more (None: until the result is proved). A group costs less than one sequence
+over its own optimum for thousands of pieces.
 
 A null or empty text is one piece, the end token alone. Repeated rows are packed as often as they occur.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +27,26 @@ from pyspark.sql import types as T
 from .common import mix, read_table, split_words, tuned, whole, written
 
 LIMIT, END = 2048, 0
-#: Pieces of one group (on average), nodes of branch and bound and fillings tried at a node.
-GROUP, NODES, FILLINGS = 16_384, 2_000, 64
+#: Pieces of one group (on average), and nodes that branch and bound may open beyond two whole solutions.
+GROUP, NODES = 16_384, 1_000
 
 
-def bound(counts: dict[int, int], limit: int) -> int:
-    """Lower bound of the bins for sizes and their counts: the fuller of the sum's and Martello and Toth's L2."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // limit)
-    for k in sorted({s for s in counts if 2 * s <= limit}):
-        large = sum(n for s, n in counts.items() if s > limit - k)
-        middle = [(s, n) for s, n in counts.items() if limit - k >= s and 2 * s > limit]
-        small = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= limit)
-        m = sum(n for _, n in middle)
-        room = m * limit - sum(s * n for s, n in middle)
-        best = max(best, large + m + max(0, -(-(small - room) // limit)))
-    return max(best, sum(n for s, n in counts.items() if 2 * s > limit))
+def counted(sizes: list[int], limit: int) -> np.ndarray:
+    return np.bincount(np.asarray(sizes, np.int64), minlength=limit + 1)
+
+
+def bound(counts: np.ndarray, limit: int) -> int:
+    """Lower bound of the bins for counts by size: the fuller of the sum's and Martello and Toth's L2."""
+    n = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(counts * np.arange(limit + 1))])
+    half = limit // 2
+    k = np.flatnonzero(counts[: half + 1])
+    large = n[-1] - n[limit - k + 1]
+    middle = n[limit - k + 1] - n[half + 1]
+    room = middle * limit - (total[limit - k + 1] - total[half + 1])
+    small = total[half + 1] - total[k]
+    best = np.concatenate([[-(-total[-1] // limit), n[-1] - n[half + 1]], large + middle + np.maximum(0, -(-(small - room) // limit))])
+    return int(best.max())
 
 
 def best_fit(sizes: list[int], limit: int) -> list[list[int]]:
@@ -76,52 +82,118 @@ def dominated(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: dict[int, int], room: int):
-    """Maximal multisets of pieces within room, fuller ones tending to come first."""
-    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
+def _sums(sizes: list[int], counts: np.ndarray, total: int) -> list[int]:
+    """For each place of descending sizes, the sums up to total that the sizes from there on can make, as set bits."""
+    full, reach = (1 << (total + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, left, step = reach[-1], min(int(counts[s]), total // s), 1
+        while left > 0:  # 1, 2, 4, ... and the rest: every number of copies is a sum of these
+            take = min(step, left)
+            bits |= (bits << (take * s)) & full
+            left, step = left - take, 2 * step
+        reach.append(bits)
+    return reach[::-1]
+
+
+def exact_sums(counts: np.ndarray, low: int, total: int):
+    """Every multiset of pieces larger than low whose sum is total, once each; few large pieces come first.
+
+    Lazy: one and two pieces are looked up, more are searched for along the sums that can be reached.
+    """
+    if not total:
+        yield ()
+        return
+    if total > low and counts[total]:
+        yield (total,)
+    there = counts[: total + 1] > 0
+    there[: low + 1] = False
+    for a in np.flatnonzero(there & there[::-1])[::-1].tolist():
+        if 2 * a > total or 2 * a == total and counts[a] > 1:
+            yield (a, total - a)
+        elif 2 * a < total:
+            break
+    sizes = np.flatnonzero(there)[::-1].tolist()
+    if not sizes or 3 * sizes[-1] > total:
+        return
+    reach = _sums(sizes, counts, total)
 
     def walk(i: int, left: int, chosen: tuple[int, ...]):
-        while i < len(sizes) and sizes[i] > left:
-            i += 1
-        if i == len(sizes):
-            smallest = next((s for s in reversed(sizes) if counts[s] > chosen.count(s)), None)
-            if smallest is None or smallest > left:
+        if not left:
+            if len(chosen) > 2:
                 yield chosen
             return
-        s = sizes[i]
-        for n in range(min(counts[s], left // s), -1, -1):
-            yield from walk(i + 1, left - n * s, chosen + (s,) * n)
+        while reach[i] >> left & 1:
+            s = sizes[i]
+            i += 1
+            for n in range(min(int(counts[s]), left // s), 0, -1):
+                if reach[i] >> (left - n * s) & 1:
+                    yield from walk(i, left - n * s, chosen + (s,) * n)
+
+    yield from walk(0, total, ())
 
-    if counts.get(room):
-        yield (room,)  # an exact fit by one piece dominates every other filling
-    else:
-        yield from walk(0, room, ())
 
+def fillings(counts: np.ndarray, room: int, most: int | None = None):
+    """Maximal multisets of pieces within room that leave `most` of it at most (None: all of them), the fullest first and
+    each made when it is asked for.
 
-def pack(sizes: list[int], limit: int = LIMIT, nodes: int = NODES) -> list[list[int]]:
-    """Bins of sizes: bin completion within a number of nodes, best-fit decreasing at worst."""
+    A filling that leaves some room holds every piece that would still fit there: those are set, and the others make up
+    the rest of its sum exactly.
+    """
+    if counts[room]:
+        yield (room,)  # an exact fit by one piece dominates every other filling
+        return
+    forced: list[int] = []
+    rest, one = room, False
+    sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    reach = None
+    for spare in range((room if most is None else min(room, most)) + 1):
+        if spare and counts[spare]:
+            forced += [spare] * int(counts[spare])
+            rest -= spare * int(counts[spare])
+        if rest < spare:
+            return
+        if spare and reach is None:
+            reach = _sums(sizes, counts, room)[0]
+        if spare and not reach >> (room - spare) & 1:
+            continue
+        for f in exact_sums(counts, spare, rest - spare):
+            if len(f) == 1 and not forced:
+                if one:
+                    continue  # the larger piece that came first dominates it
+                one = True
+                if 2 * sizes[-1] > room:
+                    yield f
+                    return
+            yield (*f, *forced)
+
+
+def pack(sizes: list[int], limit: int = LIMIT, nodes: int | None = NODES) -> list[list[int]]:
+    """Bins of sizes: best-fit decreasing, improved by bin completion.
+
+    nodes: how many nodes the search may open beyond two whole solutions; None searches until the bins are proved to be
+    the fewest.
+    """
     incumbent = best_fit(sizes, limit)
-    counts: dict[int, int] = {}
-    for s in sizes:
-        counts[s] = counts.get(s, 0) + 1
-    least, total, left = bound(counts, limit), sum(sizes), nodes
+    counts = counted(sizes, limit)
+    least, total = bound(counts, limit), sum(sizes)
+    left = None if nodes is None else nodes + 2 * len(incumbent)
     stack: list[list[int]] = []
 
     def allowed() -> int:
         return (len(incumbent) - 1) * limit - total
 
-    def search(remaining: int, waste: int):
+    def search(largest: int, remaining: int, waste: int):
         """A generator for each node, so that the depth is bounded by the list of generators and not by recursion."""
         nonlocal incumbent
         if not remaining:
             if len(stack) < len(incumbent):
                 incumbent = [list(b) for b in stack]
             return
-        largest = max(s for s, n in counts.items() if n)
+        while not counts[largest]:
+            largest -= 1
         counts[largest] -= 1
         tried: list[tuple[int, ...]] = []
-        found = sorted(islice(fillings(counts, limit - largest), FILLINGS), key=lambda f: -sum(f))
-        for f in found:
+        for f in fillings(counts, limit - largest, allowed() - waste):
             lost = limit - largest - sum(f)
             if waste + lost > allowed():
                 break  # the fullest comes first
@@ -131,20 +203,20 @@ def pack(sizes: list[int], limit: int = LIMIT, nodes: int = NODES) -> list[list[
             for s in f:
                 counts[s] -= 1
             stack.append([largest, *f])
-            yield remaining - 1 - len(f), waste + lost
+            yield largest, remaining - 1 - len(f), waste + lost
             stack.pop()
             for s in f:
                 counts[s] += 1
         counts[largest] += 1
 
     if len(incumbent) > least:
-        open_nodes = [search(len(sizes), 0)]
-        while open_nodes and left and len(incumbent) > least:
+        open_nodes = [search(limit, len(sizes), 0)]
+        while open_nodes and left != 0 and len(incumbent) > least:
             step = next(open_nodes[-1], None)
             if step is None:
                 open_nodes.pop()
             else:
-                left -= 1
+                left = None if left is None else left - 1
                 open_nodes.append(search(*step))
     return incumbent
 
@@ -166,10 +238,24 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-#: What the tokenizer cuts a normalised text into (fixed value of the vocabulary file), and a line's end.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
-#: Pretokens of one call of the tokenizer.
-CHUNK = 2000
+#: Fixed values of the vocabulary file: how it normalises a text, and what it cuts it into. With a line's end added.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pretokens of one string that the tokenizer is given.
+CHUNK = 20_000
+
+
+def cuts_into_words(path: str) -> bool:
+    """Does the file normalise and cut as WordCoder does? Others are given whole texts."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = (said.get("normalizer") or {}).get("normalizers", [])
+    cuts = (said.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == NORMALIZERS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0] == {"type": "Split", "pattern": {"Regex": PRETOKENS}, "behavior": "Removed", "invert": True}
+        and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    )
 
 
 class WordCoder:
@@ -182,7 +268,8 @@ class WordCoder:
     def __init__(self, path: str):
         import regex
 
-        self.coder, self.cut = tokenizer(path), regex.compile(PRETOKENS)
+        self.coder, self.cut = tokenizer(path), regex.compile(PRETOKENS + r"|\n")
+        self.by_word = cuts_into_words(path)
         vocabulary = self.coder.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -237,16 +324,19 @@ _CODERS: dict[str, WordCoder] = {}
 def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and each text's end among them.
 
-    The tokenizer drops white space before it merges, so a text's ids are those of its words; each distinct word of the
-    batch is encoded once.
+    Where the file drops white space before it merges (its own description is compared), a text's ids are those of its
+    words, and each distinct word of the batch is encoded once; other files get whole texts.
     """
     if path not in _CODERS:
         _CODERS[path] = WordCoder(path)
+    coder = _CODERS[path]
+    if not coder.by_word:
+        each = [np.array(e.ids, np.uint32) for e in coder.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
     words = split_words(texts)
     if not len(words.ids):
         return np.zeros(0, np.uint32), np.zeros(len(words.offsets), np.int64)
-    listed = words.dictionary.to_pylist()
-    flat, size = _CODERS[path].encode(listed)
+    flat, size = coder.encode(words.dictionary.to_pylist())
     ids, stops = gather(flat, size, words.ids)
     return ids, stops[words.offsets]
 
@@ -279,7 +369,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, id_co
     return source.mapInArrow(work, T.StructType([source.schema["doc_id"], *PIECES]))
 
 
-def pack_group(table: pa.Table, limit: int, nodes: int) -> pa.Table:
+def pack_group(table: pa.Table, limit: int, nodes: int | None) -> pa.Table:
     """Sequence and offset of each piece of one group; equal sizes are dealt in order of document and piece."""
     table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("spread", "ascending")])
     length = np.asarray(table["length"]).tolist()
@@ -297,7 +387,7 @@ def pack_group(table: pa.Table, limit: int, nodes: int) -> pa.Table:
     return out.append_column("sequence_id", pa.array([(group << 32) + k for k, _ in dealt], pa.int64())).append_column("offset", pa.array([at for _, at in dealt], pa.int64()))
 
 
-def best_fit_packing(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, group: int = GROUP, nodes: int = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, group: int = GROUP, nodes: int | None = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their sequence and offset. Pieces (without ids) are written to the shared folder to be counted."""
     found = written(pieces(docs, path, limit, end, id_col, text_col), "pieces")
     groups = max(1, -(-found.count() // group))

@@ -282,8 +282,7 @@ def test_language_query(spark, folder):
 def test_bins(sizes):
     bins = packing.pack(sizes, 50, 500)
     assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 50 for b in bins)
-    counts = Counter(sizes)
-    assert packing.bound(counts, 50) <= len(bins) <= len(packing.best_fit(sizes, 50))
+    assert packing.bound(packing.counted(sizes, 50), 50) <= len(bins) <= len(packing.best_fit(sizes, 50))
 
 
 def test_bin_completion_beats_best_fit():
@@ -533,3 +532,60 @@ def test_pipeline(spark, folder, empty):
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE), (3, "other"), (None, BASE)], "doc_id long, text string")
     assert sorted(neardup.keep_one_of_each(docs).collect(), key=str) == sorted([(1, BASE), (3, "other"), (None, BASE)], key=str)
+
+
+def fewest(sizes, limit):
+    """Fewest bins by trying every place of every piece."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[k]}:
+            left = list(rooms)
+            left[left.index(room)] -= sizes[k]
+            put(k + 1, left)
+        put(k + 1, [*rooms, limit - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_bins_without_a_limit_are_fewest(sizes):
+    assert len(packing.pack(sizes, 30, None)) == fewest(sizes, 30)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=9), st.integers(1, 20))
+def test_fillings_are_all_maximal_ones(sizes, room):
+    counts = packing.counted(sizes, 20)
+    every = {tuple(sorted(s for k, s in enumerate(sizes) if m >> k & 1)) for m in range(1 << len(sizes))}
+    inside = {f for f in every if sum(f) <= room}
+    maximal = {f for f in inside if not any(sum(f) + s <= room for s in (Counter(sizes) - Counter(f)))}
+    found = [tuple(sorted(f)) for f in packing.fillings(counts, room)]
+    assert len(set(found)) == len(found) and set(found) <= maximal
+    assert all(any(packing.dominated(f, g) for g in found) for f in maximal) and [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+
+
+def test_bin_completion_of_a_whole_group():
+    """In a group of production size that best-fit decreasing packs badly, the search finds better solutions."""
+    r = random.Random(0)
+    sizes = [r.randint(300, 1500) for _ in range(packing.GROUP)]
+    bins = packing.pack(sizes)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins)
+    assert packing.bound(packing.counted(sizes, 2048), 2048) <= len(bins) < len(packing.best_fit(sizes, 2048)) - 10
+
+
+def test_another_tokenizer_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    xs = ["two  words\n and ünïcode", "", "the end"]
+    ids, border = packing.encode_words(path, pa.array(xs))
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert not packing.cuts_into_words(path) and packing.cuts_into_words(packing.vocabulary())
+    assert [ids[border[i] : border[i + 1]].tolist() for i in range(len(xs))] == [e.ids for e in t.encode_batch(xs, add_special_tokens=False)]
