@@ -5,15 +5,18 @@ are compatible if merging the bytes of a b gives a, b again. A sequence of token
 exactly if each token is the encoding of its own bytes and each neighbouring pair is compatible. So the transducer
 runs all compatible token chains at once: a hypothesis is (tokens not yet emitted, last token, place in the trie). A
 state is a set of hypotheses; its successor under a byte is computed once, when first met, and kept. What all
-hypotheses agree on is emitted; lookahead is bounded by the longest token.
+hypotheses agree on is emitted as soon as one chain is left; the lookahead is bounded by the longest tokens.
 
-Whole pieces that are tokens are emitted as such, as the rank-file libraries do.
+Whole pieces that are tokens are emitted as such, as the rank-file libraries do. A null text is an empty one, without
+ids. Repeated rows are coded each, with equal results. Very long texts are read whole: what is held beyond the ids
+themselves is bounded by a text's longest piece and the memos.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -25,6 +28,8 @@ from .common import annotate, read_table, tuned, whole
 
 #: Kept entries of each memo of a worker (states, pairs, pieces); a full one is emptied, which changes no result.
 STATES, PAIRS, PIECES = 200_000, 400_000, 100_000
+#: Tokens that a query's streaming decoder takes at a time.
+BLOCK = 2048
 #: No token; and one more than the places of the trie. Both allow ranks and places below 2**24.
 NONE, PLACE = (1 << 25) - 1, 1 << 24
 
@@ -69,6 +74,7 @@ class Transducer:
         #: How the merges make a token: its two halves (unknown until asked for), itself twice if it can't be made.
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
+        self.depth = self._depths()
         self._restart()
 
     def _restart(self) -> None:
@@ -77,6 +83,8 @@ class Transducer:
         self.number = {start: 0}
         self.states = [start]
         self.moves: dict[int, int] = {}
+        #: Bytes since the last border that the one chain of a state has, -1 where several are alive.
+        self.settled = [-1]
 
     def _split(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; itself twice for a single byte or what merges never make."""
@@ -144,11 +152,16 @@ class Transducer:
             raise ValueError("the rank file lacks a single byte")
         live.sort()
         target = tuple(live)
-        number = self.number.get(target)
+        number, full = self.number.get(target), len(self.states) >= STATES
         if number is None:
+            if full:
+                self._restart()
             number = self.number[target] = len(self.states)
             self.states.append(target)
-        out = self.moves[state << 8 | c] = number << 25 | ended
+            self.settled.append(self.depth[target[0] % PLACE] if len(target) == 1 else -1)
+        out = number << 25 | ended
+        if number < len(self.states) - 1 or not full:  # the state that this move leaves is still known
+            self.moves[state << 8 | c] = out
         return out
 
     def _back(self, ends: list[int], start: int, stop: int) -> list[int]:
@@ -162,56 +175,74 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         known = self.ranks.get(piece)
-        if known is not None:
-            return [known]
-        if len(self.states) > STATES:
-            self._restart()
-        ends: list[int] = []
-        state, get, add, move = 0, self.moves.get, ends.append, self._move
-        for c in piece:
-            to = get(state << 8 | c) or move(state, c)
-            state = to >> 25
-            add(to & NONE)
-        return self._back(ends, 0, len(piece))
+        return [known] if known is not None else list(self.encode_stream((piece,)))
 
     def encode_stream(self, pieces_of_bytes):
-        """Tokens of a stream of byte strings (taken as one piece), each emitted once only one chain is left alive."""
+        """Tokens of a stream of byte strings (taken as one piece), each emitted once only one chain is left alive.
+
+        What is not yet emitted is kept as one token for each byte; it reaches no further back than the longest token
+        and the bytes that it takes to tell the chains apart.
+        """
         ends: list[int] = []
-        state, sent, dropped, depth = 0, 0, 0, {0: 0}
+        state, sent, get, settled = 0, 0, self.moves.get, self.settled
         for data in pieces_of_bytes:
             for c in data:
-                to = self.moves.get(state << 8 | c) or self._move(state, c)
+                to = get(state << 8 | c) or self._move(state, c)
+                if settled is not self.settled:  # the states have been forgotten meanwhile
+                    get, settled = self.moves.get, self.settled
                 state = to >> 25
                 ends.append(to & NONE)
-                live = self.states[state]
-                if len(live) == 1:
-                    at = live[0] % PLACE
-                    if at not in depth:
-                        depth = self._depths()
-                    border = len(ends) - depth[at]
-                    if border > sent:
-                        yield from self._back(ends, sent, border)
-                        ends, sent, dropped = ends[border:], 0, dropped + border
+                depth = settled[state]
+                if depth >= 0 and len(ends) - depth > sent:
+                    border = len(ends) - depth
+                    yield from self._back(ends, sent, border)
+                    del ends[:border]
         yield from self._back(ends, sent, len(ends))
 
-    def _depths(self) -> dict[int, int]:
-        depth = {0: 0}
+    def _depths(self) -> list[int]:
+        depth = [0] * len(self.next)
         for at, onward in enumerate(self.next):  # children have higher numbers than their parents
             for to in onward.values():
                 depth[to] = depth[at] + 1
         return depth
 
 
+NOT_ASCII = re.compile(rb"[\x80-\xff]+")
+
+
 class Utf8:
-    """Feed bytes in any cuts, get text; a sequence that can't go on becomes U+FFFD (one per maximal part)."""
+    """Feed bytes in any cuts, get text; a sequence that can't go on becomes U+FFFD (one per maximal part).
+
+    Short runs that lead from the machine's first state back to it are kept with their text.
+    """
+
+    runs: dict[bytes, str] = {}
 
     def __init__(self) -> None:
         self.have, self.left, self.low, self.high = b"", 0, 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
-        if not self.left and data.isascii():
-            return data.decode("ascii")
-        out = []
+        out, at = [], 0
+        for m in NOT_ASCII.finditer(data):  # runs of ASCII leave the machine's first state where it is
+            if m.start() > at:
+                if self.left:
+                    out.append(self.end())
+                out.append(data[at : m.start()].decode("ascii"))
+            run, at = m[0], m.end()
+            said = None if self.left else self.runs.get(run)
+            if said is None:
+                begun, first = self.left, len(out)
+                self._multi(run, out)
+                if not begun and not self.left and len(run) <= 16 and len(self.runs) < PIECES:
+                    self.runs[run] = "".join(out[first:])
+            else:
+                out.append(said)
+        if at < len(data):
+            out += [self.end(), data[at:].decode("ascii")]
+        return "".join(out)
+
+    def _multi(self, data: bytes, out: list[str]) -> None:
+        """Bytes from 0x80 on."""
         for c in data:
             if self.left:
                 if self.low <= c <= self.high:
@@ -221,20 +252,17 @@ class Utf8:
                         out.append(self.have.decode())
                         self.have = b""
                     continue
-                out.append("�")
-                self.have, self.left, self.low, self.high = b"", 0, 0x80, 0xBF
-            if c < 0x80:
-                out.append(chr(c))
-            elif 0xC2 <= c <= 0xF4:
+                out.append(self.end())
+            if 0xC2 <= c <= 0xF4:
                 self.have, self.left = bytes((c,)), 1 if c < 0xE0 else 2 if c < 0xF0 else 3
                 self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(c, 0x80)
                 self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(c, 0xBF)
             else:
                 out.append("�")
-        return "".join(out)
 
     def end(self) -> str:
-        left, self.left, self.have = self.left, 0, b""
+        """What an unfinished sequence becomes; the machine is in its first state again."""
+        left, self.left, self.have, self.low, self.high = self.left, 0, b"", 0x80, 0xBF
         return "�" if left else ""
 
 
@@ -270,11 +298,11 @@ class Codec:
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.decoded.__getitem__, ids))
 
-    def decode_stream(self, ids):
-        """Text as it becomes known, token by token."""
+    def decode_stream(self, ids, block: int = 1):
+        """Text as it becomes known, a block of tokens at a time."""
         machine = Utf8()
-        for i in ids:
-            if said := machine.feed(self.decoded[i]):
+        for i in range(0, len(ids), block):
+            if said := machine.feed(self.decode_bytes(ids[i : i + block])):
                 yield said
         if said := machine.end():
             yield said
@@ -319,7 +347,7 @@ ROUND_TRIP = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructFiel
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
-    """Counts and digests of each text's ids and of the bytes decoded from these ids."""
+    """Counts and digests of each text's ids and of the UTF-8 of the text that the streaming decoder makes of them."""
     tuned(docs.sparkSession)
 
     def work(b):
@@ -329,7 +357,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
             packed = c.encode_packed(t)
             n.append(len(packed) // 4)
             a.append(hashlib.sha256(packed).hexdigest())
-            d.append(hashlib.sha256(c.decode_bytes(np.frombuffer(packed, "<u4").tolist())).hexdigest())
+            decoded = hashlib.sha256()
+            for said in c.decode_stream(np.frombuffer(packed, "<u4").tolist(), BLOCK):
+                decoded.update(said.encode())
+            d.append(decoded.hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
 
     return annotate(docs, work, ROUND_TRIP, carry, [text_col])

@@ -242,7 +242,7 @@ def tokenizer(path: str):
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pretokens of one string that the tokenizer is given.
-CHUNK = 20_000
+CHUNK = 2000
 
 
 def cuts_into_words(path: str) -> bool:
