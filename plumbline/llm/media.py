@@ -1,7 +1,10 @@
 """Media columns: Netpbm and BMP to numpy arrays, area-resized tiles by integral images, difference hashes.
 
 The decoders take P1-P6 Netpbm (with comments, samples of 8 or 16 bits) and uncompressed BMP of 1, 4, 8, 24 and 32
-bits. Tiles are NPY files (bytes) of one shape, whatever the image's size. A null or damaged image gives a null tile.
+bits. Tiles are NPY files (bytes) of one shape, whatever the image's size. A null, damaged or empty image (no pixels, a
+negative width) gives a null tile. Cells of equal means count as not darker. Repeated rows and equal texts get equal
+values; a null text is an empty one, stored as one row of spaces. A very long text is one tall image: beside its bytes
+only the integral image at the target's rows is held.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     bits, depth = kind in (b"P1", b"P4"), 3 if kind in (b"P3", b"P6") else 1
     numbers, at = _header(data, 2 if bits else 3)
     width, height, most = numbers[0], numbers[1], 1 if bits else numbers[2]
+    if not width or not height or not 0 < most < 1 << 16:
+        raise ValueError("an empty Netpbm image or a range of samples that there is not")
     n = width * height * depth
     if kind in (b"P1", b"P2", b"P3"):
         rest = b"\n".join(line.split(b"#")[0] for line in data[at:].split(b"\n"))
@@ -77,6 +82,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, bits, packing = struct.unpack_from("<I I i i H H I", data, 10)
     if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32):
         raise ValueError("a compressed BMP")
+    if width <= 0 or not height:
+        raise ValueError("an empty BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if bits <= 8:
@@ -116,13 +123,20 @@ def _edges(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, fractions of pixels included, from one integral image."""
-    table = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, pixels.shape[2]))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=table[1:, 1:])
+    """Mean over each target cell's area, fractions of pixels included, from an integral image.
+
+    The integral image is made at the target's rows only: sums of whole rows between them, then fractions of one row.
+    """
     y, fy = _edges(pixels.shape[0], height)
     x, fx = _edges(pixels.shape[1], width)
-    rows = table[y] + (table[y + 1] - table[y]) * fy[:, None, None]
-    both = rows[:, x] + (rows[:, x + 1] - rows[:, x]) * fx[None, :, None]
+    between = np.add.reduceat(pixels, y[:-1], axis=0, dtype=np.int64 if pixels.dtype.kind in "iu" else np.float64)
+    between[-1] -= pixels[y[-1]]  # the last row is a fraction of its own
+    between[np.diff(y) == 0] = 0
+    above = np.zeros((height + 1, pixels.shape[1] + 1, pixels.shape[2]))
+    np.cumsum(between, 0, out=above[1:, 1:])
+    above[:, 1:] += pixels[y] * fy[:, None, None]
+    np.cumsum(above, 1, out=above)
+    both = above[:, x] + (above[:, x + 1] - above[:, x]) * fx[None, :, None]
     cells = both[1:, 1:] - both[:-1, 1:] - both[1:, :-1] + both[:-1, :-1]
     return cells / (pixels.shape[0] * pixels.shape[1] / (height * width))
 
@@ -149,18 +163,20 @@ def npy(array: np.ndarray) -> bytes:
 MEDIA = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("tile", T.BinaryType()), T.StructField("dhash", T.StringType())])
 
 
+def described(pixels: np.ndarray, tile: tuple[int, int] = TILE) -> tuple[int, int, int, bytes, str]:
+    """The columns of MEDIA for an image."""
+    resized = np.clip(np.rint(area_resize(pixels, *tile)), 0, np.iinfo(pixels.dtype).max).astype(pixels.dtype)
+    return *pixels.shape, npy(resized), difference_hash(pixels)
+
+
 def media_columns(images: DataFrame, data_col: str = "data", tile: tuple[int, int] = TILE, carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """Size, NPY tile and difference hash of each image's bytes; all null where they can't be decoded."""
 
     def one(data: bytes | None):
-        if not data:
-            return None, None, None, None, None
         try:
-            pixels = decode(data)
-            resized = np.clip(np.rint(area_resize(pixels, *tile)), 0, np.iinfo(pixels.dtype).max).astype(pixels.dtype)
-            return *pixels.shape, npy(resized), difference_hash(pixels)
+            return described(decode(data), tile) if data else (None,) * 5
         except (ValueError, struct.error, IndexError):
-            return None, None, None, None, None
+            return (None,) * 5
 
     def work(b):
         found = [one(v) for v in b.column(b.schema.get_field_index(data_col)).to_pylist()]
@@ -198,8 +214,8 @@ def _stored(texts: list[str]) -> list[list]:
         n, image = text_image(text)
         pixels = decode(image)
         payload = pixels.tobytes()
-        tile = npy(np.rint(area_resize(pixels, *TILE)).astype(np.uint8))
-        row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), difference_hash(pixels), hashlib.sha256(tile).hexdigest())
+        *_, tile, dhash = described(pixels)
+        row = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), dhash, hashlib.sha256(tile).hexdigest())
         for column, value in zip(found, row, strict=True):
             column.append(value)
     return found

@@ -482,10 +482,23 @@ def test_images():
 
 def test_media_operator(spark):
     p = np.zeros((4, 4, 3), np.uint8)
-    images = spark.createDataFrame([(1, bytearray(media.encode_bmp(p))), (2, None), (3, bytearray(b"P6 3")), (4, bytearray(b"")), (5, bytearray(b"BMx"))], "id int, data binary")
+    narrow = bytearray(media.encode_bmp(p))
+    narrow[18:22] = (-4).to_bytes(4, "little", signed=True)
+    bad = [None, b"P6 3", b"", b"BMx", b"P6 0 0 255 ", b"P5 2 0 255 ", b"P5 1 1 0 a", narrow]
+    images = spark.createDataFrame([(1, bytearray(media.encode_bmp(p))), *((k + 2, None if x is None else bytearray(x)) for k, x in enumerate(bad))], "id int, data binary")
     rows = {r.id: r.found for r in media.media_columns(images)[0].collect()}
     assert rows[1].height == 4 and np.load(__import__("io").BytesIO(rows[1].tile)).shape == (32, 32, 3)
-    assert all(rows[i].tile is None for i in (2, 3, 4, 5))
+    assert all(tuple(rows[k + 2]) == (None,) * 5 for k in range(len(bad)))
+
+
+def brute_means(x, height, width):
+    """Area means by the shares of each pixel that fall into each cell."""
+
+    def shares(size, parts):
+        edge = [k * (size / parts) for k in range(parts + 1)]
+        return np.array([[max(0.0, min(b, i + 1) - max(a, i)) for i in range(size)] for a, b in zip(edge, edge[1:], strict=False)])
+
+    return shares(x.shape[0], height) @ x @ shares(x.shape[1], width).T / (x.size / (height * width))
 
 
 def test_media_query(spark, folder):
@@ -494,6 +507,13 @@ def test_media_query(spark, folder):
         n = len(data)
         data = data.ljust(max(192, -(-n // 192) * 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        image = b"P6\n64 %d\n255\n" % (len(data) // 192) + data
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        pixels = np.frombuffer(data, np.uint8).reshape(-1, 64, 3)
+        cells = np.round(brute_means(pixels @ np.array([0.299, 0.587, 0.114]), 8, 9), 6)
+        assert r.feature == f"{int(''.join('1' if a < b else '0' for line in cells for a, b in zip(line, line[1:], strict=False)), 2):016x}"
+        tile = np.stack([np.rint(brute_means(pixels[:, :, k].astype(float), 32, 32)) for k in range(3)], 2).astype(np.uint8)
+        assert r.tile_sha256 == hashlib.sha256(media.npy(tile)).hexdigest()
 
 
 def test_urls(spark, folder):
