@@ -9,6 +9,10 @@ Names of licenses, short forms (CC BY-NC 4.0) and SPDX expressions are too short
 another license: they are found word for word, the longest one at its place. A span whose only names are those of other
 licenses (the Attribution notice over the words of Attribution-NonCommercial) is theirs and not counted.
 
+Votes are gathered by text (two 64-bit hashes of it), not by id: rows that share an id, or have none, never vote together,
+and equal texts get equal spans, found once. Diagonals are taken in order and merged from the lowest on, so ties need no
+rule; of names at one place the longest counts. A very long text is cut into k-grams whole and sent on in parts.
+
 Base labels come from three fixed phrases. Null and empty texts: no words, no places, score 0.
 """
 
@@ -18,7 +22,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,10 +99,16 @@ def license_words(texts: pa.Array) -> Words:
     return split_words(clean)
 
 
+def text_keys(text_col: str) -> list[Column]:
+    """Two hashes that tell texts apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def grams(batches, k: int):
-    """(document, position, hash) of every k-gram of every text."""
+    """(two hashes of the text, position, hash) of every k-gram of every text."""
     for b in batches:
-        words = license_words(whole(b.column(1)))
+        words = license_words(whole(b.column(2)))
         text = words.text_of()
         if len(text) >= k:
             inside = np.flatnonzero(text[k - 1 :] == text[: len(text) - k + 1])
@@ -106,7 +116,7 @@ def grams(batches, k: int):
             at = text[inside]
             for i in range(0, len(inside), 1 << 16):
                 s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[s])), pa.array((inside[s] - words.offsets[at[s]]).astype(np.int32)), pa.array(h[s])], names=["doc", "pos", "gram"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[s])), b.column(1).take(pa.array(at[s])), pa.array((inside[s] - words.offsets[at[s]]).astype(np.int32)), pa.array(h[s])], names=["x", "y", "pos", "gram"])
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
@@ -118,20 +128,22 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]], k: int
     return spark.createDataFrame(rows, "gram long, template int, at int")
 
 
-def candidates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, spans: array of (template, begin, stop, votes), one for each run of neighbouring diagonals with enough votes."""
+def candidates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, text_col: str = "text") -> DataFrame:
+    """x, y (hashes of a text) and spans: array of (template, begin, stop, votes), one for each run of neighbouring
+    diagonals with enough votes. Hits of copies of a text are one, which is settled before the shuffle.
+    """
     spark = tuned(docs.sparkSession)
     lengths = [len(license_words(pa.array([w])).ids) for _, w in templates]
-    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    found = source.mapInArrow(lambda it: grams(it, k), T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("pos", T.IntegerType()), T.StructField("gram", T.LongType())]))
-    hits = found.join(F.broadcast(template_grams(spark, templates, k)), "gram")
-    votes = hits.groupBy("doc", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
-    near = W.partitionBy("doc", "template").orderBy("diagonal")
+    x, y = text_keys(text_col)
+    found = docs.select(x.alias("x"), y.alias("y"), F.col(text_col).alias("text")).mapInArrow(lambda it: grams(it, k), "x long, y long, pos int, gram long")
+    hits = found.join(F.broadcast(template_grams(spark, templates, k)), "gram").select("x", "y", "template", "pos", "at").distinct()
+    votes = hits.groupBy("x", "y", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
+    near = W.partitionBy("x", "y", "template").orderBy("diagonal")
     runs = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > NEAR).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(near))
     length = F.element_at(F.array(*map(F.lit, lengths)), F.col("template") + 1)
-    merged = runs.groupBy("doc", "template", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
-    merged = merged.where(F.col("votes") * 2 >= length - k + 1).select("doc", F.struct("template", F.greatest("low", F.lit(0)).alias("begin"), (F.col("high") + length).alias("stop"), F.col("votes").cast("int").alias("votes")).alias("span"))
-    return merged.groupBy("doc").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    merged = runs.groupBy("x", "y", "template", "run").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
+    merged = merged.where(F.col("votes") * 2 >= length - k + 1).select("x", "y", F.struct("template", F.greatest("low", F.lit(0)).alias("begin"), (F.col("high") + length).alias("stop"), F.col("votes").cast("int").alias("votes")).alias("span"))
+    return merged.groupBy("x", "y").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def covered(words: list[str], template: list[str]) -> tuple[float, int, int]:
@@ -256,14 +268,15 @@ def verify(texts: pa.Array, spans: list, templates: list[tuple[str, str]]) -> li
     return columns
 
 
-def license_scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
+def license_scans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """Each row with a struct of SCANNED. The candidates are written to the shared folder, counted, then joined back."""
-    found = written(candidates(docs, templates, k, id_col, text_col), "license-candidates")
+    found = written(candidates(docs, templates, k, text_col), "license-candidates")
     carry = docs.columns if carry is None else carry
     few = found.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    key, spans = fresh(docs.columns, "doc"), fresh(docs.columns, "spans")
-    right = found.select(F.col("doc").alias(key), F.col("spans").alias(spans))
-    joined = docs.join(F.broadcast(right) if few else right, docs[id_col].eqNullSafe(right[key]), "left")
+    x, y, spans = (fresh(docs.columns, n) for n in ("x", "y", "spans"))
+    right = found.select(F.col("x").alias(x), F.col("y").alias(y), F.col("spans").alias(spans))
+    mine = text_keys(text_col)
+    joined = docs.withColumns({x: mine[0], y: mine[1]}).join(F.broadcast(right) if few else right, [x, y], "left").select(*docs.columns, spans)
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
 
     def work(b):

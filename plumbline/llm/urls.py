@@ -5,7 +5,8 @@ alone (full-batch gradient descent, whatever the corpus); its weights, rounded t
 adds them exactly, go into the plan as one constant array. Judging a URL is a projection of built-in functions.
 
 A null URL or one without :// has an empty host and path, fits no rule and gets the model's verdict of the empty
-string (its bias). Each row is judged alone.
+string: its bias, the log odds of the table's labels, which are below 0, so it is allowed. Each row is judged alone, so repeated rows get equal verdicts;
+URLs are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -22,21 +23,39 @@ from .common import fresh, read_table
 #: (verdict, host, path); the longest that fits wins.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Buckets (a prime), n-gram length, gradient steps, step size and weight decay.
-BUCKETS, N, STEPS, RATE, DECAY = 1021, 3, 300, 40.0, 1e-4
+BUCKETS, N, STEPS, RATE, DECAY = 2039, 3, 500, 80.0, 1e-5
 SCALE = 1_000_000
 #: Labelled URLs, host and path: what to block and what to allow.
-BLOCK = """spam-farm.example.org/en/1 spam-links.example.net/de/22 www.cheap-pills.example.com/en/450 cheap-meds.example.net/fr/9
-best-casino.example.com/es/12 online-casino-bonus.example.org/win/77 free-money.example.net/en/31 fast-loans.example.com/apply/5
-payday-loans.example.org/en/6 hot-singles.example.net/xxx/8 adult-cams.example.com/xxx/3 buy-followers.example.org/en/44
-replica-watches.example.com/shop/90 viagra-pills.example.net/buy/2 spam-mill.example.com/fr/17 lottery-winner.example.org/claim/1
-poker-casino.example.net/play/55 click-farm.example.com/ads/10 link-farm.example.net/en/71 pills-online.example.org/es/5
-cheap-replica.example.com/de/66 seo-spam.example.org/blog/4 betting-tips.example.com/win/20 crack-keygen.example.net/download/12""".split()
-ALLOW = """www.ththre.example.com/fr/825 m.theren.example.net/en/25 blog.therion.example.com/en/853 news.example.org/en/685
-docs.therin.example.net/guide/770 library.example.org/de/12 www.university.example.com/research/4 blog.garden.example.net/es/533
-en.encyclopedia.example.org/wiki/history museum.example.com/en/148.html www.weather.example.net/fr/65 recipes.example.com/en/471
-school.example.org/lessons/9 blog.travel.example.net/de/612 science.example.com/articles/334 www.thertion.example.org/es/978
-city-hall.example.org/en/30 forum.ththan.example.com/en/369 hospital.example.net/health/7 blog.tionsh.example.com/fr/533
-www.thernd.example.net/de/455 archive.example.org/texts/797 m.history.example.com/en/474.html parliament.example.org/laws/88""".split()
+BLOCK = """bestcasinobonus.top/slots/free-spins onlinecasino-royal.bet/register?promo=100 mega-casino-win.xyz/jackpot slotking-casino.club/play poker-stars-bonus.vip/signup freespins24.bet/en/slots
+sportsbetting-tips.win/odds/today live-roulette-casino.net/tables crypto-casino-deposit.io/bonus betwin365.bet/sports/football lottery-winner-claim.info/prize/2291 jackpot-lotto-results.win/draw
+cheap-viagra-pills.com/order cialis-online-pharmacy.biz/buy-now canadian-pharmacy-meds.top/generic/viagra no-prescription-drugs.shop/tramadol buy-xanax-online.store/checkout weightloss-pills-miracle.com/keto
+diet-keto-gummies.shop/special-offer buy-steroids-online.net/anabolic payday-loans-fast.com/apply instant-cash-loan.online/no-credit-check quick-loans-approved.info/apply bad-credit-loans.biz/get-cash
+forex-signals-profit.club/join bitcoin-doubler.top/invest earn-money-fast.xyz/work-from-home free-bitcoin-giveaway.io/claim crypto-profit-robot.live/register make-money-online-now.biz/secret-method
+hot-singles-nearby.date/chat xxx-adult-videos.tube/watch/8812 live-sex-cams.webcam/models/anna free-porn-movies.xxx/category/milf adult-dating-hookup.club/join sexy-escorts-city.com/girls
+pornstar-clips.tube/video/2231 nude-celebs-leaked.net/gallery xxx-cams-live.chat/room/7 milf-sex-chat.date/profile/88 replica-watches-sale.shop/rolex fake-designer-handbags.store/gucci-replica
+cheap-nike-outlet.top/air-max discount-rayban-sale.shop/sunglasses louis-vuitton-replica.store/bags rolex-replica-cheap.com/submariner crack-keygen-download.net/photoshop warez-full-version.org/office-crack
+serial-keys-free.info/windows-activator torrent-movies-hd.to/download/avatar nulled-scripts.club/wordpress-plugins free-cracked-software.xyz/autocad keygen-serial.top/antivirus watch-free-movies-hd.stream/full-movie
+buy-instagram-followers.co/packages cheap-backlinks-seo.com/pr9 get-twitter-followers.biz/buy seo-link-farm.info/submit buy-cheap-traffic.online/visitors link-exchange-directory.top/add-url
+write-my-essay-cheap.com/order essay-writing-service.biz/buy-essay secure-login-paypa1.com/verify/account appleid-verify-account.info/login update-bank-account.top/signin/confirm free-iphone-winner.live/claim-prize
+win-gift-card-now.club/survey you-won-prize.click/claim?id=77 virus-alert-support.online/call-now pc-cleaner-free-download.xyz/setup.exe free-ringtones-download.biz/mp3 miracle-hair-growth.shop/buy
+psychic-love-spells.net/cast cheap-meds-online.top/viagra spam-farm.example.org/links/1 casino-bonus-spam.example.net/win online-casino-bonus.example.org/win/77 poker-casino.example.net/play/55
+cheap-meds.example.net/buy/9 fast-loans.example.com/apply/5""".split()
+ALLOW = """en.wikipedia.org/wiki/History_of_mathematics de.wikipedia.org/wiki/Geschichte fr.wikipedia.org/wiki/Histoire_de_France es.wikipedia.org/wiki/Geograf%C3%ADa www.gutenberg.org/ebooks/1342 archive.org/details/texts
+github.com/apache/spark/blob/master/README.md gitlab.com/explore/projects stackoverflow.com/questions/11227809/why-is-processing-a-sorted-array-faster docs.python.org/3/library/json.html spark.apache.org/docs/latest/sql-ref.html developer.mozilla.org/en-US/docs/Web/HTTP
+www.kernel.org/doc/html/latest/process arxiv.org/abs/1706.03762 pubmed.ncbi.nlm.nih.gov/31452104 www.nature.com/articles/s41586-020-2649-2 www.bbc.com/news/world-europe-56720589 www.theguardian.com/science/2020/jul/10/space
+www.lemonde.fr/international/article/2021/03/04 www.spiegel.de/wissenschaft/mensch elpais.com/cultura/2021-02-03 www.dw.com/en/science/s-12526 www.nasa.gov/missions/artemis www.noaa.gov/weather/forecast
+www.who.int/news-room/fact-sheets/detail/malaria www.europa.eu/youth/volunteering www.loc.gov/collections/maps www.nist.gov/publications/time-and-frequency data.gov.uk/search?q=transport www.census.gov/library/stories
+ocw.mit.edu/courses/mathematics/linear-algebra www.stanford.edu/research/news www.ox.ac.uk/admissions/undergraduate www.ethz.ch/en/studies.html www.khanacademy.org/science/biology plato.stanford.edu/entries/ethics
+www.allaboutbirds.org/guide/American_Robin/overview www.imdb.com/title/tt0068646/reviews www.goodreads.com/book/show/1885 www.bbcgoodfood.com/recipes/lentil-soup www.seriouseats.com/bread-baking-guide www.rottentomatoes.com/m/metropolis
+blog.gardening-notes.org/2019/05/tomatoes www.city-library.org/opening-hours news.riverside-herald.com/local/council-meeting www.mountain-hiking.ch/routes/day-trips docs.weatherstation.net/manual/install www.village-school.co.uk/parents/calendar
+recipes.family-kitchen.net/soup/onion forum.woodworking-club.org/threads/bench-plans museum.harbour-town.nl/exhibitions/current www.historical-society.org/archive/letters blog.astronomy-now.net/2020/saturn-rings science.tidepool.edu/lessons/erosion
+www.cycling-routes.fr/alpes/col-du-galibier www.buergeramt-stadt.de/termine/online www.ayuntamiento-ciudad.es/servicios www.universite-nord.fr/recherche/laboratoires blog.travel-diary.net/2018/kyoto www.chess-federation.org/rules/tournaments
+en.dictionary-online.org/word/serendipity www.openstreetmap.org/about lists.debian.org/debian-user/2021/01 www.postgresql.org/docs/current/indexes.html numpy.org/doc/stable/reference www.gnu.org/software/emacs/manual
+www.farmers-market.org/vendors/apples www.orchestra-hall.org/concerts/season www.bird-watching.co.uk/species/heron parliament.example.org/laws/88 blog.garden.example.net/es/533 library.example.org/de/12
+www.university.example.com/research/4 m.history.example.com/en/474.html news.example.org/en/685 docs.thermal.example.net/guide/770 www.theatre.example.org/fr/3847 blog.station.example.com/de/9290.html
+en.wikipedia.org/wiki/Probability_theory www.poetryfoundation.org/poems/46569 www.metmuseum.org/art/collection/search/436535 www.fao.org/3/ca8753en www.mayoclinic.org/diseases-conditions/diabetes www.nhs.uk/conditions/asthma
+www.tagesschau.de/inland/wahl www.rfi.fr/fr/afrique www.rtve.es/noticias/ciencia www.smithsonianmag.com/history/rome www.britannica.com/animal/whale www.nationalgeographic.com/animals/article/wolves
+m.thrift-notes.example.org/en/2 www.then-and-now.example.com/en/31 blog.renation.example.com/fr/900 tidings.example.net/en/5""".split()
 
 
 def bucket(gram: str) -> int:
@@ -52,22 +71,40 @@ def grams(text: str) -> list[int]:
 
 @lru_cache(maxsize=4)
 def fit(block: tuple[str, ...] = tuple(BLOCK), allow: tuple[str, ...] = tuple(ALLOW)) -> tuple[tuple[int, ...], int]:
-    """Weights of the buckets and the bias, in millionths; an n-gram counts by its share of the URL's n-grams."""
+    """Weights of the buckets and the bias, in millionths; an n-gram counts by its share of the URL's n-grams.
+
+    The bias is the log odds of the table's labels: what is known of a URL without n-grams.
+    """
     rows = [(grams(u), 1.0) for u in block] + [(grams(u), 0.0) for u in allow]
-    w, bias = [0.0] * BUCKETS, 0.0
+    w, bias = [0.0] * BUCKETS, math.log(max(1, len(block)) / max(1, len(allow)))
     for _ in range(STEPS):
-        slope, lift = [DECAY * v for v in w], 0.0
+        slope = [DECAY * v for v in w]
         for found, label in rows:
             z = bias + sum(w[b] for b in found) / max(1, len(found))
             miss = (1 / (1 + math.exp(-z)) - label) / len(rows)
-            lift += miss
             for b in found:
                 slope[b] += miss / len(found)
         w = [a - RATE * g for a, g in zip(w, slope, strict=True)]
-        bias -= lift
     return tuple(round(v * SCALE) for v in w), round(bias * SCALE)
 
 
+def blocks(url: str, block: tuple[str, ...], allow: tuple[str, ...]) -> bool:
+    """The verdict of host and path by a model of these labelled URLs."""
+    weights, bias = fit(block, allow)
+    found = grams(url)
+    return sum(weights[b] for b in found) + max(1, len(found)) * bias > 0
+
+
+def held_out_accuracy(folds: int = 5) -> tuple[float, float]:
+    """Shares of the blocked and of the allowed URLs that models of the other folds judge rightly."""
+    right = [0, 0]
+    for k in range(folds):
+        known = [tuple(u for i, u in enumerate(x) if i % folds != k) for x in (BLOCK, ALLOW)]
+        right[0] += sum(blocks(u, *known) for u in BLOCK[k::folds])
+        right[1] += sum(not blocks(u, *known) for u in ALLOW[k::folds])
+    return right[0] / len(BLOCK), right[1] / len(ALLOW)
+
+
 def _ordered() -> list[tuple[str, str, str, str]]:
     return sorted(((v, h, p, f"{h}{p}") for v, h, p in RULES), key=lambda r: -len(r[3]))
 
