@@ -1,19 +1,25 @@
 """Secret scans: fixed patterns, and novelty against a dictionary-primed zstandard compressor.
 
-Base kinds are three patterns. Beyond them each long token with a sensitive word on either side, over line
-breaks, is a candidate, and the body of a private key between its BEGIN and END lines is secret as a whole. A candidate's
-marginal compressed bytes are the compressed size of the surrounding code followed by it, less that of the code alone,
-under a compressor primed with a dictionary of identifiers and common words. Names, paths and repeated strings cost
-few bytes a character, keys and passwords cost nearly their entropy; candidates above a fixed ratio are reported. Copies
-of the candidate itself are left out of the surroundings, so that a key that is set and then used is novel both times.
-
-Null and empty texts have no spans. Each row is scanned alone, whole, whatever its length.
+Base kinds are three patterns. Beyond them each token of SHORTEST characters or more with a sensitive word on either
+side, over line breaks, is a candidate, and the body of a private key between its BEGIN and END lines is secret as a
+whole. A candidate's marginal compressed bytes are the compressed size of the surrounding code followed by it, less that
+of the code alone, under a compressor primed with a dictionary that zstandard trains on code: the sources of a fixed list
+of Python's own modules, with their identifiers and the letter frequencies of names and words. Names, words and repeated
+strings cost few bytes a character, keys and passwords cost nearly their entropy; novelty alone decides, whatever kinds
+of characters a candidate has. Copies of the candidate itself are left out of the surroundings, so that a key that is
+set and then used is novel both times. The dictionary is trained once, on the driver, and sent with the tasks (32 KB).
+
+Null and empty texts have no spans. Each row is scanned alone, whole, whatever its length, so repeated rows have equal
+spans; spans that start together come in the order of KINDS.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
+import inspect
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -29,7 +35,9 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 #: Runs of hex digits are maximal, so a run starts where no hex digit stands before.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters of the shortest candidate.
+SHORTEST = 16
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 SENSITIVE = re.compile(r"passw|pwd|secret|token|key|auth|bearer|credential|private|cookie|session|signature", re.I | re.A)
 #: Borders of a private key, and lines that may belong to one whose END is missing.
 HEADER = re.compile(r"-----BEGIN (?![A-Z0-9 ]*PUBLIC)[A-Z0-9 ]*KEY(?: BLOCK)?-----")
@@ -38,26 +46,38 @@ BODY = re.compile(r"(?:(?:\s|\\[nr])*(?:[A-Za-z0-9+/=]{20,}|[A-Za-z-]+:\x20[^\n]
 #: Characters on each side of a candidate that make its context, over line breaks, and those that prime the compressor.
 CONTEXT, AROUND = 48, 256
 #: Least marginal bytes a character.
-NOVELTY = 0.6
-IDENTIFIERS = " ".join(
-    "import from class def return function const let var public static final void string int float bool null true false "
-    "http https www com org net html json xml yaml config settings client server request response header body session "
-    "cookie token secret password passwd api_key apikey access_key auth authorization bearer credential private public "
-    "certificate BEGIN END RSA KEY user username email name value index length buffer array object list dict map file "
-    "path data base64 sha1 sha256 md5 encode decode encrypt decrypt the of and to in is that for it on was with as by "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 example sample test placeholder "
-    "your_token_here xxxxxxxxxxxxxxxxxxxx 00000000000000000000".split(" ")
-).encode()
+NOVELTY = 0.75
+#: Python modules whose sources are the code that the dictionary is trained on, characters of a sample, and its bytes.
+CODE = """json.decoder json.encoder http.client http.cookies configparser logging.config argparse email.message urllib.request
+urllib.parse csv shelve ssl smtplib imaplib ftplib secrets hmac getpass netrc base64 uuid pathlib shutil subprocess threading
+socket socketserver asyncio.streams xml.dom.minidom calendar gettext locale optparse tarfile zipfile textwrap datetime
+decimal statistics""".split()
+SAMPLE, DICTIONARY = 400, 1 << 15
 
 SPANS = T.StructType([T.StructField("kind", T.ArrayType(T.StringType())), T.StructField("begin", T.ArrayType(T.IntegerType())), T.StructField("stop", T.ArrayType(T.IntegerType()))])
 
 
+@lru_cache(maxsize=2)
+def novelty_of(dictionary: bytes) -> Novelty:
+    """One compressor per worker."""
+    return Novelty(dictionary)
+
+
+@lru_cache(maxsize=1)
+def trained() -> bytes:
+    """The dictionary; the same sources give the same bytes."""
+    code = "\n".join(inspect.getsource(importlib.import_module(m)) for m in CODE)
+    samples = [code[i : i + SAMPLE].encode() for i in range(0, len(code), SAMPLE)]
+    return zstandard.train_dictionary(DICTIONARY, samples, level=3).as_bytes()
+
+
 class Novelty:
     """Marginal compressed bytes of strings in their surroundings."""
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 3):
-        primer = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, dictionary: bytes | None = None, level: int = 3):
+        primer = zstandard.ZstdCompressionDict(trained() if dictionary is None else dictionary)
         params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=0, write_content_size=0, write_dict_id=0)
+        primer.precompute_compress(compression_params=params)
         self.compressor = zstandard.ZstdCompressor(dict_data=primer, compression_params=params)
 
     def marginal(self, around: bytes, candidate: bytes) -> int:
@@ -112,8 +132,6 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
     found = list(blocks)
     for m in LONG.finditer(text):
         token = m[0]
-        if token.isalpha() or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
         begin, stop = m.span()
         if any(a < stop and begin < b for a, _, b in [*base, *blocks]):
             continue
@@ -135,9 +153,10 @@ def scan(text: str, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[
 def secret_spans(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
     """All spans of each row as a struct of three arrays; carry: see annotate."""
     tuned(docs.sparkSession)
+    dictionary = trained()
 
     def work(b):
-        novelty = Novelty()
+        novelty = novelty_of(dictionary)
         rows = [scan(t, novelty)[1] for t in whole(b.column(b.schema.get_field_index(text_col))).to_pylist()]
         return [pa.array([[KINDS[k] for _, k, _ in r] for r in rows], pa.list_(pa.string())), pa.array([[s for s, _, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[e for _, _, e in r] for r in rows], pa.list_(pa.int32()))]
 
@@ -157,9 +176,10 @@ def mask(text: str, spans: list[tuple[int, int, int]], sign: str = "[secret]") -
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every reported span masked; a null text stays null; n_chars, where docs has it, follows the text."""
     tuned(docs.sparkSession)
+    dictionary = trained()
 
     def work(b):
-        novelty = Novelty()
+        novelty = novelty_of(dictionary)
         return [pa.array([None if t is None else mask(t, scan(t, novelty)[1]) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.string())]
 
     rest = [c for c in docs.columns if c != text_col]
@@ -177,10 +197,10 @@ DIGEST = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of the secrets in every document."""
-    docs = read_table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    docs, dictionary = read_table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), trained()
 
     def work(b):
-        novelty = Novelty()
+        novelty = novelty_of(dictionary)
         columns: list[list] = [[], [], [], [], []]
         for text in whole(b.column(1)).to_pylist():
             base, every = scan(text, novelty)
