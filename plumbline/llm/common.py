@@ -20,18 +20,28 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows and bytes, so that very long texts cannot fill a worker."""
+    """Bound Arrow batches by rows and bytes, so that very long texts cannot fill a worker.
+
+    The settings stay in the session: a plan is made, and reads them, when the caller runs it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, with its file system's name, so that workers resolve it
+    as Spark does. Unset, it is a folder of our own in local mode (tests) and an error on a cluster, whose executors
+    share no local folder.
+    """
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if where is None:
-        where = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    p = sc._jvm.org.apache.hadoop.fs.Path(where)
+    where = p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where.rstrip("/")

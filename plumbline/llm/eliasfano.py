@@ -9,6 +9,8 @@ import uuid
 import numpy as np
 
 U = np.uint64
+#: Words of the upper bits between two counts of zeros (a power of two).
+STRIDE = 8
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -52,13 +54,24 @@ class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.upper, self.ones, self.low = arrays["upper"], arrays["ones"], arrays["low"]
         self.n, self.width = (int(x) for x in arrays["shape"])
-        self.zeros = np.arange(len(self.upper), dtype=np.int64) * 64 - self.ones[:-1]
+        #: Zeros before every STRIDE-th word: all that is held beside the mapped arrays.
+        self.zeros = np.arange(0, len(self.upper), STRIDE, dtype=np.int64) * 64 - self.ones[:-1:STRIDE]
+
+    def _word_of_zero(self, k: np.ndarray) -> np.ndarray:
+        """The word of the upper bits that holds the k-th zero: zeros before a word are its bits less its ones."""
+        word, last = (np.searchsorted(self.zeros, k, side="right") - 1) * STRIDE, len(self.upper) - 1
+        step = STRIDE >> 1
+        while step:
+            on = np.minimum(word + step, last)
+            word = np.where(on * 64 - self.ones[on] <= k, on, word)
+            step >>= 1
+        return word
 
     def _bucket(self, high: np.ndarray) -> np.ndarray:
         """Index of the first value whose high part is at least high: the ones before zero number high - 1."""
         k = high - 1
-        lo = np.searchsorted(self.zeros, k, side="right") - 1  # zeros before each word
-        at = lo * 64 + _select_in_word(~self.upper[lo], k - self.zeros[lo])
+        lo = self._word_of_zero(np.maximum(k, 0))
+        at = lo * 64 + _select_in_word(~self.upper[lo], k - (lo * 64 - self.ones[lo]))
         return np.where(high > 0, at - k, 0)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
