@@ -14,14 +14,19 @@ def from_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def number(c: Column) -> Column:
+    """Anything as a double; null if it is no number."""
+    return from_nan(c.try_cast("double"))
+
+
 def price(c: Column) -> Column:
     """A price as a double within 0 and a million; null if it is no number."""
-    v = c.try_cast("double")
-    return F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.0)), F.lit(1e6)))
+    v = number(c)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1e6)))
 
 
 def log_count(c: Column) -> Column:
-    return F.log1p(F.greatest(F.coalesce(c.try_cast("double"), F.lit(0.0)), F.lit(0.0)))
+    return F.log1p(F.greatest(F.coalesce(number(c), F.lit(0.0)), F.lit(0.0)))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -68,10 +68,11 @@ def query_categories(keys: DataFrame, by_token: DataFrame) -> DataFrame:
 def choice_shares(pairs: DataFrame) -> DataFrame:
     """(query_key, category, chosen, text_chosen, log_count, share) from choices with query_key and category.
 
-    share: of the text's choices those of the category; log_count: log1p of the text's choices in 100,000.
+    share: of the text's choices those of the category; log_count: log1p of the text's choices in 100,000. A text all of
+    whose choices are of unknown category has one row, with a null category and share 0.
     """
     by_text = pairs.groupBy("query_key").agg(F.count(F.lit(1)).alias("text_chosen"))
     total = pairs.agg(F.count(F.lit(1)).alias("n"))
     both = pairs.where("category is not null").groupBy("query_key", "category").agg(F.count(F.lit(1)).alias("chosen"))
-    joined = both.join(by_text, "query_key").crossJoin(F.broadcast(total))  # one row
+    joined = by_text.join(both, "query_key", "left").withColumn("chosen", F.coalesce("chosen", F.lit(0).cast("long"))).crossJoin(F.broadcast(total))  # one row
     return joined.select("query_key", "category", "chosen", "text_chosen", F.round(F.log1p(F.col("text_chosen") / F.col("n") * 1e5), 6).alias("log_count"), F.round(F.col("chosen") / F.col("text_chosen"), 6).alias("share"))

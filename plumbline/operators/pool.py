@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,12 @@ from plumbline.functions.stem import stemmed
 from plumbline.sources.tables import materialised
 
 from . import bm25, history, ranking, vectors
+from .evaluation import review_bucket
 
+#: Least share of a category that the words lead to.
+PLAUSIBLE = 0.01
+#: Distinct filter phrases that may travel to every item.
+BROADCAST_PHRASES = 10_000
 #: Items that each channel gives, at most.
 CHANNELS = {f"{kind}_{mask}": k for kind in ("bm25", "dense", "dense2") for mask, k in (("global", 100), ("geo", 300), ("geo_filt", 150))}
 
@@ -42,17 +47,36 @@ def prepare_queries(queries: DataFrame, shares: DataFrame, items: DataFrame) ->
     return joined.withColumns({"q_ntok": text.n_tokens(F.col("title_text")), "query_loc_has_items": F.coalesce("query_loc_has_items", F.lit(0)), "zone_places": F.coalesce(F.map_keys("zone"), F.array().cast(f"array<{items.schema['location'].dataType.simpleString()}>"))})
 
 
+def held_phrases(items: DataFrame, phrases: DataFrame) -> DataFrame:
+    """items (item_id, compact) with held: the phrases (one column, distinct) that occur in compact.
+
+    Up to BROADCAST_PHRASES, counted, all phrases travel in one broadcast row and every item tests them. Beyond, items and
+    phrases are joined by the key and first character that a phrase begins with, wherever it stands in an item, and only
+    what meets is tested.
+    """
+    if phrases.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
+        listed = phrases.agg(F.collect_set("phrase").alias("phrases"))
+        held = F.filter("phrases", lambda f: F.contains(F.col("compact"), f))
+        return items.crossJoin(F.broadcast(listed)).withColumn("held", held).drop("phrases")
+    begin = F.lit("(?s)(?=((?:" + "|".join(text.COMPACT_KEYS) + ") .))")
+    probes = items.select("item_id", "compact", F.explode(F.array_distinct(F.regexp_extract_all("compact", begin, F.lit(1)))).alias("probe"))
+    asked = phrases.select("phrase", F.get(F.regexp_extract_all("phrase", begin, F.lit(1)), F.lit(0)).alias("probe"))
+    met = probes.join(asked, "probe").where(F.contains(F.col("compact"), F.col("phrase")))
+    held = met.groupBy("item_id").agg(F.collect_set("phrase").alias("held"))
+    return items.join(held, "item_id", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+
+
 def prepare_items(items: DataFrame, queries: DataFrame) -> DataFrame:
-    """Texts, numbers and held filter phrases of each item. The distinct phrases of the queries are one broadcast row."""
-    phrases = queries.select(F.explode("wanted").alias("p")).agg(F.collect_set("p").alias("phrases"))
+    """Texts, numbers and held filter phrases of each item."""
+    phrases = queries.select(F.explode("wanted").alias("phrase")).distinct()
     ready = items.select(
-        "item_id", "location", "microcat", "lat", "lon",
+        "item_id", "location", "microcat", numbers.number(F.col("lat")).alias("lat"), numbers.number(F.col("lon")).alias("lon"),
         stemmed(text.weighted(F.col("title"), F.col("params"), F.col("description"))).alias("full_text"), stemmed(text.normalize(F.col("title"))).alias("title_text"),
-        text.compact_params(F.col("params")).alias("compact"), F.col("rating").cast("double").alias("item_rating"), numbers.log_count(F.col("reviews")).alias("item_reviews_count"),
+        text.compact_params(F.col("params")).alias("compact"), numbers.number(F.col("rating")).alias("item_rating"), numbers.log_count(F.col("reviews")).alias("item_reviews_count"),
         F.coalesce(F.log1p(numbers.price(F.col("price"))), F.lit(0.0)).alias("item_price"), F.coalesce(F.col("phone_hidden").cast("int"), F.lit(0)).alias("item_phone_hidden"),
         F.coalesce(F.col("message_forbidden").cast("int"), F.lit(0)).alias("item_message_forbidden"), F.length(text.or_empty(F.col("title"))).alias("title_len"), F.length(text.or_empty(F.col("description"))).alias("desc_len"),
     )
-    return ready.crossJoin(F.broadcast(phrases)).withColumn("held", F.filter("phrases", lambda f: F.contains(F.col("compact"), f))).drop("phrases", "compact")
+    return held_phrases(ready, phrases).drop("compact")
 
 
 def supply(scored: DataFrame) -> DataFrame:
@@ -73,22 +97,17 @@ def _bm25_channels(scored: DataFrame, channels: dict[str, int]) -> DataFrame:
     return every.withColumn("rank", F.row_number().over(order) - 1).where("rank < k").select("query_id", "item_id", "channel", "rank")
 
 
-def _dense_channels(kind: str, items: DataFrame, queries: DataFrame, channels: dict[str, int], fp16: bool) -> list[DataFrame]:
-    found = []
-    zone, tags = {"item_zone": "location", "query_zone": "zone_places"}, {"item_tags": "held", "query_tags": "wanted"}
-    for mask, extra in (("global", {}), ("geo", zone), ("geo_filt", zone | tags)):
-        k = channels.get(f"{kind}_{mask}")
-        if k:
-            asked = queries.where(F.size("wanted") > 0) if mask == "geo_filt" else queries
-            found.append(vectors.dense_topk(items, "item_id", "embedding", asked, "query_id", "embedding", k, fp16=fp16, **extra).select("query_id", "item_id", F.lit(f"{kind}_{mask}").alias("channel"), "rank"))
-    return found
+def _views(kind: str, channels: dict[str, int]) -> list[vectors.View]:
+    """The encoder's channels, and the best item of all and of the zone, which the features need in any case."""
+    masks = {"global": {}, "geo": {"zone": True}, "geo_filt": {"zone": True, "tags": True}}
+    views = [vectors.View(f"{kind}_{mask}", channels[f"{kind}_{mask}"], **extra) for mask, extra in masks.items() if channels.get(f"{kind}_{mask}")]
+    return [*views, vectors.View("best", 1), vectors.View("best_geo", 1, zone=True)]
 
 
-def _best_cosines(items: DataFrame, queries: DataFrame, fp16: bool) -> DataFrame:
+def _best_cosines(found: DataFrame) -> DataFrame:
     """(query, best, best_geo): maxima over all items and over the zone (-1 where that is empty)."""
-    one = lambda **extra: vectors.dense_topk(items, "item_id", "embedding", queries, "query_id", "embedding", 1, fp16=fp16, **extra)
-    geo = one(item_zone="location", query_zone="zone_places").select("query_id", F.col("cos").alias("g"))
-    return one().select("query_id", F.col("cos").alias("best")).join(geo, "query_id", "left").select("query_id", "best", F.coalesce("g", F.lit(-1.0)).alias("best_geo"))
+    best = found.where("channel in ('best', 'best_geo')").groupBy("query_id").agg(F.max(F.when(F.col("channel") == "best", F.col("cos"))).alias("best"), F.max(F.when(F.col("channel") == "best_geo", F.col("cos"))).alias("best_geo"))
+    return best.withColumn("best_geo", F.coalesce("best_geo", F.lit(-1.0)))
 
 
 def build_pool(items: DataFrame, queries: DataFrame, encoders: list[tuple[DataFrame, DataFrame]], shares: DataFrame, by_token: DataFrame, chosen: DataFrame, channels: dict[str, int] = CHANNELS, positives: DataFrame | None = None) -> DataFrame:
@@ -108,11 +127,13 @@ def build_pool(items: DataFrame, queries: DataFrame, encoders: list[tuple[DataFr
     scored = materialised(masks.select("query_id", "item_id", "bm25", "wanted", geo.alias("in_geo"), (F.size(F.array_except("wanted", "held")) == 0).cast("int").alias("filter_ok")), "scored")
     parts, sides = [_bm25_channels(scored, channels)], []
     for k, (item_vectors, query_vectors) in enumerate(encoders):
-        i = it.select("item_id", "location", "held").join(item_vectors.select("item_id", "embedding"), "item_id")
-        a = q.select("query_id", "zone_places", "wanted").join(query_vectors.select("query_id", "embedding"), "query_id")
-        i, a = materialised(i, "item-vectors"), materialised(a, "query-vectors")
-        sides.append((i, a))
-        parts += _dense_channels("dense" if k == 0 else "dense2", i, a, channels, fp16=k > 0)
+        kind = "dense" if k == 0 else "dense2"
+        i = materialised(it.select("item_id", "location", "held").join(item_vectors.select("item_id", "embedding"), "item_id"), "item-vectors")
+        a = materialised(q.select("query_id", "zone_places", "wanted").join(query_vectors.select("query_id", "embedding"), "query_id"), "query-vectors")
+        masks = {"item_zone": "location", "query_zone": "zone_places", "item_tags": "held", "query_tags": "wanted"}
+        found = materialised(vectors.dense_channels(i, "item_id", "embedding", a, "query_id", "embedding", _views(kind, channels), **masks, fp16=k > 0), "dense")
+        sides.append((i, a, found))
+        parts.append(found.where(F.col("channel").startswith(kind)).select("query_id", "item_id", "channel", "rank"))
     kinds = ["bm25", "dense", "dense2"][: 1 + len(encoders)]
     names = [c for c in channels if c.split("_")[0] in kinds]
     pool = materialised(ranking.merge_channels(reduce(lambda a, b: a.unionByName(b), parts), "query_id", "item_id", names), "candidates")
@@ -121,37 +142,39 @@ def build_pool(items: DataFrame, queries: DataFrame, encoders: list[tuple[DataFr
     pool = pool.join(scored.select("query_id", "item_id", "bm25"), ["query_id", "item_id"], "left").join(supply(scored), "query_id", "left")
     pool = pool.withColumns({"bm25": zero(F.col("bm25")), "geo_supply_bm25": zero(F.col("geo_supply_bm25")), "geo_supply_filt": zero(F.col("geo_supply_filt")), "n_bm25_hits_log": zero(F.col("n_bm25_hits_log"))})
     pool = pool.withColumns({"bm25_rel": F.col("bm25") / F.greatest(zero(F.col("best")), F.lit(1e-6)), "bm25_rel_geo": numbers.ratio(F.col("bm25"), zero(F.col("best_geo")))}).drop("best", "best_geo")
-    for name, postings, column in (("cov_full", full, "title_text"), ("cov_title", title, "title_text"), ("filter_cov", full, "filter_text")):
-        got = bm25.coverage(postings, "item_id", q, "query_id", F.col(column)).select("query_id", "item_id", F.col("coverage").alias(name))
-        pool = pool.join(got, ["query_id", "item_id"], "left")
-    known = bm25.term_counts(q, "query_id", F.col("filter_text")).join(full.select("term").distinct(), "term", "left_semi").select("query_id").distinct().withColumn("filter_known", F.lit(1))
-    pool = pool.join(bm25.scores(title, "item_id", q, "query_id", F.col("title_text")).withColumnRenamed("bm25", "bm25_title"), ["query_id", "item_id"], "left").join(known, "query_id", "left")
-    pool = pool.withColumns({"cov_full": zero(F.col("cov_full")), "cov_title": zero(F.col("cov_title")), "bm25_title": zero(F.col("bm25_title")), "filter_cov": F.when(F.col("filter_known") == 1, zero(F.col("filter_cov")))}).drop("filter_known")
-    for k, (i, a) in enumerate(sides):
+    pool = materialised(pool, "pool-bm25")
+    pairs = pool.select("query_id", "item_id")
+    for name, postings, column in (("full", full, "title_text"), ("title", title, "title_text"), ("filter", full, "filter_text")):
+        pool = pool.join(bm25.pair_terms(pairs, postings, "item_id", q, "query_id", F.col(column), name), ["query_id", "item_id"])
+    pool = pool.withColumns({"cov_full": zero(F.col("full_cov")), "cov_title": zero(F.col("title_cov")), "bm25_title": F.col("title_bm25"), "filter_cov": F.col("filter_cov")}).drop("full_cov", "full_bm25", "title_cov", "title_bm25", "filter_bm25")
+    for k, (i, a, found) in enumerate(sides):
         n = "" if k == 0 else "2"
-        pair = pool.select("query_id", "item_id").join(i.select("item_id", F.col("embedding").alias("v")), "item_id").join(a.select("query_id", F.col("embedding").alias("w")), "query_id")
-        pair = pair.select("query_id", "item_id", F.round(vectors.cosine(F.col("v"), F.col("w")), 6).alias(f"cos{n}"))
-        pool = pool.join(pair, ["query_id", "item_id"], "left").join(_best_cosines(i, a, k > 0), "query_id", "left")
+        pair = pairs.join(i.select("item_id", F.col("embedding").alias("v")), "item_id").join(a.select("query_id", F.col("embedding").alias("w")), "query_id")
+        cos = F.round(vectors.cosine(F.col("v"), F.col("w")), 6) if k == 0 else vectors.half_cosine(F.col("v"), F.col("w"))
+        pool = pool.join(pair.select("query_id", "item_id", cos.alias(f"cos{n}")), ["query_id", "item_id"], "left").join(_best_cosines(found), "query_id", "left")
         pool = pool.withColumns({f"cos{n}_minus_max": F.col(f"cos{n}") - F.col("best"), f"cos{n}_minus_max_geo": F.col(f"cos{n}") - F.col("best_geo")}).drop("best", "best_geo")
     if len(sides) > 1:
         pool = pool.withColumn("cos_mean12", (F.col("cos") + F.col("cos2")) / 2)
 
     pool = materialised(pool, "pool")
-    places = it.where("location is not null").groupBy("location").agg(F.median(F.col("lat").try_cast("double")).alias("clat"), F.median(F.col("lon").try_cast("double")).alias("clon"), F.log1p(F.count(F.lit(1)).cast("double")).alias("size"))
+    places = it.where("location is not null").groupBy("location").agg(F.median("lat").alias("clat"), F.median("lon").alias("clon"), F.log1p(F.count(F.lit(1)).cast("double")).alias("size"))
     asked = q.select("query_id", "query_key", "search_loc", "category", "zone", "wanted", "threshold", "has_filter", "q_ntok", "query_loc_has_items", F.when(F.col("query_loc_has_items") == 1, F.col("search_loc")).otherwise(F.col("likeliest")).alias("centre"))
     asked = asked.join(places.select(F.col("location").alias("centre"), "clat", "clon"), "centre", "left").join(places.select(F.col("location").alias("search_loc"), F.col("size").alias("query_loc_size")), "search_loc", "left")
     wide = pool.join(asked, "query_id").join(it.drop("full_text", "title_text"), "item_id").join(places.select("location", F.col("size").alias("item_loc_size")), "location", "left")
-    p = F.coalesce(F.element_at("zone", F.col("location")), F.lit(0.0))
+    # the probability itself, also where it is too small for the zone
+    present = it.select(F.col("location").alias("item_loc")).where("item_loc is not null").distinct()
+    every = history.zones(shares, q.select("search_loc").where("search_loc is not null").distinct(), present, least=0.0)
+    wide = wide.join(every.select("search_loc", F.col("item_loc").alias("location"), F.col("p").alias("geo_p")), ["search_loc", "location"], "left")
     wide = wide.withColumns(
         {
             "filter_ok": F.when(F.size("wanted") > 0, (F.size(F.array_except("wanted", "held")) == 0).cast("int")),
             "location_match": F.coalesce(F.col("location") == F.col("search_loc"), F.lit(False)).cast("int"),
             "in_geo": F.coalesce(F.map_contains_key("zone", F.col("location")), F.lit(False)).cast("int"),
-            "geo_p": p,
-            "dist_km_log": F.log1p(numbers.haversine_km(F.col("lat").try_cast("double"), F.col("lon").try_cast("double"), F.col("clat"), F.col("clon"))),
+            "geo_p": zero(F.col("geo_p")),
+            "dist_km_log": F.log1p(numbers.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))),
             "query_loc_size": zero(F.col("query_loc_size")),
             "item_loc_size": zero(F.col("item_loc_size")),
-            "search_category_is0": (F.col("category") == 0).cast("int"),
+            "search_category_is0": F.coalesce(F.col("category") == 0, F.lit(False)).cast("int"),
             "rating_ok": F.when(F.col("threshold").isNotNull(), (F.coalesce("item_rating", F.lit(-1.0)) >= F.col("threshold")).cast("int")),
         }
     )
@@ -174,8 +197,20 @@ def build_pool(items: DataFrame, queries: DataFrame, encoders: list[tuple[DataFr
     return wide.select(*columns)
 
 
+def helpers(pool: DataFrame) -> DataFrame:
+    """Columns that selection uses: rev_bucket, and mc_plausible (the words lead to the category; unknown counts as yes)."""
+    plausible = F.coalesce(F.col("tok_mc_share") >= PLAUSIBLE, F.lit(True)).cast("int")
+    return pool.withColumns({"rev_bucket": review_bucket(F.col("item_reviews_count")), "mc_plausible": plausible})
+
+
+def linear_baselines() -> dict[str, Column]:
+    """Two scores without training: by zone, text and vector, and by text and place."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return {"by_vector": zero("bm25_rel_geo") + 2 * F.col("in_geo") + F.col("cos"), "by_place": F.col("bm25") + 40 * F.col("location_match")}
+
+
 def feature_names(encoders: int = 2, channels: list[str] | None = None) -> list[str]:
-    """Features in the order of the rankers' contract."""
+    """Features in the order of the rankers' contract (fixed values)."""
     names = [f"rank_{c}" for c in (channels if channels is not None else CHANNELS)]
     names += "n_channels bm25 bm25_rel bm25_rel_geo geo_supply_bm25 geo_supply_filt n_bm25_hits_log cov_full bm25_title cov_title filter_cov filter_ok".split()
     names += "cos cos_minus_max cos_minus_max_geo".split() if encoders else []

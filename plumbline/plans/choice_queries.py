@@ -68,7 +68,7 @@ def query_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_KEYED + """, t AS (SELECT query_key, count(*) AS text_chosen FROM choices GROUP BY query_key), n AS (SELECT count(*) AS n FROM choices), b AS (SELECT query_key, category, count(*) AS chosen FROM choices WHERE category IS NOT NULL GROUP BY ALL)
-SELECT query_key, category, chosen, text_chosen, round(ln(1 + text_chosen::DOUBLE / n * 1e5), 6) AS log_count, round(chosen::DOUBLE / text_chosen, 6) AS share FROM b JOIN t USING (query_key), n""")
+SELECT query_key, category, coalesce(chosen, 0) AS chosen, text_chosen, round(ln(1 + text_chosen::DOUBLE / n * 1e5), 6) AS log_count, round(coalesce(chosen, 0)::DOUBLE / text_chosen, 6) AS share FROM t LEFT JOIN b USING (query_key), n""")
 def history_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a text was chosen, and the share of each category."""
     return history.choice_shares(bound(spark, sf_dir, CHOICES).withColumn("query_key", key_of(F.col("query"))))
