@@ -1,13 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text's letters (ASCII letters in lower case and all bytes from 0x80) form runs; a run is cut into segments of at most
-SPAN bytes, and the two recurrences start afresh at each segment. Every position gets a distribution over the learned
-languages; a text's probabilities are the mean over its positions. Equal segments have equal positions, so each distinct
-segment of a batch is run once and counts as often as it occurs: whole texts are read at the cost of their vocabulary.
-
-The network is trained on the driver by backpropagation through time, in numpy, from segments of a bounded sample of
-labelled documents (documented parameters below; the most frequent segments of the sampled documents). Null texts and texts without a letter are `und` with score 0; so is
-everything if nothing is labelled. Ties go to the language that sorts first. Each row is judged alone.
+The network reads a text byte by byte (ASCII letters in lower case), over words, spaces, digits and punctuation alike, and
+gives every position a distribution over the learned languages; a text's probabilities are the mean over the positions of
+its letters. Texts are read whole, in windows of SPAN bytes side by side: each window's recurrences start WARM bytes
+before and after it, so that the states at its borders know their surroundings, and every position is labelled once.
+
+The network is trained on the driver by backpropagation through time, in numpy, for a fixed number of steps, from windows
+of a bounded sample of labelled documents that gives every language its own share (documented parameters below). Null
+texts and texts without a letter are `und` with score 0; so is everything if nothing is labelled. Ties go to the language
+that sorts first. Each row is judged alone, so repeated rows get equal values; a very long text is many windows, which are
+run in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,47 +22,47 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, read_table, split_words, sums_by_text, tuned, whole
+from .common import annotate, read_table, tuned, whole
 
-#: Labelled documents of a language and distinct segments that train the network: what the driver collects at most.
-SAMPLE_DOCS, SAMPLE_SEGMENTS = 300, 40_000
-#: States of each direction, bytes of a segment, segments of a step, passes over the sample, step size.
-HIDDEN, SPAN, BATCH, EPOCHS, RATE = 20, 24, 512, 6, 0.01
-#: Steps that a small sample gets at least, by more passes.
-LEAST_STEPS = 200
+#: Labelled documents and windows of a language that train the network: what the driver collects at most.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 1_500
+#: States of each direction, bytes of a window and before and after it, and bytes of a window of the sample.
+HIDDEN, SPAN, WARM, SAMPLE_SPAN = 8, 192, 16, 96
+#: Windows of a step, steps, and step size of the training; windows of a block when texts are judged.
+BATCH, STEPS, RATE, BLOCK = 256, 300, 0.02, 2048
 #: Least score of a document that the pipeline keeps.
 MIN_SCORE = 0.3
 UNDETERMINED = "und"
 
-_LETTERS = np.full(256, 32, np.uint8)
-_LETTERS[97:123] = _LETTERS[65:91] = np.arange(97, 123)
-_LETTERS[128:] = np.arange(128, 256)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True
 
 
-def letter_runs(texts: pa.Array):
-    """Words that are the runs of letters of each text."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, ASCII letters in lower case, and each text's borders among them."""
     texts = texts.cast(pa.large_string())
     if not len(texts) or texts.buffers()[2] is None:
-        return split_words(pa.array([""] * len(texts), pa.string()))
-    data = _LETTERS[np.frombuffer(texts.buffers()[2], np.uint8)]
-    return split_words(pa.LargeStringArray.from_buffers(len(texts), texts.buffers()[1], pa.py_buffer(data), None, 0, texts.offset))
-
-
-def segments(dictionary: pa.Array, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (n, span) of the segments of all runs, their lengths, and each segment's run."""
-    runs = dictionary.cast(pa.large_binary())
-    n = len(runs)
-    if not n:
-        return np.zeros((0, span), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    offsets = np.frombuffer(runs.buffers()[1], np.int64)[runs.offset : runs.offset + n + 1]
-    data = np.frombuffer(runs.buffers()[2], np.uint8)
-    size = np.diff(offsets)
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]], offsets - offsets[0]
+
+
+def windows(borders: np.ndarray, span: int, warm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: its text, where its bytes begin and end with what goes before and after, and where its own begin."""
+    size = np.diff(borders)
     parts = -(-size // span)
-    run = np.repeat(np.arange(n), parts)
-    begin = offsets[run] + span * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
-    length = np.minimum(span, offsets[run + 1] - begin)
-    at = begin[:, None] + np.arange(span)
-    return np.where(np.arange(span) < length[:, None], data[np.minimum(at, len(data) - 1)], 0), length, run
+    text = np.repeat(np.arange(len(size)), parts)
+    own = borders[text] + span * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+    return text, np.maximum(own - warm, borders[text]), np.minimum(own + span + warm, borders[text + 1]), own
+
+
+def rows_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (n, longest) from begin to end, filled up by 0, and their lengths."""
+    length = end - begin
+    at = np.arange(int(length.max(initial=0)))
+    return np.where(at < length[:, None], data[np.minimum(begin[:, None] + at, max(0, len(data) - 1))], 0), length
 
 
 class BiGru:
@@ -99,12 +101,36 @@ class BiGru:
         return (states, trace) if keep else states
 
     def positions(self, data: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Probabilities (n, T, labels) of every position; rows longest first."""
-        both = np.concatenate([self.run(data, length, "f"), self.run(data, length, "b")], 2)
-        z = both @ self.weights["o"] + self.weights["c"]
+        """Probabilities (T, n, labels) of every position; rows longest first. States are not kept."""
+        k, half = self.hidden, np.float32(0.5)
+        data = np.ascontiguousarray(data.T)
+        span, n = data.shape
+        live = np.searchsorted(-length, -np.arange(span), side="left")
+        z = np.zeros((span, n, len(self.weights["c"])), np.float32)
+        for d, part in (("f", self.weights["o"][:k]), ("b", self.weights["o"][k:])):
+            table, u = self.weights["x" + d] + self.weights["b" + d], self.weights["h" + d]
+            h = np.zeros((n, k), np.float32)
+            for t in range(span) if d == "f" else range(span - 1, -1, -1):
+                m = int(live[t])
+                now = h[:m]
+                g, a = table[data[t, :m]], now @ u
+                gates = g[:, : 2 * k] + a[:, : 2 * k]
+                gates *= half
+                np.tanh(gates, out=gates)
+                gates += 1
+                gates *= half
+                new = gates[:, k:] * a[:, 2 * k :]
+                new += g[:, 2 * k :]
+                np.tanh(new, out=new)
+                now -= new
+                now *= gates[:, :k]
+                now += new
+                z[t, :m] += now @ part
+        z += self.weights["c"]
         z -= z.max(2, keepdims=True)
         np.exp(z, out=z)
-        return z / z.sum(2, keepdims=True)
+        z /= z.sum(2, keepdims=True)
+        return z
 
     def gradients(self, data: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss (mean cross entropy over positions) and its gradients; rows longest first."""
@@ -127,53 +153,58 @@ class BiGru:
         k = self.hidden
         for d, part in (("f", dboth[:, :, :k]), ("b", dboth[:, :, k:])):
             u = self.weights["h" + d]
-            dx, du = np.zeros_like(self.weights["x" + d]), np.zeros_like(u)
+            du, slopes = np.zeros_like(u), np.zeros((*data.shape, 3 * k), u.dtype)
             back = np.zeros((len(data), k), np.float32)
             for t, m, before, zt, rt, new, an in reversed(traces[d]):
                 dh = back[:m] + part[:m, t]
                 dnew = dh * (1 - zt) * (1 - new * new)
                 da = np.concatenate([dh * (before - new) * zt * (1 - zt), dnew * an * rt * (1 - rt), dnew * rt], 1)
-                dg = np.concatenate([da[:, : 2 * k], dnew], 1)
+                slopes[:m, t, : 2 * k], slopes[:m, t, 2 * k :] = da[:, : 2 * k], dnew
                 du += before.T @ da
-                np.add.at(dx, data[:m, t], dg)
                 back[:m] = dh * zt + da @ u.T
+            # the rows of each byte are summed by one product
+            dx = np.zeros_like(self.weights["x" + d])
+            seen, at = np.unique(data, return_inverse=True)
+            dx[seen] = (np.arange(len(seen))[:, None] == at.reshape(1, -1)).astype(u.dtype) @ slopes.reshape(-1, 3 * k)
             out |= {"x" + d: dx, "h" + d: du, "b" + d: dx.sum(0)}
         return loss, out
 
 
-def train(data: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray, labels: int, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> BiGru:
+def train(data: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray, labels: int, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 7) -> BiGru:
     """Adam over shuffled batches; the same sample gives the same network."""
     net, rng = BiGru(labels, seed=seed), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(data) // batch))))
-    step, steps = 0, epochs * -(-len(data) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for i in range(0, len(data), batch):
-            rows = order[i : i + batch]
-            rows = rows[np.argsort(-length[rows], kind="stable")]
-            _, slope = net.gradients(data[rows], length[rows], label[rows], weight[rows])
-            step += 1
-            pace = rate * (1 - 0.9 * step / steps)
-            for k, g in slope.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                net.weights[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if not len(order):
+            order = rng.permutation(len(data))
+        rows, order = order[:batch], order[batch:]
+        rows = rows[np.argsort(-length[rows], kind="stable")]
+        _, slope = net.gradients(data[rows], length[rows], label[rows], weight[rows])
+        pace = rate * (1 - 0.9 * step / steps)
+        for k, g in slope.items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            net.weights[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def run_sums(net: BiGru, dictionary: pa.Array, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Summed probabilities over the positions of each run, and its positions."""
-    data, length, run = segments(dictionary)
-    sums = np.zeros((len(dictionary), len(net.weights["c"])))
-    order = np.argsort(-length, kind="stable")
+def pooled(net: BiGru, texts: pa.Array, block: int = BLOCK) -> np.ndarray:
+    """Mean probabilities (texts, labels) over the positions of letters; zeros where there are none."""
+    data, borders = text_bytes(texts)
+    text, begin, end, own = windows(borders, SPAN, WARM)
+    sums, letters = np.zeros((len(texts), len(net.weights["c"]))), np.zeros(len(texts))
+    order = np.argsort(begin - end, kind="stable")
     for i in range(0, len(order), block):
         rows = order[i : i + block]
-        p = net.positions(data[rows], length[rows])
-        p *= (np.arange(p.shape[1]) < length[rows][:, None])[:, :, None]
-        np.add.at(sums, run[rows], p.sum(1))
-    return sums, np.bincount(run, weights=length, minlength=len(dictionary))
+        values, length = rows_of(data, begin[rows], end[rows])
+        p = net.positions(values, length)
+        place = begin[rows][:, None] + np.arange(values.shape[1])
+        use = (_LETTER[values] & (place >= own[rows][:, None]) & (place < np.minimum(own[rows] + SPAN, end[rows])[:, None])).astype(np.float32)
+        np.add.at(sums, text[rows], np.einsum("tnl,nt->nl", p, use))
+        np.add.at(letters, text[rows], use.sum(1))
+    return sums / np.maximum(letters, 1)[:, None]
 
 
 def predict(net: BiGru | None, names: list[str], texts: pa.Array) -> tuple[list[str], list[float]]:
@@ -181,41 +212,42 @@ def predict(net: BiGru | None, names: list[str], texts: pa.Array) -> tuple[list[
     letters = np.asarray(pc.match_substring_regex(texts, r"\p{L}")).astype(bool)
     if net is None or not len(texts):
         return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    words = letter_runs(texts)
-    sums, size = run_sums(net, words.dictionary)
-    positions = np.maximum(sums_by_text(size[words.ids] if len(words.ids) else np.zeros(0), words.offsets), 1)
-    pooled = np.stack([sums_by_text(sums[words.ids, k] if len(words.ids) else np.zeros(0), words.offsets) for k in range(len(names))], 1) / positions[:, None]
-    best = pooled.argmax(1)
-    score = np.clip(pooled[np.arange(len(best)), best], 0, 1)
+    mean = pooled(net, texts)
+    best = mean.argmax(1)
+    score = np.clip(mean[np.arange(len(best)), best], 0, 1)
     return [names[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letters, strict=True)], np.where(letters, score, 0.0).tolist()
 
 
-def _segment_counts(batches):
-    """Counts of (language, run) in the sampled documents of a partition."""
+def _sample_windows(batches):
+    """Windows with a letter of the sampled documents of a partition."""
     for b in batches:
-        words, language = letter_runs(whole(b.column(1))), b.column(0).to_pylist()
-        text = words.text_of()
-        keys, counts = np.unique(text * max(1, len(words.dictionary)) + words.ids, return_counts=True)
-        if len(keys):
-            t, w = np.divmod(keys, len(words.dictionary))
-            yield pa.RecordBatch.from_arrays([pa.array([language[i] for i in t.tolist()], pa.string()), words.dictionary.take(pa.array(w)).cast(pa.string()), pa.array(counts)], names=["lang", "run", "n"])
+        data, borders = text_bytes(whole(b.column(1)))
+        text, begin, end, _ = windows(borders, SAMPLE_SPAN, 0)
+        inside = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        rows = np.flatnonzero(inside[end] > inside[begin])
+        language = b.column(0).take(pa.array(text[rows]))
+        yield pa.RecordBatch.from_arrays([language, pa.array([data[x:y].tobytes() for x, y in zip(begin[rows].tolist(), end[rows].tolist(), strict=True)], pa.binary())], names=["lang", "piece"])
 
 
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_segments: int = SAMPLE_SEGMENTS) -> tuple[BiGru | None, list[str]]:
-    """Train on usable rows with a language. The sample: of each language the documents of smallest hash."""
+def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> tuple[BiGru | None, list[str]]:
+    """Train on usable rows with a language. The sample: of each language the documents, then the windows of smallest hash."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     by_hash = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled.select("lang", "id").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     texts = labelled.join(F.broadcast(chosen.distinct()), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
-    counted = texts.mapInArrow(_segment_counts, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), F.xxhash64("lang", "run"), "lang", "run").limit(sample_segments).toArrow()
+    pieces = texts.mapInArrow(_sample_windows, "lang string, piece binary").distinct()
+    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
+    rows = pieces.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_windows).select("lang", "piece").orderBy("lang", "k").toArrow()
     if not rows.num_rows:
         return None, []
     names = sorted(set(rows["lang"].to_pylist()))
-    data, length, run = segments(whole(rows["run"]))
+    pieces = rows["piece"].to_pylist()
+    size = np.array([len(x) for x in pieces])
+    ends = np.cumsum(size)
+    data, length = rows_of(np.frombuffer(b"".join(pieces), np.uint8), ends - size, ends)
     label = np.array([names.index(x) for x in rows["lang"].to_pylist()])
-    weight = np.sqrt(np.asarray(rows["n"]).astype(np.float64))
-    return train(data, length, label[run], weight[run], len(names)), names
+    share = np.bincount(label, minlength=len(names))
+    return train(data, length, label, 1 / share[label], len(names)), names
 
 
 LANGUAGE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -263,6 +263,36 @@ def test_network_gradients():
         assert (up - down) / 2e-3 == pytest.approx(g[k][at], abs=2e-4)
 
 
+def test_network_forward_by_hand():
+    """Pooled probabilities against a network run byte by byte over each window, without blocks or sorted rows."""
+    net = language.BiGru(3, hidden=4, seed=2)
+    w, k = {n: v.astype(np.float64) for n, v in net.weights.items()}, 4
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(data, d):
+        h, out = np.zeros(k), []
+        for c in data if d == "f" else data[::-1]:
+            g, a = w["x" + d][c] + w["b" + d], h @ w["h" + d]
+            z, r = sigmoid(g[:k] + a[:k]), sigmoid(g[k : 2 * k] + a[k : 2 * k])
+            new = np.tanh(g[2 * k :] + r * a[2 * k :])
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    xs = ["", "Ab c", "12 !", prose(130, 8) + " é 漢", "x" * language.SPAN, "y" * (language.SPAN + 1)]
+    got = language.pooled(net, pa.array(["skipped", *xs])[1:], block=2)
+    for i, x in enumerate(xs):
+        data = bytes(c + 32 if 65 <= c <= 90 else c for c in x.encode())
+        total, n = np.zeros(3), 0
+        for own in range(0, len(data), language.SPAN):
+            begin, end = max(0, own - language.WARM), min(len(data), own + language.SPAN + language.WARM)
+            for at, (f, b) in enumerate(zip(run(data[begin:end], "f"), run(data[begin:end], "b"), strict=True), begin):
+                if own <= at < own + language.SPAN and (97 <= data[at] <= 122 or data[at] >= 128):
+                    e = np.exp(np.concatenate([f, b]) @ w["o"] + w["c"])
+                    total, n = total + e / e.sum(), n + 1
+        assert np.allclose(got[i], total / max(1, n), atol=1e-4)
+
+
 def test_language_accuracy(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     got = queries.QUERIES["op4_language_id"](spark, "/root/testdata/sf0.001").join(rows, "doc_id").where("held_out").collect()
