@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multipliers for the word places of an n-gram; any odd values serve.
@@ -202,3 +203,27 @@ def sized_ids(ids: DataFrame, bound: int) -> tuple[DataFrame, bool]:
     c = ids.columns[0]
     ids = ids.where(ids[c].isNotNull()).distinct()
     return ids, ids.limit(bound + 1).count() <= bound
+
+
+#: Rows of one key beyond which it is hot, and how many keys can be hot at most.
+SPREAD, HOT_KEYS = 256, 10_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], count: str = "size", total: int | None = None) -> DataFrame:
+    """(keys, copies) of the hot keys among counts: those with more than SPREAD rows and more than 1 in HOT_KEYS of all.
+
+    So there are HOT_KEYS of them at most, whatever the table, and a broadcast of them is bounded.
+    """
+    if total is None:
+        total = counts.agg(F.sum(count)).first()[0] or 0
+    most = max(SPREAD, total // HOT_KEYS)
+    return counts.where(F.col(count) > most).select(*keys, F.ceil(F.col(count) / most).cast("int").alias("copies"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many joined to one (unique by keys): rows of a hot key are dealt by another column to several copies of its row."""
+    copies = F.coalesce("copies", F.lit(1))
+    hot = F.broadcast(hot)
+    left = many.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("copies")
+    right = one.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return left.join(right, [*keys, "salt"], how).drop("salt")

@@ -17,8 +17,14 @@ Steps 2 and 3 compare sketches block against block, so that no task holds a buck
 verification, so the pairs of a group of near copies grow about as its size, not as its square. Nothing is capped: a
 link of similarity s shares no bucket with probability (1 - s**ROWS)**BANDS, below 2e-7 for s = 0.8.
 
-Texts that are null or without words have the empty set and are linked with nothing. Rows without an id are in no group,
-have no component and are kept. Repeated rows share their id's component.
+A key that many rows share (a bucket, the smallest class of one, a component, a set with many copies) is dealt to several
+tasks: its rows are salted, and the one row that they meet is sent to each. Keys are hot from a share of all rows on, so
+their number is bounded. `exact` leaves out the sketches' judgement in the third step: every pair of classes of a bucket
+in different components is then verified.
+
+Texts that are null or without words have the empty set and are linked with nothing. Rows without an id have their set
+counted, are in no group, have a null component and are kept. Repeated rows share their id's component. Equal ids and
+ties of agreement are settled by the smaller id; very long texts are one set each.
 """
 
 from __future__ import annotations
@@ -30,13 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, fresh, hash_strings, mix, ngram_hashes, read_table, sized_ids, split_words, tuned, whole, written
+from .common import SPREAD, U64, fresh, hash_strings, hot_keys, mix, ngram_hashes, read_table, sized_ids, split_words, spread_join, tuned, whole, written
 
 BANDS, ROWS = 40, 5
 #: A coordinate value holds the round above and the hash below.
 _ROUND = U64(52)
 #: Classes with candidates up to this many have their ids broadcast to the pass that reads their sets.
 BROADCAST_CLASSES = 1_000_000
+#: Keys of large buckets up to this many are broadcast to the pass that picks their members.
+BROADCAST_KEYS = 200_000
 #: Classes of one block of a bucket, and standard deviations (of the sketch's share) below the least similarity that
 #: still count as close.
 BLOCK, DEVIATIONS = 256, 5.0
@@ -77,11 +85,11 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def summary(items: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Band keys, and 16 bits of each coordinate for estimates; both empty for an empty set."""
+    """Band keys, and 8 bits of each coordinate for estimates; both empty for an empty set."""
     if not len(items):
         return np.empty(0, np.int64), b""
     values = sketch(items)
-    return band_keys(values), mix(values).astype(np.uint16).tobytes()
+    return band_keys(values), mix(values).astype(np.uint8).tobytes()
 
 
 def _sets(texts: pa.Array, w: int):
@@ -148,13 +156,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Aggregation by node is combined before the shuffle; labels are checkpointed each round.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degree = written(both.groupBy("other").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SPREAD), "degrees")
+    hubs = hot_keys(degree, ["other"])
     labels = nodes.select("node", F.col("node").alias("label"))
+    total = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other").withColumnRenamed("label", "there"), "other").groupBy("node").agg(F.min("there").alias("there"))
+        told = labels.select(F.col("node").alias("other"), F.col("label").alias("there"))
+        near = spread_join(both, told, ["other"], hubs, "node").groupBy("node").agg(F.min("there").alias("there"))
         hooked = labels.join(near, "node", "left").select("node", F.least("label", "there").alias("label"), (F.col("there") < F.col("label")).alias("moved"))
         hooked = hooked.checkpoint()
+        total = hooked.count() if total is None else total
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = hooked.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label")).checkpoint()
+        large = hot_keys(hooked.groupBy("label").agg(F.count(F.lit(1)).alias("size")), ["label"], total=total)
+        labels = spread_join(hooked, jump, ["label"], large, "node", "left").select("node", F.coalesce("next", "label").alias("label")).checkpoint()
         if hooked.where("moved").isEmpty():
             return labels
 
@@ -171,8 +185,10 @@ class Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b): those with percent * |union| <= 100 * |intersection|."""
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-        left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("left")), "a")
-        both = left.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("right")), "b")
+        total = pairs.count()
+        hot = [hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("size")), [c], total=total) for c in ("a", "b")]
+        left = spread_join(pairs, sets.select(F.col("doc").alias("a"), F.col("items").alias("left")), ["a"], hot[0], "b")
+        both = spread_join(left, sets.select(F.col("doc").alias("b"), F.col("items").alias("right")), ["b"], hot[1], "a")
         shared = F.size(F.array_intersect("left", "right"))
         return both.where(100 * shared >= self.percent * (F.size("left") + F.size("right") - shared)).select("a", "b")
 
@@ -191,21 +207,21 @@ def agreeing(left: np.ndarray, right: np.ndarray, band: int) -> tuple[np.ndarray
     return total, earlier
 
 
-def close_pairs(table: pa.Table, best_only: bool, percent: int) -> pa.Table:
+def close_pairs(table: pa.Table, best_only: bool, percent: int, exact: bool = False) -> pa.Table:
     """Pairs of one block pair of a bucket: classes of different components with agreeing sketches.
 
     best_only: for each class the one that agrees most, to be verified. Otherwise verified links, as many as join the
     components that these pairs can join; a pair that shares an earlier band is left to that bucket.
     """
     node, label, n = (np.asarray(table[c]) for c in ("node", "label", "n"))
-    values = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(node), -1)
+    values = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
     block, low, high = np.asarray(table["block"]), table["low_block"][0].as_py(), table["high_block"][0].as_py()
     x, y = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(x) or not len(y):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     total, earlier = agreeing(values[x], values[y], table["band"][0].as_py())
     s = percent / 100
-    least = BANDS * ROWS * s - DEVIATIONS * np.sqrt(BANDS * ROWS * s * (1 - s))
+    least = 0 if exact and not best_only else BANDS * ROWS * s - DEVIATIONS * np.sqrt(BANDS * ROWS * s * (1 - s))
     sizes = 100 * np.minimum(n[x][:, None], n[y][None, :]) >= percent * np.maximum(n[x][:, None], n[y][None, :])
     ok = sizes & (total >= least) & (label[x][:, None] != label[y][None, :])
     if best_only:
@@ -248,29 +264,37 @@ def joining(i: np.ndarray, j: np.ndarray, label: list[int], items: list[np.ndarr
     return i[kept], j[kept]
 
 
-def pairing(best_only: bool, percent: int):
-    return lambda table: close_pairs(table, best_only, percent)
+def pairing(best_only: bool, percent: int, exact: bool):
+    return lambda table: close_pairs(table, best_only, percent, exact)
 
 
-def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, n_shingles, component_id for each row with an id (a whole number); w words a shingle, percent for a link."""
+def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """doc, n_shingles, component_id for each row (ids are whole numbers); w words a shingle, percent for a link."""
     tuned(docs.sparkSession)
-    shared_rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text_col)
-    verifier = Verifier(shared_rows, w, percent, id_col, text_col)
-    found = written(sketches(shared_rows, w, id_col, text_col), "sketches")
-    same = found.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc").alias("node"))
-    classes = written(same, "classes")
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+    verifier = Verifier(rows.where(F.col(id_col).isNotNull()), w, percent, id_col, text_col)
+    found = written(sketches(rows, w, id_col, text_col), "sketches")
+    told = found.where("n > 0 and doc is not null")
+    classes = written(told.groupBy("n", "h1", "h2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("size")), "classes")
     # one row of each class carries its keys: the smallest id may occur in repeated rows, whose keys are equal
-    firsts = found.where("n > 0").join(classes.select(F.col("node").alias("doc")), "doc", "left_semi").dropDuplicates(["doc", "h1", "h2"])
-    members = firsts.select(F.col("doc").alias("node"), "n", F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"), F.max("node").alias("last"), F.max_by("n", "node").alias("last_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    firsts = written(told.join(classes.select(F.col("node").alias("doc")), "doc", "left_semi").dropDuplicates(["doc", "h1", "h2"]).select(F.col("doc").alias("node"), "n", "keys", "sketch"), "firsts")
+    members = firsts.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = written(buckets, "buckets")
-    two = buckets.where((F.col("size") == 2) & could_link(F.col("pivot_n"), F.col("last_n"), percent)).select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-    large = written(members.join(buckets.where("size > 2").select("key", "pivot", "pivot_n"), "key"), "members")
+    sizes = firsts.select("node", "n")
+    two = buckets.where("size = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b")).distinct()
+    two = two.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("y")), "b").where(could_link(F.col("x"), F.col("y"), percent)).select("a", "b")
+    pivots = buckets.where("size > 2").select("key", "pivot", "size").join(sizes.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
+    pivots = written(pivots, "pivots")
+    counted = pivots.agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("rows")).first()
+    hot = hot_keys(pivots, ["key"], total=counted["rows"] or 0)
+    picked = pivots.select("key", "pivot", "pivot_n")
+    large = members.join(F.broadcast(picked), "key") if counted["keys"] <= BROADCAST_KEYS else spread_join(members, picked, ["key"], hot, "node")
+    large = written(large, "members")
     star = large.where((F.col("node") != F.col("pivot")) & could_link(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     pairs = written(two.unionByName(star).distinct(), "pairs")
     links = written(verifier.links(pairs), "links")
-    short = firsts.select(F.col("doc").alias("node"), "sketch")
+    short = firsts.select("node", "sketch")
 
     def component_labels() -> DataFrame:
         return components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
@@ -282,21 +306,24 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str
     for best_only in (True, False):
         marked = labelled(rest)
         several = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low < high").select("key", "blocks")
-        rest = written(marked.join(several, "key").select("key", "band", "node", "n", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "open")
+        rest = written(spread_join(marked, several, ["key"], hot, "node").select("key", "band", "node", "n", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks"), "open")
         if not best_only:
             sets = verifier.sets(rest.select(F.col("node").alias("doc")).distinct())
             short = short.join(sets.select(F.col("doc").alias("node"), "items"), "node")
         dealt = rest.join(short, "node").withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"low_block": F.least("block", "facing"), "high_block": F.greatest("block", "facing")})
-        close = dealt.groupBy("key", "low_block", "high_block").applyInArrow(pairing(best_only, percent), "a long, b long")
+        close = dealt.groupBy("key", "low_block", "high_block").applyInArrow(pairing(best_only, percent, exact), "a long, b long")
         new = close.distinct()
         if best_only:
             new = verifier.links(written(new.join(pairs, ["a", "b"], "left_anti"), "pairs"))
         links = written(links.unionByName(new), "links")
         labels = component_labels()
         rest = rest.select("key", "band", "node", "n")
-    named = labelled(classes).select("n", "h1", "h2", "label")
-    return found.select("doc", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"))
+    named = labelled(classes.select("n", "h1", "h2", "node")).select("n", "h1", "h2", "label")
+    copies = hot_keys(classes, ["n", "h1", "h2"])
+    of_class = spread_join(told.select("doc", "n", "h1", "h2"), named, ["n", "h1", "h2"], copies, "doc").select("doc", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    alone = found.where("n = 0 or doc is null").select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
+    return of_class.unionByName(alone)
 
 
 def keep_one_of_each(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +332,7 @@ def keep_one_of_each(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str
     Only the ids that go and the ids of several rows are joined to docs: broadcast if they are few (counted), by a
     shuffle otherwise.
     """
-    found = written(near_duplicates(docs, w, percent, id_col, text_col).select("doc", "component_id"), "components")
+    found = written(near_duplicates(docs, w, percent, id_col, text_col).where("doc is not null").select("doc", "component_id"), "components")
     gone, few = sized_ids(found.where(F.col("doc") != F.col("component_id")).select("doc"), BROADCAST_CLASSES)
     key = fresh(docs.columns, "gone")
     gone = gone.select(F.col("doc").alias(key))
@@ -323,7 +350,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, by four-word shingles and similarity 0.8."""
     docs = read_table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     rows = near_duplicates(docs, w=4, percent=80)
-    return rows.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", (F.col("doc") == F.col("component_id")).alias("kept"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op3_sql(w: int = 4, percent: int = 80) -> str:

@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import bpe, eliasfano, language, licenses, lm, media, neardup, packing, quality, queries, secrets, urls
+from plumbline.llm import bpe, common, eliasfano, language, licenses, lm, media, neardup, packing, quality, queries, secrets, urls
 from plumbline.llm.common import U64, hash_strings, mix
 
 rng = random.Random(5)
@@ -180,11 +180,13 @@ def test_elias_fano(values, universe, asked):
     assert (at == np.searchsorted(v, asked)).all() and (hit == np.isin(asked, v)).all()
 
 
+def brute_set(t, w):
+    x = words((t or "").encode().lower().decode())
+    return frozenset([tuple(x)] if 0 < len(x) < w else [tuple(x[k : k + w]) for k in range(len(x) - w + 1)])
+
+
 def brute_components(rows, w, percent):
-    sets = []
-    for i, t in rows:
-        x = words((t or "").encode().lower().decode())
-        sets.append((i, frozenset([tuple(x)] if 0 < len(x) < w else [tuple(x[k : k + w]) for k in range(len(x) - w + 1)])))
+    sets = [(i, brute_set(t, w)) for i, t in rows]
     parent = {i: i for i, _ in sets}
 
     def root(a):
@@ -202,14 +204,18 @@ def brute_components(rows, w, percent):
 
 def test_near_duplicates(spark, folder):
     got = rows_of(spark, "op3_minhash_near_dedup", folder)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components([(i, t) for i, t, _, _ in DOCS if i is not None], 4, 80)
-    assert len(got) == sum(i is not None for i, *_ in DOCS) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == brute_components([(i, t) for i, t, _, _ in DOCS if i is not None], 4, 80)
+    assert len(got) == len(DOCS) and all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None] == [(len(brute_set(t, 4)), None, True) for i, t, _, _ in DOCS if i is None]
 
 
 def test_near_duplicate_chains_and_blocks(spark, monkeypatch):
     """A chain whose ends aren't alike, a large group of near copies, and the block-against-block step."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
     monkeypatch.setattr(neardup, "BROADCAST_CLASSES", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_KEYS", 3)
+    monkeypatch.setattr(neardup, "SPREAD", 2)
+    monkeypatch.setattr(common, "SPREAD", 2)
     r, rows, base = random.Random(3), [], prose(80, 9).split()
     for k in range(12):
         base = list(base)
@@ -221,8 +227,9 @@ def test_near_duplicate_chains_and_blocks(spark, monkeypatch):
             near[r.randrange(60)] = f"edit{r.randrange(20)}"
         rows.append((100 + k, " ".join(near)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(x.doc, x.n_shingles, x.component_id) for x in neardup.near_duplicates(docs, 5, 80).collect()}
-    assert got == brute_components(rows, 5, 80)
+    for exact in (False, True):
+        got = {(x.doc, x.n_shingles, x.component_id) for x in neardup.near_duplicates(docs, 5, 80, exact=exact).collect()}
+        assert got == brute_components(rows, 5, 80)
 
 
 def test_string_hashes():
