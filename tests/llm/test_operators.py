@@ -116,10 +116,10 @@ def test_junk_scores_below_clean(spark):
     assert kept == {i for i, _ in clean}
 
 
-@pytest.mark.parametrize("shard_words", [1 << 18, 40])
-def test_language_model(spark, folder, shard_words):
+@pytest.mark.parametrize(("shard_words", "part_tokens"), [(1 << 18, 1 << 22), (40, 1 << 22), (1 << 18, 900), (40, 300), (4, 5000)])
+def test_language_model(spark, folder, shard_words, part_tokens):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    known = lm.build(docs.where(~lm.held_out()).select("text"), shard_words)
+    known = lm.build(docs.where(~lm.held_out()).select("text"), shard_words, part_tokens)
     tok = lambda t: [w.encode() for w in words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))] + [b"\0end"]
     training = [tok(t or "") for i, t, _, _ in DOCS if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     c, two, three = Counter(), Counter(), Counter()
