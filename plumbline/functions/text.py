@@ -63,6 +63,16 @@ def query_text(query: Column, filters: Column, repeat: int = 2) -> Column:
     return F.trim(F.regexp_replace(F.concat_ws(" ", *[normalize(query)] * repeat, clean_filter(filters)), r" +", " "))
 
 
+def query_only_text(query: Column) -> Column:
+    """The query without its filters."""
+    return normalize(query)
+
+
+def filter_only_text(filters: Column) -> Column:
+    """The filters' words of weight."""
+    return clean_filter(filters)
+
+
 def query_key(stems: Column) -> Column:
     """Identity of a query whatever its word order: sorted distinct stems."""
     return F.array_join(F.array_sort(F.array_distinct(tokens(stems))), " ")
@@ -101,6 +111,15 @@ def filters_hold(filters: Column, params: Column) -> Column:
     return F.forall(filters, lambda f: F.contains(params, f))
 
 
+#: What encoders want before a query and before an item, by the encoder's kind.
+PREFIXES = {"asymmetric": ("query: ", "passage: "), "plain": ("", "")}
+
+
+def prefixed(c: Column, kind: str, is_query: bool) -> Column:
+    """An encoder's text with the prefix of its kind."""
+    return F.concat(F.lit(PREFIXES[kind][0 if is_query else 1]), or_empty(c))
+
+
 def embedder_query(query: Column, filters: Column) -> Column:
     return F.concat_ws(". ", F.nullif(F.trim(clip(query, 200)), F.lit("")), F.nullif(F.trim(clip(filters, 300)), F.lit("")))
 

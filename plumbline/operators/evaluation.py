@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import RRF_K
+from plumbline.functions.numbers import seeded
+
+from .ranking import RRF_K, select_topk
 
 
 def query_recall(hits: DataFrame, relevant: DataFrame, query: str, label: str = "label") -> DataFrame:
@@ -64,29 +66,55 @@ def best_weights(grid: DataFrame, gain: float = 1e-6) -> dict:
     return best.asDict() if best else {}
 
 
-def tune_selection(evaluate: Callable[[dict], float], hard: list[str], quota_columns: list[str], diversity_columns: list[str], min_gain: float = 0.002, quotas: tuple[int, ...] = (0, 3, 5, 10), slots: tuple[int, ...] = (0, 1, 2, 3), passes: int = 2) -> tuple[dict, float]:
-    """Greedy search over selection parameters; a change must gain more than min_gain. Accepted changes accumulate."""
-    best: dict = {"quotas": {}, "hard": [], "diversity": {}}
-    value = evaluate(best)
+#: No quotas, no hard columns, no slots.
+NEUTRAL: dict = {"quotas": {}, "hard": [], "diversity": {}}
+
+
+def selection_recalls(df: DataFrame, relevant: DataFrame, query: str, item: str, score: str, proposals: list[dict], k: int = 50, label: str = "label") -> list[float]:
+    """Macro recall of each set of selection parameters, all of them in one job; the driver gets a row for each."""
+    chosen = [select_topk(df, query, item, score, k, **p).groupBy(query).agg(F.sum(label).alias("hits")).withColumn("proposal", F.lit(i)) for i, p in enumerate(proposals)]
+    n = relevant.where("n_rel > 0").agg(F.count(F.lit(1)).alias("n"))
+    every = reduce(lambda a, b: a.unionByName(b), chosen).join(relevant.where("n_rel > 0"), query)
+    shares = every.groupBy("proposal").agg(F.sum(F.col("hits") / F.col("n_rel")).alias("s")).crossJoin(F.broadcast(n))
+    found = {r["proposal"]: r["recall"] for r in shares.select("proposal", F.round(F.col("s") / F.col("n"), 6).alias("recall")).collect()}
+    return [found.get(i, 0.0) for i in range(len(proposals))]
 
-    def offer(proposal: dict) -> None:
-        nonlocal best, value
-        got = evaluate(proposal)
-        if got > value + min_gain:
-            best, value = proposal, got
 
-    for c in hard:
-        offer(best | {"hard": [*best["hard"], c]})
+def search_steps(hard: list[str], quota_columns: list[str], diversity_columns: list[str], quotas: tuple[int, ...], slots: tuple[int, ...], passes: int):
+    """What a search tries, step by step: (kind of parameter, column, values)."""
+    for column in hard:
+        yield "hard", column, (True,)
     for _ in range(passes):
-        for c in quota_columns:
-            for q in quotas:
-                offer(best | {"quotas": {**best["quotas"], c: q}})
-        for c in diversity_columns:
-            for d in slots:
-                offer(best | {"diversity": {**best["diversity"], c: d}})
+        for column in quota_columns:
+            yield "quotas", column, quotas
+        for column in diversity_columns:
+            yield "diversity", column, slots
+
+
+def with_value(params: dict, kind: str, column: str, value) -> dict:
+    return {**params, kind: [*params[kind], column] if kind == "hard" else params[kind] | {column: value}}
+
+
+def tune_selection(recalls: Callable[[list[dict]], list[float]], hard: list[str], quota_columns: list[str], diversity_columns: list[str], min_gain: float = 0.002, quotas: tuple[int, ...] = (0, 3, 5, 10), slots: tuple[int, ...] = (0, 1, 2, 3), passes: int = 2) -> tuple[dict, float]:
+    """Search column by column: the values of a column are measured together, against what earlier columns have settled.
+
+    In order of values, each one that gains more than min_gain on the best so far takes its place.
+    """
+    best, value = NEUTRAL, recalls([NEUTRAL])[0]
+    for step in search_steps(hard, quota_columns, diversity_columns, quotas, slots, passes):
+        tried = [with_value(best, *step[:2], v) for v in step[2]]
+        for params, got in zip(tried, recalls(tried), strict=True):
+            if got > value + min_gain:
+                best, value = params, got
     return best, value
 
 
+def accepted(params: dict, recalls: Callable[[list[dict]], list[float]]) -> dict:
+    """Tuned parameters if another part's recall is no worse with them than without, else the neutral ones."""
+    without, tuned = recalls([NEUTRAL, params])
+    return params if tuned >= without else NEUTRAL
+
+
 def rank_bucket(rank: Column) -> Column:
     return F.when(rank.isNull(), "out of pool").when(rank <= 9, "top-10").when(rank <= 49, "11-50").when(rank <= 99, "51-100").when(rank <= 299, "101-300").otherwise(">300")
 
@@ -109,6 +137,70 @@ def overlap_share(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("n"), F.count("_in").alias("n_shared"), F.round(F.avg(F.when(F.col("_in").isNotNull(), 1.0).otherwise(0.0)), 6).alias("share"))
 
 
+def count_quantiles(rows: DataFrame, key: str, quantiles: dict[str, float], many: int) -> DataFrame:
+    """One row: exact quantiles of the rows a key, and n_many, how many keys have more than `many` (counts have few distinct values)."""
+    per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(*[F.percentile("n", F.lit(q)).alias(name) for name, q in quantiles.items()], F.count_if(F.col("n") > many).alias("n_many"))
+
+
+def channel_hits(positives: DataFrame, channels: list[str], within: int) -> DataFrame:
+    """(channel, hit_share, median_rank) of the positives' channel ranks below `within`."""
+    long = positives.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels])))
+    hit = F.col("v") < within
+    return long.groupBy("channel").agg(F.round(F.avg(F.when(hit, 1.0).otherwise(0.0)), 6).alias("hit_share"), F.median(F.when(hit, F.col("v"))).alias("median_rank"))
+
+
+def key_matches(pairs: DataFrame, params: str) -> DataFrame:
+    """(key, n, share): how often a filter's 'key value' stands in the chosen item's parameters; pairs: key, value, params."""
+    ok = F.contains(F.col(params), F.lower(F.concat("key", F.lit(" "), "value")))
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(ok, 1.0).otherwise(0.0)), 6).alias("share"))
+
+
+def seen_share(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """One row: share of asked's rows whose key is known, repeated rows counted as often as they occur."""
+    marked = asked.select(key).join(known.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_in", F.lit(1)), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("_in").isNotNull(), 1.0).otherwise(0.0)), 6).alias("share"))
+
+
+def positive_sets(positives: DataFrame, query: str, item: str) -> DataFrame:
+    """(query, items): the distinct positives of each query, sorted."""
+    return positives.groupBy(query).agg(F.sort_array(F.collect_set(item)).alias("items"))
+
+
+def answer_length(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """One row: answers, and the mean number of items in them."""
+    n = F.when(F.length(answer) > 0, F.size(F.split(answer, " "))).otherwise(0)
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("mean_items"))
+
+
+def pool_ceiling(pool: DataFrame, relevant: DataFrame, query: str, label: str = "label") -> DataFrame:
+    """One row: recall of the whole pool, and candidates a query."""
+    size = pool.agg(F.count(F.lit(1)).alias("rows"))
+    n = relevant.agg(F.count(F.lit(1)).alias("queries"))
+    return macro_recall(pool, relevant, query, label).crossJoin(size).crossJoin(n).select("recall", F.round(F.col("rows") / F.col("queries"), 6).alias("candidates"))
+
+
+def located(positives: DataFrame, scored: DataFrame, query: str, item: str, rank: str = "rank") -> DataFrame:
+    """Positives with their rank among the scored rows, null outside the pool, and the rank's bucket."""
+    found = positives.select(query, item).join(scored.select(query, item, rank), [query, item], "left")
+    return found.withColumn("bucket", rank_bucket(F.col(rank)))
+
+
+def miss_table(positives: DataFrame, scored: DataFrame, queries: DataFrame, items: DataFrame, query: str, item: str, title: str, k: int = 50, top: int = 5) -> DataFrame:
+    """One row for each positive beyond k: the query's columns, the missed title and rank, and the titles on top, wide."""
+    missed = located(positives, scored, query, item).where(F.col("rank").isNull() | (F.col("rank") >= k))
+    first = scored.where(F.col("rank") < top).join(items.select(item, title), item, "left")
+    wide = first.groupBy(query).agg(*[F.max(F.when(F.col("rank") == i, F.col(title))).alias(f"top{i + 1}") for i in range(top)])
+    named = missed.join(items.select(item, F.col(title).alias("missed_title")), item, "left").join(queries, query, "left")
+    return named.join(wide, query, "left").select(*queries.columns, F.col(item).alias("missed"), "missed_title", F.col("rank").alias("missed_rank"), *[f"top{i + 1}" for i in range(top)])
+
+
+def sampled_queries(misses: DataFrame, query: str, n: int = 8, seed: int = 0) -> DataFrame:
+    """The rows of n queries, the first in seeded order."""
+    ids = misses.select(query).distinct().withColumn("_h", seeded(F.col(query), seed)).orderBy("_h", query).limit(n).select(query)
+    return misses.join(F.broadcast(ids), query, "left_semi")  # n ids
+
+
 def drift(train: DataFrame, served: DataFrame, features: list[str]) -> DataFrame:
     """(feature, train_mean, served_mean, ratio): one pass over each side; ratio is null for a mean of 0."""
 

@@ -13,14 +13,31 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ERF = np.vectorize(math.erf, otypes=[np.float64])
+from plumbline.functions.numbers import seeded
+from plumbline.sources.tables import materialised
+
+from .evaluation import macro_recall
+from .splits import distractors
+from .vectors import dense_topk
+
 SCALE = 20.0
+#: The published rational approximation of the error function (error below 1.5e-7).
+_ERF = (0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    t = 1 / (1 + _ERF[0] * np.abs(x))
+    total = np.zeros_like(t)
+    for c in reversed(_ERF[1]):
+        total = (total + c) * t
+    return np.sign(x) * (1 - total * np.exp(-x * x))
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return x * 0.5 * (1 + _ERF(x / math.sqrt(2)))
+    return x * 0.5 * (1 + erf(x / math.sqrt(2)))
 
 
 def new_head(dim: int, hidden: int | None = None, seed: int = 7) -> dict[str, np.ndarray]:
@@ -59,7 +76,7 @@ def _back(w: dict, k: int, kept, d: np.ndarray, out: dict) -> np.ndarray:
     dh = dy @ w[f"down{k}"].T
     out[f"down{k}"] = out.get(f"down{k}", 0) + (gate * act).T @ dy
     dgate = dh * act
-    slope = 0.5 * (1 + _ERF(up / math.sqrt(2))) + up * np.exp(-(up**2) / 2) / math.sqrt(2 * math.pi)
+    slope = 0.5 * (1 + erf(up / math.sqrt(2))) + up * np.exp(-(up**2) / 2) / math.sqrt(2 * math.pi)
     dup = dh * gate * slope
     out[f"gate{k}"] = out.get(f"gate{k}", 0) + x.T @ dgate
     out[f"up{k}"] = out.get(f"up{k}", 0) + x.T @ dup
@@ -113,6 +130,34 @@ def train(queries: np.ndarray, items: np.ndarray, measure: Callable[[dict], floa
     return best[1] if measure is not None else w
 
 
+def sampled_pairs(pairs: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, query: str, item: str, most: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of at most `most` pairs, the first in seeded order: what the driver collects for training."""
+    drawn = pairs.select(query, item).distinct().withColumn("_h", seeded(F.concat_ws("|", F.col(query), F.col(item)), seed)).orderBy("_h", query, item).limit(most)
+    rows = drawn.join(query_vectors.select(query, F.col("embedding").alias("_q")), query).join(item_vectors.select(item, F.col("embedding").alias("_i")), item).orderBy("_h").select("_q", "_i").toArrow().combine_chunks()
+    side = lambda k: np.asarray(pa.concat_arrays(rows.column(k).chunks).flatten(), np.float64).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
+    return side(0), side(1)
+
+
+def recall_of_head(weights: dict[str, np.ndarray], positives: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, others: DataFrame, query: str, item: str, k: int = 50) -> float:
+    """Macro recall@k of the head's vectors, over the positives' items and the distractors (one column, the item's id)."""
+    corpus = positives.select(item).unionByName(others.select(item)).distinct()
+    asked = positives.select(query).distinct()
+    encoded = lambda v, ids, key: apply_head(v.join(ids, key, "left_semi").select(key, "embedding"), weights).select(key, F.col("encoded").alias("embedding"))
+    found = dense_topk(encoded(item_vectors, corpus, item), item, "embedding", encoded(query_vectors, asked, query), query, "embedding", k)
+    hits = found.join(positives.select(query, item).distinct().withColumn("label", F.lit(1)), [query, item])
+    relevant = positives.select(query, item).distinct().groupBy(query).agg(F.count(F.lit(1)).alias("n_rel"))
+    return macro_recall(hits, relevant, query).first()["recall"] or 0.0
+
+
+def train_head(train_pairs: DataFrame, valid_pairs: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, query: str = "query_id", item: str = "item_id", most: int = 100_000, n_distractors: int = 20_000, k: int = 50, seed: int = 42, **how) -> dict[str, np.ndarray]:
+    """A head trained on a bounded sample of pairs; the epoch with the best recall@k of the held-out pairs among
+    distractors is kept. `how` goes to train.
+    """
+    others = materialised(distractors(item_vectors, valid_pairs, item, n_distractors, seed), "distractors")
+    q, i = sampled_pairs(train_pairs, query_vectors, item_vectors, query, item, most, seed)
+    return train(q, i, lambda w: recall_of_head(w, valid_pairs, query_vectors, item_vectors, others, query, item, k), seed=seed, **how)
+
+
 def apply_head(df: DataFrame, weights: dict[str, np.ndarray], vec_col: str = "embedding", out_col: str = "encoded") -> DataFrame:
     """df with the head's vectors in out_col; a null vector stays null. Weights have a fixed size and are broadcast."""
     sent = df.sparkSession.sparkContext.broadcast(weights)
@@ -134,7 +179,9 @@ def apply_head(df: DataFrame, weights: dict[str, np.ndarray], vec_col: str = "em
 
 
 def encode(df: DataFrame, text_col: str, encoder: Callable[[list[str]], np.ndarray], out_col: str = "embedding", size: int = 64) -> DataFrame:
-    """Hook for any encoder of lists of texts, applied in batches on the executors."""
+    """Hook for any encoder of lists of texts, applied in batches on the executors; put the encoder's prefix before the
+    texts with functions.text.prefixed.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def work(batches):

@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers, text
@@ -31,14 +30,14 @@ CHANNELS = {f"{kind}_{mask}": k for kind in ("bm25", "dense", "dense2") for mask
 
 def prepare_queries(queries: DataFrame, shares: DataFrame, items: DataFrame) -> DataFrame:
     """Texts, key, filters, threshold and zone of each query (query_id, query, filters, location, category)."""
-    plain = text.normalize(F.col("query"))
+    plain = text.query_only_text(F.col("query"))
     present = items.select(F.col("location").alias("item_loc")).where("item_loc is not null").distinct()
     searched = queries.select(F.col("location").alias("search_loc")).where("search_loc is not null").distinct()
     zone = history.zones(shares, searched, present).groupBy("search_loc").agg(F.map_from_entries(F.collect_list(F.struct("item_loc", "p"))).alias("zone"))
     likeliest = history.likeliest(shares, present).withColumnRenamed("item_loc", "likeliest")
     ready = queries.select(
         "query_id", F.col("location").alias("search_loc"), "category",
-        stemmed(text.query_text(F.col("query"), F.col("filters"))).alias("full_text"), stemmed(plain).alias("title_text"), stemmed(text.clean_filter(F.col("filters"))).alias("filter_text"),
+        stemmed(text.query_text(F.col("query"), F.col("filters"))).alias("full_text"), stemmed(plain).alias("title_text"), stemmed(text.filter_only_text(F.col("filters"))).alias("filter_text"),
         text.query_key(stemmed(plain)).alias("query_key"), text.checkable_filters(F.col("filters")).alias("wanted"), text.rating_threshold(F.col("filters")).alias("threshold"),
         (F.length(text.or_empty(F.col("filters"))) > 0).cast("int").alias("has_filter"),
     )
@@ -91,10 +90,12 @@ def supply(scored: DataFrame) -> DataFrame:
 def _bm25_channels(scored: DataFrame, channels: dict[str, int]) -> DataFrame:
     """Rows (query, item, channel, rank) of all BM25 channels in one window pass."""
     masks = {"bm25_global": F.lit(True), "bm25_geo": F.col("in_geo") == 1, "bm25_geo_filt": (F.col("in_geo") == 1) & (F.col("filter_ok") == 1) & (F.size("wanted") > 0)}
-    chosen = F.filter(F.array(*[F.when(m, F.struct(F.lit(c).alias("channel"), F.lit(channels[c]).alias("k"))) for c, m in masks.items() if c in channels]), lambda x: x.isNotNull())
-    order = W.partitionBy("query_id", "channel").orderBy(F.desc("bm25"), F.asc("item_id"))
-    every = scored.select("query_id", "item_id", "bm25", F.inline(chosen))
-    return every.withColumn("rank", F.row_number().over(order) - 1).where("rank < k").select("query_id", "item_id", "channel", "rank")
+    masks = {c: m for c, m in masks.items() if c in channels}
+    if not masks:
+        return scored.where("false").select("query_id", "item_id", F.lit("").alias("channel"), F.lit(0).alias("rank"))
+    chosen = F.filter(F.array(*[F.when(m, F.lit(c)) for c, m in masks.items()]), lambda x: x.isNotNull())
+    every = scored.select("query_id", "item_id", "bm25", F.explode(chosen).alias("channel"))
+    return ranking.first_of_channels(every, "query_id", "item_id", "bm25", "channel", {c: channels[c] for c in masks}).select("query_id", "item_id", "channel", "rank")
 
 
 def _views(kind: str, channels: dict[str, int]) -> list[vectors.View]:

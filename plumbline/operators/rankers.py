@@ -7,6 +7,8 @@ a group is bounded. Scores are checkpointed between rounds.
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,14 +16,16 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.sources.tables import shared_dir
+from plumbline.sources.tables import read_text, shared_dir, write_text
 
 from .ranking import rank_within
+from .splits import with_positive
 
 #: Stands for a missing feature; features are above it.
 MISSING = -1e6
@@ -70,17 +74,23 @@ class Ranker:
         both = total[:n] + total[n:]
         return dict(zip(self.features, (both / max(both.sum(), 1e-12)).tolist(), strict=True))
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark: SparkSession) -> None:
+        """The model and, beside it, what describes it."""
         if self.pipeline is not None:
             self.pipeline.write().overwrite().save(f"{path}/{self.kind}")
         for k, t in enumerate(self.trees):
             t.write().overwrite().save(f"{path}/{self.kind}/{k}")
+        said = {"kind": self.kind, "features": self.features, "trees": len(self.trees), "rate": self.rate}
+        write_text(spark, f"{path}/{self.kind}.json", json.dumps(said))
 
     @staticmethod
-    def load(path: str, kind: str, features: list[str], n_trees: int = 0, rate: float = 0.1) -> Ranker:
-        if kind == "binary":
-            return Ranker(kind, features, pipeline=PipelineModel.load(f"{path}/{kind}"))
-        return Ranker(kind, features, [DecisionTreeRegressionModel.load(f"{path}/{kind}/{k}") for k in range(n_trees)], rate)
+    def load(path: str, kind: str, spark: SparkSession) -> Ranker:
+        said = json.loads(read_text(spark, f"{path}/{kind}.json") or "{}")
+        if not said:
+            raise FileNotFoundError(f"no {kind} ranker at {path}")
+        if said["trees"] == 0:
+            return Ranker(kind, said["features"], pipeline=PipelineModel.load(f"{path}/{kind}"))
+        return Ranker(kind, said["features"], [DecisionTreeRegressionModel.load(f"{path}/{kind}/{k}") for k in range(said["trees"])], said["rate"])
 
 
 def train_binary(train: DataFrame, features: list[str], rounds: int = 20, depth: int = 5, valid: DataFrame | None = None, seed: int = 7) -> Ranker:
@@ -94,10 +104,11 @@ def train_binary(train: DataFrame, features: list[str], rounds: int = 20, depth:
     return Ranker("binary", features, pipeline=Pipeline(stages=[gbt]).fit(rows))
 
 
-def lambdas(score: np.ndarray, label: np.ndarray, top: int = 50, draws: int = 0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def lambdas(score: np.ndarray, label: np.ndarray, top: int = 50, draws: int = 0, seed: int | tuple[int, ...] = 0) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and weight of each row of a query: pairs weighted by what swapping them changes in NDCG@top.
 
-    draws: average over that many rankings of noisy scores instead of the one ranking (a smoothed variant).
+    draws: average over that many rankings of noisy scores instead of the one ranking (a smoothed variant). Equal scores
+    are ranked in the order of the rows.
     """
     n = len(score)
     g, w = np.zeros(n), np.zeros(n)
@@ -122,31 +133,58 @@ def lambdas(score: np.ndarray, label: np.ndarray, top: int = 50, draws: int = 0,
     return g / max(1, draws), w / max(1, draws)
 
 
-def train_lambda(train: DataFrame, features: list[str], rounds: int = 10, depth: int = 5, rate: float = 0.1, top: int = 50, draws: int = 0, seed: int = 7) -> Ranker:
-    """Boosted regression trees on the lambdas' Newton steps; draws > 0 gives the smoothed variant."""
-    spark = train.sparkSession
-    shared_dir(spark)
-    state = assembled(train, features).select("query_id", "item_id", "label", "features", F.lit(0.0).alias("score")).checkpoint()
-    trees = []
-    for _ in range(rounds):
+def ndcg(rows: DataFrame, query: str, item: str, score: str, label: str = "label", top: int = 50) -> DataFrame:
+    """One row: ndcg, the mean of NDCG@top over queries with a positive."""
+    ranked = rank_within(rows, query, item, score, "_r")
+    gain = F.when((F.col("_r") < top) & (F.col(label) > 0), 1 / F.log2(F.col("_r") + 2)).otherwise(0.0)
+    per = ranked.groupBy(query).agg(F.sum(gain).alias("got"), F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("n")).where("n > 0")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(top)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return per.agg(F.round(F.avg(F.col("got") / ideal), 6).alias("ndcg"))
 
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            g, w = lambdas(pdf["score"].to_numpy(), pdf["label"].to_numpy(), top, draws, seed)
-            return pd.DataFrame({"query_id": pdf["query_id"], "item_id": pdf["item_id"], "target": np.where(w > 0, g / np.maximum(w, 1e-9), 0.0), "weight": w})
 
-        kind = dict(train.dtypes)
-        moves = _moves(state, step, kind)
-        rows = state.join(moves, ["query_id", "item_id"]).where("weight > 0")
+def lambda_step(top: int, draws: int, seed: int, turn: int):
+    """One round for the rows of a query: target and weight of each, in order of item."""
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item_id", kind="stable")
+        noise = (seed, turn, zlib.crc32(str(pdf["query_id"].iloc[0]).encode()))
+        g, w = lambdas(pdf["score"].to_numpy(), pdf["label"].to_numpy(), top, draws, noise)
+        return pdf.assign(target=np.where(w > 0, g / np.maximum(w, 1e-9), 0.0), weight=w)
+
+    return step
+
+
+def train_lambda(train: DataFrame, features: list[str], rounds: int = 10, depth: int = 5, rate: float = 0.1, top: int = 50, draws: int = 0, valid: DataFrame | None = None, patience: int = 100, seed: int = 7) -> Ranker:
+    """Boosted regression trees on the lambdas' Newton steps; draws > 0 gives the smoothed variant, with noise of its own
+    for each round and query.
+
+    With validation rows, training ends when NDCG@top has not risen for `patience` rounds, and the trees of the best round
+    are kept. Rows of a query are put in order of item, so their order in the table changes nothing.
+    """
+    shared_dir(train.sparkSession)
+    start = lambda df: assembled(df, features).select("query_id", "item_id", "label", "features", F.lit(0.0).alias("score")).checkpoint()
+    state, held = start(with_positive(train, "query_id", "label")), None if valid is None else start(valid)
+    trees, best = [], (-1.0, 0)
+    for turn in range(rounds):
+        step = lambda_step(top, draws, seed, turn)
+        # features go along as arrays: one pass gives the tree's rows, without a join back
+        moved = state.withColumn("features", vector_to_array("features"))
+        moved = moved.groupBy("query_id").applyInPandas(step, T.StructType([*moved.schema.fields, T.StructField("target", T.DoubleType()), T.StructField("weight", T.DoubleType())]))
+        rows = moved.where("weight > 0").withColumn("features", array_to_vector("features")).sort("query_id", "item_id").checkpoint()
         if rows.isEmpty():
             break
         tree = DecisionTreeRegressor(labelCol="target", weightCol="weight", maxDepth=depth, seed=seed).fit(rows)
         trees.append(tree)
-        state = tree.transform(state).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction").checkpoint()
-    return Ranker("yetirank" if draws else "lambdarank", features, trees, rate)
-
-
-def _moves(state: DataFrame, step, kind: dict[str, str]) -> DataFrame:
-    return state.select("query_id", "item_id", "label", "score").groupBy("query_id").applyInPandas(step, f"query_id {kind['query_id']}, item_id {kind['item_id']}, target double, weight double")
+        add = lambda df: tree.transform(df).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction").checkpoint()  # noqa: B023, E731
+        state = add(state)
+        if held is not None:
+            held = add(held)
+            got = ndcg(held, "query_id", "item_id", "score", top=top).first()["ndcg"] or 0.0
+            if got > best[0]:
+                best = (got, len(trees))
+            if len(trees) - best[1] >= patience:
+                break
+    return Ranker("yetirank" if draws else "lambdarank", features, trees if held is None else trees[: best[1]], rate)
 
 
 TRAINERS = {"binary": train_binary, "lambdarank": train_lambda, "yetirank": lambda train, features, **kw: train_lambda(train, features, draws=4, **kw)}

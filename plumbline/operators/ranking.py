@@ -25,6 +25,14 @@ def topk_mask(df: DataFrame, query: str, item: str, score: str, k: int = 50, nam
     return rank_within(df, query, item, score, "_r").withColumn(name, (F.col("_r") < k).cast("int")).drop("_r")
 
 
+def first_of_channels(df: DataFrame, query: str, item: str, score: str, channel: str, k: int | dict[str, int], name: str = "rank") -> DataFrame:
+    """The first k rows of each channel of a query (k: a number, or one for each channel), in one window for all channels."""
+    order = W.partitionBy(query, channel).orderBy(F.desc(score), F.asc(item))
+    most = F.lit(k) if isinstance(k, int) else F.element_at(F.create_map(*[F.lit(x) for pair in k.items() for x in pair]), F.col(channel))
+    ranked = df.withColumn(name, (F.row_number().over(order) - 1).cast("int"))
+    return ranked.where(F.col(name) < (k if isinstance(k, int) else max(k.values()))).where(F.col(name) < most)
+
+
 def rrf(weights: dict[str, float], k: int = RRF_K) -> Column:
     """Weighted reciprocal rank fusion of rank columns; a weight of 0 leaves its model out."""
     parts = [F.lit(float(w)) / (F.col(c) + k) for c, w in weights.items() if w]
@@ -82,6 +90,25 @@ def fill_to_k(chosen: DataFrame, query: str, item: str, lists: list[DataFrame],
     return first.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select(query, item, "rank")
 
 
+def fill_lists(items: DataFrame, item: str, place: str, score: str, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """((place, item, rank), (item, rank)): the `most` items of highest score of each place, and of all."""
+    ranked = rank_within(items.where(F.col(place).isNotNull()), place, item, score).where(F.col("rank") < most)
+    everywhere = items.select(item, score).orderBy(F.desc(score), F.asc(item)).limit(most)
+    # at most `most` rows are numbered in the one window
+    numbered = everywhere.withColumn("rank", (F.row_number().over(W.orderBy(F.desc(score), F.asc(item))) - 1).cast("int"))
+    return ranked.select(place, item, "rank"), numbered.select(item, "rank")
+
+
+def fill_answers(chosen: DataFrame, queries: DataFrame, query: str, item: str, place: str, local: DataFrame, everywhere: DataFrame, k: int = 50) -> DataFrame:
+    """(query, item, rank): chosen rows, then the query's place's list, then the list of all, without repeats, to k.
+
+    The lists have a fixed number of rows a place, so both are joined to the queries that lack items only.
+    """
+    short = queries.select(query, place).join(chosen.groupBy(query).agg(F.count(F.lit(1)).alias("_n")), query, "left").where(F.coalesce("_n", F.lit(0)) < k).select(query, place)
+    near = short.join(local, place).select(query, item, "rank")
+    return fill_to_k(chosen, query, item, [near, short.select(query).crossJoin(F.broadcast(everywhere))], k)
+
+
 def answers(chosen: DataFrame, query: str, item: str) -> DataFrame:
     """(query, answer): items in order of rank, joined by spaces; a query has at most k, so the list is bounded."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).cast("string").alias("i")))), lambda x: x["i"])

@@ -107,18 +107,65 @@ def heldout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.held_out(q, "query_id", 0.1).join(small, "query_id", "left").select("query_id", F.coalesce("_s", F.lit(0)).alias("in_small"))
 
 
-@query(f"""WITH q AS ({plain(SHOPPED)}), known AS (SELECT DISTINCT query FROM q WHERE status = 'F'),
-first AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_H('query_id', 42)}, query_id) AS k FROM q WHERE status <> 'F' AND n_pos > 0 AND n_pos <= 20),
-marked AS (SELECT query_id, query IN (SELECT query FROM known) AS seen FROM first WHERE k = 1), n AS (SELECT count(*) FILTER (seen) AS ns, count(*) FILTER (NOT seen) AS nu FROM marked),
-w AS (SELECT CASE WHEN 120 > nu THEN nu ELSE 120 END AS wu, ns, nu FROM n), want AS (SELECT wu, least(CASE WHEN 120 > nu THEN CAST(round_even(wu * 0.4e0 / 0.6e0, 0) AS BIGINT) ELSE 80 END, ns) AS ws, CASE WHEN 120 > nu THEN CAST(round_even(wu * 0.4e0 / 0.6e0, 0) AS BIGINT) ELSE 80 END AS ask FROM w),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY seen ORDER BY {_H('query_id', 43)}, query_id) AS r FROM marked), chosen AS (SELECT query_id, seen FROM ranked, want WHERE r <= CASE WHEN seen THEN ws ELSE wu END)
-SELECT query_id, seen, CASE WHEN row_number() OVER (ORDER BY {_H('query_id', 44)}, query_id) <= (SELECT round_even((ws + wu) / 2.0e0, 0) FROM want) THEN 'valid' ELSE 'test' END AS split FROM chosen""")
+def _selected(source: str, known: str, share: float, n_valid: int, n_test: int, seed: int = 42) -> str:
+    """CTEs that end in picked (query_id, seen, split): one query a text, then the limit of choices, then quotas by stratum."""
+    total = n_valid + n_test
+    target = round(total * (1 - share))
+    return f"""first AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_H('query_id', seed)}, query_id) AS k FROM {source}),
+marked AS (SELECT query_id, query IN (SELECT query FROM {known}) AS seen FROM first WHERE k = 1 AND n_pos > 0 AND n_pos <= 20), strata AS (SELECT count(*) FILTER (seen) AS ns, count(*) FILTER (NOT seen) AS nu FROM marked),
+want AS (SELECT least(nu, {target}) AS wu, CASE WHEN least(nu, {target}) = 0 THEN least(ns, {total}) WHEN nu < {target} THEN least(ns, CAST(round_even(nu * {share}e0 / {1 - share}e0, 0) AS BIGINT)) ELSE least(ns, {total - target}) END AS ws FROM strata),
+lots AS (SELECT *, row_number() OVER (PARTITION BY seen ORDER BY {_H('query_id', seed + 1)}, query_id) AS r FROM marked), drawn AS (SELECT query_id, seen FROM lots, want WHERE r <= CASE WHEN seen THEN ws ELSE wu END),
+picked AS (SELECT query_id, seen, CASE WHEN row_number() OVER (ORDER BY {_H('query_id', seed + 2)}, query_id) <= (SELECT floor((ws + wu) * {n_valid}e0 / {total}e0) FROM want) THEN 'valid' ELSE 'test' END AS split FROM drawn)"""
+
+
+@query(f"WITH q AS ({plain(SHOPPED)}), known AS (SELECT DISTINCT query FROM q WHERE status = 'F'), asked AS (SELECT * FROM q WHERE status <> 'F'), {_selected('asked', 'known', 0.4, 100, 100)} SELECT * FROM picked")
 def eval_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation queries with the wanted share of known texts."""
     q = bound(spark, sf_dir, SHOPPED)
     return splits.eval_select(q.where("status <> 'F'"), "query_id", "query", "n_pos", q.where("status = 'F'").select("query"), 0.4, 100, 100)
 
 
+@query(f"WITH q AS ({plain(SHOPPED)}), known AS (SELECT DISTINCT query FROM q), asked AS (SELECT * FROM q WHERE status <> 'F'), {_selected('asked', 'known', 0.4, 70, 33)} SELECT * FROM picked")
+def eval_select_all_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation queries where every text is known."""
+    q = bound(spark, sf_dir, SHOPPED)
+    return splits.eval_select(q.where("status <> 'F'"), "query_id", "query", "n_pos", q.select("query"), 0.4, 70, 33)
+
+
+_HELD = lambda share: f"(SELECT query_id FROM (SELECT query_id, row_number() OVER (ORDER BY {_H('query_id', 42)}, query_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM q)) WHERE k <= greatest(1, floor(n * {share}e0)))"
+
+
+@query(f"""WITH q AS ({plain(SHOPPED)}), held AS {_HELD(0.1)}, inner_ AS {_HELD(0.03)}, asked AS (SELECT * FROM q WHERE query_id IN (SELECT query_id FROM inner_)), known AS (SELECT DISTINCT query FROM q WHERE query_id NOT IN (SELECT query_id FROM inner_)),
+{_selected('asked', 'known', 0.5, 40, 40)}, cand AS (SELECT * FROM q WHERE query_id IN (SELECT query_id FROM held)), barred AS (SELECT DISTINCT query FROM cand WHERE query_id IN (SELECT query_id FROM picked)),
+few AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_H('query_id', 42)}, query_id) AS k FROM cand WHERE query NOT IN (SELECT query FROM barred) AND n_pos > 0 AND n_pos <= 20 AND length(trim(query)) >= 2)
+SELECT query_id, 'history' AS role FROM q WHERE query_id NOT IN (SELECT query_id FROM held) UNION ALL SELECT query_id, split FROM picked UNION ALL SELECT * FROM (SELECT query_id, 'train' FROM few WHERE k <= 3 ORDER BY {_H('query_id', 43)}, query_id LIMIT 1000)""")
+def split_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History, training and evaluation queries from one call."""
+    return splits.split_roles(bound(spark, sf_dir, SHOPPED), "query_id", "query", "query", "n_pos", 0.5, 40, 40, 1000)
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 45")
+def id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ids of two sets."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return splits.id_union([read("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")), read("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))], "id")
+
+
+@query(f"SELECT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48) ORDER BY {_H('p_partkey', 42)}, p_partkey LIMIT 100")
+def distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred items that nobody chose in number."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return splits.distractors(read("part").select(F.col("p_partkey").alias("item_id")), read("lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("item_id")), "item_id", 100)
+
+
+@query("SELECT c_custkey, c_name, part, row_number() OVER (ORDER BY p, c_custkey) - 1 AS row FROM (SELECT *, CASE c_nationkey WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS p, CASE c_nationkey WHEN 3 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS part FROM customer WHERE c_nationkey IN (1, 2, 3))")
+def rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows numbered part after part."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    ids = lambda n: c.where(f"c_nationkey = {n}").select("c_custkey")
+    return splits.in_order(c.drop("c_nationkey"), "c_custkey", [("train", ids(3)), ("valid", ids(1)), ("test", ids(2))])
+
+
 @query(f"""WITH q AS ({plain(SHOPPED)}), barred AS (SELECT DISTINCT query FROM q WHERE query_id % 50 = 0), usable AS (SELECT * FROM q WHERE query NOT IN (SELECT query FROM barred) AND n_pos > 0 AND n_pos <= 20 AND length(trim(coalesce(query, ''))) >= 2),
 few AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {_H('query_id', 42)}, query_id) AS k FROM usable) SELECT query_id, query, location, n_pos, status FROM few WHERE k <= 3 ORDER BY {_H('query_id', 43)}, query_id LIMIT 5000""")
 def clean_train(spark: SparkSession, sf_dir: str) -> DataFrame:

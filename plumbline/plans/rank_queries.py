@@ -58,10 +58,7 @@ def group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_S + ", c AS (SELECT query_id, item_id, channel, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, item_id) - 1 AS rank FROM s) SELECT query_id, item_id, channel, CAST(rank AS INT) AS rank FROM c WHERE rank < 5")
 def channel_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First five of each channel of a query, one window for all channels."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query_id", "channel").orderBy(F.desc("score"), F.asc("item_id"))
-    return scored(spark, sf_dir).withColumn("rank", F.row_number().over(order) - 1).where("rank < 5").select("query_id", "item_id", "channel", "rank")
+    return ranking.first_of_channels(scored(spark, sf_dir), "query_id", "item_id", "score", "channel", 5).select("query_id", "item_id", "channel", "rank")
 
 
 _POOL = _S + ", c AS (SELECT query_id, shop, channel, CAST(row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, item_id) - 1 AS INT) AS rank FROM s), top AS (SELECT * FROM c WHERE rank < 5)"
@@ -71,10 +68,7 @@ _COLS = ", ".join(f"coalesce(min(CASE WHEN channel = '{c}' THEN rank END), 9999)
 @query(_POOL + f", m AS (SELECT query_id, shop, {_COLS} FROM top GROUP BY query_id, shop) SELECT *, " + " + ".join(f"CAST(rank_{c} < 9999 AS INT)" for c in _CHANNELS) + " AS n_channels FROM m")
 def channel_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of channels, a rank column for each."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query_id", "channel").orderBy(F.desc("score"), F.asc("item_id"))
-    top = scored(spark, sf_dir).withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where("rank < 5")
+    top = ranking.first_of_channels(scored(spark, sf_dir), "query_id", "item_id", "score", "channel", 5)
     return ranking.merge_channels(top, "query_id", "shop", _CHANNELS)
 
 
@@ -125,3 +119,31 @@ def fill_to_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer file's rows."""
     return ranking.answers(filled(spark, sf_dir), "query_id", "shop")
+
+
+_LISTS = """WITH items AS (SELECT s_suppkey AS item, s_nationkey AS place, floor(s_acctbal / 1000) AS score FROM supplier), local AS (SELECT place, item, row_number() OVER (PARTITION BY place ORDER BY score DESC, item) - 1 AS rank FROM items), everywhere AS (SELECT item, row_number() OVER (ORDER BY score DESC, item) - 1 AS rank FROM items),
+q AS (SELECT c_custkey AS query, c_nationkey AS place FROM customer), chosen AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY item) - 1 AS rank FROM (SELECT DISTINCT o_custkey AS query, l_suppkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey)) """
+
+
+def fill_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items with place and score, queries with place, and what was chosen for them."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    items = read("supplier").select(F.col("s_suppkey").alias("item"), F.col("s_nationkey").alias("place"), F.floor(F.col("s_acctbal") / 1000).alias("score"))
+    queries = read("customer").select(F.col("c_custkey").alias("query"), F.col("c_nationkey").alias("place"))
+    pairs = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("query"), F.col("l_suppkey").alias("item")).distinct()
+    return items, queries, ranking.rank_within(pairs.withColumn("s", -F.col("item")), "query", "item", "s").select("query", "item", "rank")
+
+
+@query(_LISTS + "SELECT place, item, CAST(rank AS INT) AS rank FROM local WHERE rank < 3 UNION ALL SELECT NULL, item, CAST(rank AS INT) FROM everywhere WHERE rank < 3")
+def fill_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best items of each place and of all."""
+    local, everywhere = ranking.fill_lists(fill_sides(spark, sf_dir)[0], "item", "place", "score", 3)
+    return local.unionByName(everywhere.withColumn("place", F.lit(None).cast(local.schema["place"].dataType)))
+
+
+@query(_LISTS + """, every AS (SELECT query, item, 0 AS s, rank FROM chosen UNION ALL SELECT query, item, 1, rank FROM q JOIN local USING (place) WHERE rank < 20 UNION ALL SELECT query, item, 2, rank FROM q, everywhere WHERE rank < 20),
+best AS (SELECT query, item, min(struct_pack(s := s, r := rank)) AS m FROM every GROUP BY ALL) SELECT query, item, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY m.s, m.r, item) - 1 AS k FROM best) WHERE k < 12""")
+def filled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers filled from their place's list, then from the list of all."""
+    items, queries, chosen = fill_sides(spark, sf_dir)
+    return ranking.fill_answers(chosen, queries, "query", "item", "place", *ranking.fill_lists(items, "item", "place", "score", 20), 12)

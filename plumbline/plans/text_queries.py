@@ -140,15 +140,16 @@ def embedder_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("item_id", text.embedder_item(F.col("title"), F.col("params"), F.col("price")).alias("item_text"), text.embedder_query(F.col("title"), F.col("params")).alias("query_text"))
 
 
-_DENSE = f"""WITH v AS ({plain(VECTORS)}), q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM v WHERE vec_id % 10 = 0), i AS (SELECT vec_id AS item_id, embedding AS e, label AS il FROM v WHERE vec_id % 10 <> 0),
+_DENSE = f"""WITH v AS ({plain(VECTORS)}), q AS (SELECT vec_id AS query_id, embedding AS qe, label AS ql FROM v WHERE vec_id % 50 = 0), i AS (SELECT vec_id AS item_id, embedding AS e, label AS il FROM v),
 s AS (SELECT query_id, item_id, ql, il, round(list_dot_product(qe::DOUBLE[], e::DOUBLE[]), 6) AS cos FROM q, i)
 """
 _TOP = "SELECT query_id, item_id, cos, CAST(r - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS r FROM s {where}) WHERE r <= {k}"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth vector asks, all vectors are searched."""
     v = bound(spark, sf_dir, VECTORS)
-    return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("item_id"), "embedding", "label")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
 @query(_DENSE + _TOP.format(where="", k=100))
@@ -190,9 +191,33 @@ def second_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(norm, 6).alias("norm"), F.round(F.get(numbers.unit(F.col("short")), F.lit(0)), 6).alias("first"))
 
 
-@query("""SELECT e.vec_id, CASE WHEN a.vec_id IS NOT NULL THEN 0 WHEN b.vec_id IS NOT NULL THEN 1 END AS source FROM embeddings e
-LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) a USING (vec_id) LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) b USING (vec_id)""")
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 0 WHEN vec_id % 2 = 0 THEN 1 END AS source, CASE WHEN vec_id % 3 = 0 THEN round(embedding[1]::DOUBLE, 6) WHEN vec_id % 2 = 0 THEN round(-embedding[1]::DOUBLE, 6) END AS first, CASE WHEN vec_id % 3 = 0 OR vec_id % 2 = 0 THEN CAST(len(embedding) AS INT) END AS size FROM embeddings""")
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector of each id from the preferred source that has it."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return vectors.lookup(v.select("vec_id"), "vec_id", [v.where("vec_id % 3 = 0"), v.where("vec_id % 2 = 0")]).select("vec_id", "source")
+    other = v.where("vec_id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    found = vectors.lookup(v.select("vec_id"), "vec_id", [v.where("vec_id % 3 = 0"), other])
+    return found.select("vec_id", "source", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"))
+
+
+_QTEXT = f"""SELECT item_id, {normalized('title')} AS query_only, lower(split_part(params, ' ', 3)) || ' brand' AS filter_only, 'query: ' || title AS asked, 'passage: ' || params AS held FROM ({plain(PARTS)})"""
+
+
+@query(f"WITH t AS ({_QTEXT}) SELECT item_id, query_only, filter_only, trim(query_only || ' ' || query_only || ' ' || filter_only) AS query_text, asked, held FROM t")
+def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query alone, its filters alone, both together, and with an encoder's prefixes."""
+    p = bound(spark, sf_dir, PARTS)
+    q, f = F.col("title"), F.col("params")
+    return p.select("item_id", text.query_only_text(q).alias("query_only"), text.filter_only_text(f).alias("filter_only"), text.query_text(q, f).alias("query_text"), text.prefixed(q, "asymmetric", True).alias("asked"), text.prefixed(f, "asymmetric", False).alias("held"))
+
+
+#: Words and their stems by the published algorithm.
+STEMS = {"важная": "важн", "вести": "вест", "вещество": "веществ", "кошками": "кошк", "падение": "паден", "павильон": "павильон", "павлиний": "павлин", "падшую": "падш", "покойный": "покойн", "прекрасные": "прекрасн", "слышал": "слыша", "ремонта": "ремонт", "телевизоров": "телевизор", "услуги": "услуг", "красивейший": "красив", "бегающий": "бега", "возможность": "возможн", "умывшись": "ум"}
+
+
+@query("SELECT p_partkey, concat(" + ", ' ', ".join(f"CASE WHEN (p_partkey + {i}) % 3 = 0 THEN '{s}' ELSE 'lamp' END" for i, s in enumerate(STEMS.values())) + ") AS stems FROM part")
+def russian_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of Russian words within other text."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    words = [F.when((F.col("p_partkey") + i) % 3 == 0, w).otherwise("lamp") for i, w in enumerate(STEMS)]
+    return p.select("p_partkey", stemmed(F.concat_ws(" ", *words)).alias("stems"))

@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import atexit
 import json
+import ntpath
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of a pool that hold flags or a few channels.
+NARROW = {"n_channels", "filter_ok", "location_match", "in_geo", "query_loc_has_items", "search_category_is0", "has_filter", "item_phone_hidden", "item_message_forbidden", "rating_ok", "tok_mc_is_top", "label"}
+
 
 def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """A Parquet table, pruned to the columns that are asked for and exist."""
@@ -47,11 +51,16 @@ def id_column(df: DataFrame, names: tuple[str, ...] = ("query_uid", "query_id"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir, which all executors share. Unset, it is a folder of our own in local mode (tests) and an
+    error on a cluster.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if where is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: steps are written to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -80,10 +89,50 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> Da
     return spark.read.parquet(path)
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """Doubles as floats; ranks as 16-bit and flags and channel counts as 8-bit whole numbers."""
+    def kind(name: str, now: str) -> str:
+        if now == "double":
+            return "float"
+        if now == "int" and name.startswith("rank_"):
+            return "smallint"
+        return "tinyint" if now == "int" and name in NARROW else now
+
+    return df.select(*[F.col(c).cast(kind(c, t)).alias(c) if kind(c, t) != t else F.col(c) for c, t in df.dtypes])
+
+
 def write_pool(df: DataFrame, path: str) -> None:
-    """A pool with its features narrowed to single precision."""
-    kinds = dict(df.dtypes)
-    df.select(*[F.col(c).cast("float").alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]).write.mode("overwrite").parquet(path)
+    """A pool with its features narrowed."""
+    narrowed(df).write.mode("overwrite").parquet(path)
+
+
+def append_pool(batches: Iterable[DataFrame], path: str) -> int:
+    """Pools of one batch of queries after the other, in one table with the first one's columns; how many there were."""
+    names, n = None, 0
+    for n, df in enumerate(batches, 1):  # noqa: B007
+        names = names or df.columns
+        narrowed(df.select(*names)).write.mode("overwrite" if n == 1 else "append").parquet(path)
+    return n
+
+
+def write_vectors(df: DataFrame, path: str, id_col: str, vec_col: str = "embedding") -> None:
+    """Vectors by id, as single-precision arrays."""
+    df.select(id_col, F.col(vec_col).cast("array<float>").alias(vec_col)).write.mode("overwrite").parquet(path)
+
+
+def write_npy(df: DataFrame, path: str, id_col: str, vec_col: str = "embedding", most: int = 1_000_000) -> None:
+    """A matrix file for numpy, rows in order of id; at most `most` rows, else an error (write_vectors has no bound)."""
+    import io
+
+    import numpy as np
+
+    rows = df.select(id_col, vec_col).orderBy(id_col).limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} vectors; write them with write_vectors")
+    flat = np.concatenate([np.zeros(0, np.float32), *(np.asarray(c.flatten(), np.float32) for c in rows[vec_col].chunks)])
+    out = io.BytesIO()
+    np.save(out, flat.reshape(rows.num_rows, -1) if rows.num_rows else flat.reshape(0, 0))
+    write_bytes(df.sparkSession, path, out.getvalue())
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
@@ -91,16 +140,20 @@ def write_answers(answers: DataFrame, path: str) -> None:
     answers.select(F.col("query_id").cast("string"), "answer").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, whole, through Spark's file systems."""
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     if not exists(spark, path):
         return None
@@ -140,5 +193,6 @@ def load_ensemble(spark: SparkSession, path: str) -> dict:
     """An ensemble's description; older ones name a model by its path."""
     found = json.loads(read_text(spark, path) or "{}")
     for m in found.get("models", []):
-        m.setdefault("file", m.get("path", "").replace("\\", "/").rsplit("/", 1)[-1])
+        if "file" not in m:
+            m["file"] = ntpath.basename(m.get("path", ""))  # splits at both kinds of slashes
     return found

@@ -38,4 +38,4 @@ def test_query_equals_sql(spark, db, name):
 
 def test_every_query_is_named_once():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"dense_fp16", "greedy_tune", "pair_features", "ranker_scores", "head_vectors"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"dense_fp16", "greedy_tune", "pair_features_two", "ranker_scores", "head_vectors"}

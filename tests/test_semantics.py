@@ -26,7 +26,7 @@ def test_normalize(spark):
 
 def test_query_key(spark):
     key = lambda s: column(spark, s, lambda c: text.query_key(stemmed(text.normalize(c))))
-    assert key("скупка телевизоров") == key("телевизор скупка") != ""
+    assert key("ремонта столов") == key("стол ремонт") != ""
     assert key("b a b") == "a b"
 
 
@@ -41,9 +41,9 @@ def test_rating(spark, value, want):
 
 
 def test_filters(spark):
-    pairs = column(spark, "Тип услуги Услуги парикмахера Вид услуги Красота, здоровье", text.filter_pairs)
-    assert [tuple(p) for p in pairs] == [("Тип услуги", "Услуги парикмахера"), ("Вид услуги", "Красота, здоровье")]
-    assert [tuple(p) for p in column(spark, "Тип услуги автосервиса Шиномонтаж", text.filter_pairs)] == [("Тип услуги автосервиса", "Шиномонтаж")]
+    pairs = column(spark, "Тип услуги Стрижка собак Вид услуги Уход, питомцы", text.filter_pairs)
+    assert [tuple(p) for p in pairs] == [("Тип услуги", "Стрижка собак"), ("Вид услуги", "Уход, питомцы")]
+    assert [tuple(p) for p in column(spark, "Тип услуги автосервиса Покраска", text.filter_pairs)] == [("Тип услуги автосервиса", "Покраска")]
     assert column(spark, "Онлайн-запись Да Вид услуги Ремонт", text.checkable_filters) == ["вид услуги ремонт"]
     assert column(spark, "Вид услуги Ремонт Рейтинг пользователя 4 звезды и выше 12", text.clean_filter) == "ремонт"
     late = "x" * 900 + " Тип услуги автосервиса " + "y" * 300
@@ -89,7 +89,29 @@ def test_fusion_recall_and_grid(spark):
     assert evaluation.macro_recall(hits, rel, "q").first()["recall"] == 0.25
     grid = spark.createDataFrame([(0, 1.0, 0.5), (1, 2.0, 0.5)], "combo int, w double, recall double")
     assert evaluation.best_weights(grid)["combo"] == 0
-    assert evaluation.tune_selection(lambda p: 0.5 + 0.002 * len(p["hard"]), ["x"], [], [])[0]["hard"] == []
+
+
+def test_search_over_selection(spark):
+    assert evaluation.tune_selection(lambda ps: [0.5 + 0.002 * len(p["hard"]) for p in ps], ["x"], [], [])[0]["hard"] == []
+    assert evaluation.tune_selection(lambda ps: [0.5 + 0.1 * p["quotas"].get("r", 0) for p in ps], [], ["r"], [])[0] == {"quotas": {"r": 10}, "hard": [], "diversity": {}}
+    tuned = {"quotas": {"r": 3}, "hard": [], "diversity": {}}
+    assert evaluation.accepted(tuned, lambda ps: [0.5, 0.5]) == tuned and evaluation.accepted(tuned, lambda ps: [0.5, 0.49]) == evaluation.NEUTRAL
+    r = np.random.default_rng(3)
+    rows = [(q, 10 * q + i, float(r.normal()), int(r.integers(0, 3) == 0), int(r.integers(0, 2)), int(r.integers(0, 6)), int(r.integers(0, 3))) for q in range(5) for i in range(10)]
+    df = spark.createDataFrame(rows, "q int, i int, s double, label int, h int, r int, shop int")
+    rel = df.groupBy("q").agg(F.sum("label").alias("n_rel"))
+    proposals = [evaluation.NEUTRAL, {"quotas": {"r": 2}, "hard": ["h"], "diversity": {}}, {"quotas": {}, "hard": [], "diversity": {"shop": 2}}]
+    one = lambda p: evaluation.macro_recall(ranking.select_topk(df, "q", "i", "s", 4, **p), rel, "q").first()["recall"]
+    assert evaluation.selection_recalls(df, rel, "q", "i", "s", proposals, 4) == [one(p) for p in proposals]
+    # the whole search against plain loops over one proposal at a time
+    measured = lambda ps: evaluation.selection_recalls(df, rel, "q", "i", "s", ps, 4)
+    got = evaluation.tune_selection(measured, ["h"], ["r"], ["shop"], quotas=(0, 3), slots=(0, 2), passes=1)
+    best, value = evaluation.NEUTRAL, one(evaluation.NEUTRAL)
+    for kind, column_, v in [("hard", "h", 1), ("quotas", "r", 0), ("quotas", "r", 3), ("diversity", "shop", 0), ("diversity", "shop", 2)]:
+        p = {**best, kind: [column_] if kind == "hard" else {**best[kind], column_: v}}
+        if one(p) > value + 0.002:
+            best, value = p, one(p)
+    assert got == (best, value)
 
 
 def test_hard_columns_and_diversity(spark):
@@ -118,6 +140,22 @@ def test_splits(spark):
     ids = lambda f: {r["q"] for r in splits.held_out(q, "q", f).collect()}
     assert len(ids(0.1)) == 50 and ids(0.03) < ids(0.1)
     assert splits.quotas(10, 5, 0.5, 20) == (5, 5)
+    assert splits.quotas(10, 0, 0.4, 20) == (10, 0) and splits.quotas(100, 0, 0.4, 20) == (20, 0)  # no unseen texts
+    assert splits.quotas(100, 100, 0.4, 20) == (8, 12) and splits.quotas(3, 100, 0.4, 20) == (3, 12)
+    few = spark.createDataFrame([(1, "a", 0), (2, "b", 3), (3, "c", 30), (4, "d", 1)], "q int, t string, n int")
+    chosen = splits.eval_select(few, "q", "t", "n", few.select("t"), 0.5, 1, 2)
+    assert {r["q"] for r in chosen.collect()} == {2, 4} and chosen.where("split = 'valid'").count() == 0  # a third of two, cut
+    assert splits.with_positive(spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None)], "q int, label int"), "q", "label").count() == 2
+
+
+def test_held_out_is_the_first_of_the_order(spark, monkeypatch):
+    q = spark.range(300).withColumnRenamed("id", "q")
+    order = [r["q"] for r in q.orderBy(numbers.seeded(F.col("q"), 42), "q").collect()]
+    for digits in (1, 4):
+        monkeypatch.setattr(splits, "PREFIX", digits)
+        for share in (0.003, 0.1, 0.5, 1.0):
+            assert {r["q"] for r in splits.held_out(q, "q", share).collect()} == set(order[: max(1, int(300 * share))])
+    assert splits.held_out(q.where("false"), "q", 0.5).count() == 0
 
 
 @settings(max_examples=20, deadline=None)
@@ -144,6 +182,69 @@ def test_head_gradients():
     assert all(np.array_equal(a, w[k]) for k, a in head.loads(head.dumps(w)).items())
 
 
+def test_head_training_picks_an_epoch(spark):
+    """Pairs whose vectors differ by a rotation: the head that is kept finds them among distractors."""
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(120, 6))
+    turn = np.linalg.qr(rng.normal(size=(6, 6)))[0]
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, embedding array<double>")
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([q @ turn, rng.normal(size=(80, 6))]))], "item_id long, embedding array<double>")
+    pairs = spark.createDataFrame([(i, i) for i in range(120)], "query_id long, item_id long")
+    a, b = head.sampled_pairs(pairs, queries, items, "query_id", "item_id", 50)
+    assert a.shape == b.shape == (50, 6) and np.allclose(a @ turn, b)
+    train, valid = pairs.where("query_id < 100"), pairs.where("query_id >= 100")
+    w = head.train_head(train, valid, queries, items, n_distractors=60, k=5, epochs=3, batch=50, rate=0.01)
+    others = splits.distractors(items, valid, "item_id", 60)
+    assert others.count() == 60 and others.join(valid, "item_id").count() == 0
+    before = head.recall_of_head(head.new_head(6, seed=42), valid, queries, items, others, "query_id", "item_id", 5)
+    assert head.recall_of_head(w, valid, queries, items, others, "query_id", "item_id", 5) >= before
+
+
+def test_error_function():
+    x = np.linspace(-6, 6, 2001)
+    assert np.abs(head.erf(x) - [math.erf(v) for v in x]).max() < 2e-7
+
+
+def test_encoder_hook(spark):
+    texts = spark.createDataFrame([(1, "abc"), (2, None)], "id int, t string").select("id", text.prefixed(F.col("t"), "asymmetric", True).alias("t"))
+    got = {r["id"]: r["embedding"] for r in head.encode(texts, "t", lambda xs: np.array([[len(x), 1.0] for x in xs])).collect()}
+    assert got == {1: [10.0, 1.0], 2: [7.0, 1.0]}
+
+
+def test_dense_views_by_brute_force(spark, monkeypatch):
+    """All channels in one pass, in small tiles, with ties and both kinds of masks, in both precisions."""
+    rng = np.random.default_rng(2)
+    e = np.round(rng.normal(size=(40, 3)), 1)
+    a = np.round(rng.normal(size=(7, 3)), 1)
+    zone, tags = rng.integers(0, 4, 40).tolist(), [["x"] if i % 3 else ["x", "y"] if i % 2 else None for i in range(40)]
+    zones, wanted = [[0, 1], [2], [], [3, 0], None, [9], [1]], [["x"], [], ["y"], ["x", "y"], None, ["x"], ["z"]]
+    items = spark.createDataFrame([(i, v.tolist(), z, t) for i, (v, z, t) in enumerate(zip(e, zone, tags, strict=True))], "i long, v array<double>, z int, t array<string>").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist(), z, t) for i, (v, z, t) in enumerate(zip(a, zones, wanted, strict=True))], "q long, v array<double>, zs array<int>, w array<string>")
+    views = [vectors.View("all", 5), vectors.View("near", 3, zone=True), vectors.View("both", 4, zone=True, tags=True)]
+    for fp16 in (False, True):
+        s = vectors.half(vectors.half(a) @ vectors.half(e).T) if fp16 else np.round(a @ e.T, 6)
+        want = set()
+        for view in views:
+            for q in range(7):
+                ok = [i for i in range(40) if (not view.zone or zone[i] in (zones[q] or [])) and (not view.tags or wanted[q] and set(wanted[q]) <= set(tags[i] or []))]
+                want |= {(q, i, s[q, i], view.name, r) for r, i in enumerate(sorted(ok, key=lambda i: (-s[q, i], i))[: view.k])}
+        for tile, numbers_ in ((4_000_000, 8_000_000), (20, 8_000_000), (20, 1)):
+            monkeypatch.setattr(vectors, "TILE", tile)
+            monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", numbers_)
+            got = vectors.dense_channels(items, "i", "v", asked, "q", "v", views, item_zone="z", query_zone="zs", item_tags="t", query_tags="w", fp16=fp16)
+            assert {tuple(r) for r in got.select("q", "i", "cos", "channel", "rank").collect()} == want
+    pair = asked.select("v").crossJoin(items.select("i", F.col("v").alias("w"))).select(vectors.half_cosine("v", "w")).collect()
+    assert {r[0] for r in pair} == set(s.ravel().tolist())
+
+
+def test_lookup_needs_all(spark):
+    v = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    assert {r["id"]: r["source"] for r in vectors.lookup(ids, "id", [v]).collect()} == {1: 0, 2: None}
+    with pytest.raises(Exception, match="no source has a vector of 2"):
+        vectors.lookup(ids, "id", [v], need_all=True).collect()
+
+
 def test_dense_blocks_equal_broadcast(spark, monkeypatch):
     rng = np.random.default_rng(1)
     items = spark.createDataFrame([(i, rng.normal(size=3).tolist(), ["a"] if i % 2 else []) for i in range(30)], "item_id long, embedding array<double>, held array<string>")
@@ -154,13 +255,25 @@ def test_dense_blocks_equal_broadcast(spark, monkeypatch):
     assert run() == first and len(first) == 20
 
 
-def test_rankers_learn(spark):
+def test_rankers_learn(spark, tmp_path):
     rows = spark.createDataFrame([(q, i, int(i < 2), float(i), None if i == 5 else 1.0) for q in range(6) for i in range(8)], "query_id long, item_id long, label int, x double, y double")
     for kind in ("binary", "lambdarank", "yetirank"):
         r = rankers.train_one(kind, rows, ["x", "y"], 2, depth=2)
         ranked = rankers.model_ranks(rows, {kind: r})
         assert ranked.where(f"rank_model_{kind} < 2").agg(F.avg("label")).first()[0] == 1.0
         assert r.importance()["x"] > 0.9
+    # the order of rows changes nothing, and a saved ranker describes itself
+    for kind in ("lambdarank", "yetirank"):
+        turned = rankers.train_one(kind, rows.orderBy(F.desc("item_id"), "query_id"), ["x", "y"], 2, depth=2)
+        first = rankers.train_one(kind, rows, ["x", "y"], 2, depth=2)
+        scores = lambda r: sorted((x["query_id"], x["item_id"], x["score"]) for x in r.predict(rows).collect())
+        assert scores(turned) == scores(first)
+        first.save(f"file://{tmp_path}/m", spark)
+        assert scores(rankers.Ranker.load(f"file://{tmp_path}/m", kind, spark)) == scores(first)
+    early = rankers.train_one("lambdarank", rows, ["x", "y"], 6, depth=2, valid=rows, patience=1)
+    assert 1 <= early.n_iter < 6
+    with pytest.raises(FileNotFoundError):
+        rankers.Ranker.load(f"file://{tmp_path}/none", "binary", spark)
     assert rankers.refit_rounds(100) == 110 and rankers.refit_rounds(10) == 50
 
 
@@ -172,6 +285,18 @@ def test_sources(spark, tmp_path):
     tables.write_text(spark, f"{base}/e.json", '{"models": [{"name": "a", "path": "x\\\\y/m.txt"}]}')
     assert tables.load_ensemble(spark, f"{base}/e.json")["models"][0]["file"] == "m.txt"
     df = spark.createDataFrame([(1, "a b")], "query_id long, answer string")
+    assert tables.append_pool([df.withColumn("rank_a", F.lit(9999)).withColumn("in_geo", F.lit(1)).withColumn("x", F.lit(0.5))] * 2, f"{base}/pool") == 2
+    pooled = spark.read.parquet(f"{base}/pool")
+    assert pooled.count() == 2 and dict(pooled.dtypes)["rank_a"] == "smallint" and dict(pooled.dtypes)["in_geo"] == "tinyint" and dict(pooled.dtypes)["x"] == "float"
+    v = spark.createDataFrame([(2, [3.0, 4.0]), (1, [1.0, 2.0])], "query_id long, embedding array<double>")
+    tables.write_npy(v, f"{base}/v.npy", "query_id")
+    assert np.load(tmp_path / "v.npy").tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    with pytest.raises(ValueError):
+        tables.write_npy(v, f"{base}/v.npy", "query_id", most=1)
+    tables.write_vectors(v, f"{base}/v", "query_id")
+    assert sorted(map(tuple, tables.read_vectors(spark, f"{base}/v", tables.id_column(v)).collect()))[0][1] == [1.0, 2.0]
+    v.write.parquet(f"{base}/t.parquet")
+    assert tables.read(spark, base, "t", ["embedding", "none"]).columns == ["embedding"]
     tables.write_answers(df, f"{base}/answer")
     assert spark.read.option("header", True).csv(f"{base}/answer").first()["answer"] == "a b"
     tables.write_report(df, f"{base}/r.csv")
@@ -206,6 +331,34 @@ def test_pool_contract(spark):
     assert b["dist_km_log"] is None and b["query_loc_has_items"] == 0 and b["search_category_is0"] == 1
     assert a["hist_text_mc_share"] == 0.75 and rows[2, 1]["hist_text_mc_share"] is None
     assert rows[2, 2]["bm25"] == 0.0 and a["cos2"] == 1.0
+    assert all(r["cos2_minus_max"] <= 0 and r["cos_minus_max"] <= 0 for r in rows.values())
+    h = lambda x, y: float(vectors.half(vectors.half(np.array(x)) @ vectors.half(np.array(y))))
+    assert rows[1, 2]["cos2"] == h(unit(1, 1), unit(1, 0)) and rows[1, 2]["cos2_minus_max"] == rows[1, 2]["cos2"] - 1.0
+
+
+def test_pool_missing_values(spark):
+    """NaN is missing, small probabilities stay, texts of unknown category count, and a null category is not 0."""
+    nan = float("nan")
+    items = spark.createDataFrame([(i, "red lamp", None, None, nan, nan, nan, None, None, nan, 1.0, loc, "m1") for i, loc in ((1, 1), (2, 2))], "item_id long, title string, params string, description string, price double, rating double, reviews double, phone_hidden boolean, message_forbidden boolean, lat double, lon double, location int, microcat string")
+    queries = spark.createDataFrame([(1, "red lamp", "Рейтинг пользователя 1 звезды", 1, None)], "query_id long, query string, filters string, location int, category int")
+    v = lambda ids, name: spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], f"{name} long, embedding array<double>")
+    pairs = spark.createDataFrame([(1, 1, "red lamp", None)] * 1195 + [(1, 2, "red lamp", None)] * 2, "search_loc int, item_loc int, query string, category string")
+    chosen = history.choice_shares(pairs.withColumn("query_key", text.query_key(F.col("query"))))
+    got = {r["item_id"]: r for r in pool.build_pool(items, queries, [(v((1, 2), "item_id"), v((1,), "query_id"))], history.transitions(pairs), history.token_categories(pairs, F.col("query")), chosen).collect()}
+    assert got[2]["geo_p"] == round(2 / 1202, 6) < history.ZONE_MIN and got[2]["in_geo"] == 0
+    for r in got.values():
+        assert r["hist_text_cnt"] == pytest.approx(math.log1p(1e5), abs=1e-5) and r["hist_text_mc_share"] == 0.0
+        assert r["item_rating"] is None and r["rating_ok"] == 0 and r["item_reviews_count"] == 0.0 and r["item_price"] == 0.0
+        assert r["dist_km_log"] is None and r["search_category_is0"] == 0 and r["tok_mc_is_top"] is None
+
+
+def test_held_phrases_by_join(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "вид услуги ремонт, окна | тип услуги вид услуги ремонт"), (2, "тип услуги автосервиса мойка"), (3, "")], "item_id long, compact string")
+    phrases = spark.createDataFrame([("вид услуги ремонт",), ("вид услуги ремонт, окна",), ("тип услуги автосервиса мойка",), ("тип услуги мойка",)], "phrase string")
+    found = lambda: {r["item_id"]: sorted(r["held"]) for r in pool.held_phrases(items, phrases).collect()}
+    first = found()
+    monkeypatch.setattr(pool, "BROADCAST_PHRASES", 1)
+    assert found() == first == {1: ["вид услуги ремонт", "вид услуги ремонт, окна"], 2: ["тип услуги автосервиса мойка"], 3: []}
 
 
 def test_streaming_scores(spark, tmp_path):
