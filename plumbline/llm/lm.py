@@ -11,7 +11,9 @@ absolute discounting down to add-one words, and kept as 16-bit codes of -log10 p
 
 Shards are files in the shared folder, written once per task and mapped by every executor, so no model passes through
 the driver or a broadcast; their number grows with the vocabulary. All triples are kept (MIN_TRIPLES is 1; with a larger
-one, the back-off weights take over the exact mass of the rest). A null text is an empty one: the end token alone. Without training documents every word is unknown, with probability one.
+one, the back-off weights take over the exact mass of the rest). A null text is an empty one: the end token alone. Repeated
+rows are counted and scored each. Very long texts are counted and scored whole. Without training documents every word is
+unknown, with probability one.
 """
 
 from __future__ import annotations

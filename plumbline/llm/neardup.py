@@ -329,12 +329,12 @@ def near_duplicates(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str
 def keep_one_of_each(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose component has a smaller id, one row for each id; rows without an id stay.
 
-    Only the ids that go and the ids of several rows are joined to docs: broadcast if they are few (counted), by a
-    shuffle otherwise.
+    Of several rows of one id the one of smallest hash of all columns (but maps) stays. Only the ids that go and the ids of
+    several rows are joined to docs: broadcast if they are few (counted), by a shuffle otherwise.
     """
     found = written(near_duplicates(docs, w, percent, id_col, text_col).where("doc is not null").select("doc", "component_id"), "components")
     gone, few = sized_ids(found.where(F.col("doc") != F.col("component_id")).select("doc"), BROADCAST_CLASSES)
-    key = fresh(docs.columns, "gone")
+    key, mark = fresh(docs.columns, "gone"), fresh(docs.columns, "mark")
     gone = gone.select(F.col("doc").alias(key))
     kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col(key), "left_anti")
     several = written(found.groupBy("doc").count().where("count > 1").select(F.col("doc").alias(key)), "repeated")
@@ -343,7 +343,9 @@ def keep_one_of_each(docs: DataFrame, w: int = 5, percent: int = 80, id_col: str
     several, few = sized_ids(several, BROADCAST_CLASSES)
     right = F.broadcast(several) if few else several
     alone = kept.join(right, kept[id_col] == F.col(key), "left_anti")
-    return alone.unionByName(kept.join(right, kept[id_col] == F.col(key), "left_semi").dropDuplicates([id_col]))
+    again = kept.join(right, kept[id_col] == F.col(key), "left_semi").withColumn(mark, F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t]))
+    first = again.groupBy(id_col).agg(F.min(mark).alias(mark))
+    return alone.unionByName(again.join(first, [id_col, mark], "left_semi").dropDuplicates([id_col]).select(*docs.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -659,12 +659,46 @@ def test_pipeline(spark, folder, empty):
     assert (False, 2) not in ids[2] and (False, 3) not in ids[2] and ids[2] == ids[3]
     final = corpus_pipeline.run(spark, folder).collect()
     assert {(r.doc_id is None, r.doc_id or 0) for r in final} == ids[3]
+    # by brute force: the components of what the language stage kept, and the pieces of the masked texts
+    given = dict((i, t) for i, t, *_ in DOCS)
+    components = brute_components([(i, given[i]) for n, i in sorted(ids[1]) if not n], 5, 80)
+    assert {i for n, i in ids[2] if not n} == {i for i, _, c in components if i == c}
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    want = Counter()
+    for r in docs.collect():
+        assert SECRET not in r.text and (r.text == given[r.doc_id] or r.doc_id == 8)
+        coded = [*t.encode(r.text, add_special_tokens=False).ids, 0]
+        want.update((r.doc_id, k, len(coded[k * 2048 : (k + 1) * 2048]), zlib.crc32(np.array(coded[k * 2048 : (k + 1) * 2048], "<u4").tobytes())) for k in range(-(-len(coded) // 2048)))
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in final) == want
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
+def test_very_long_text(spark, tmp_path):
+    """One text of 200,000 words among short ones goes through every operator whole."""
+    long = " ".join(f"{w}{k % 997}" if k % 5 == 0 else w for k, w in enumerate(prose(200_000, 12).split())) + "\nReleased under the MIT License\ntoken = 0123456789abcdef0123456789abcdef"
+    where = write(spark, str(tmp_path), [(1, long, "en", "s"), (2, BASE, "en", "s"), (3, "Größe und Straße " * 20, "de", "s")], extra=False)
+    row = {n: {r.doc_id: r for r in rows_of(spark, n, where)} for n in queries.QUERIES if n not in ("op5_best_fit_packing", "op10_url_filters")}
+    w = words(long)
+    assert row["op1_quality_rules"][1].n_words == len(w) and row["op2_lm_scoring"][1].n_tokens == len(w) + 1
+    assert row["op3_minhash_near_dedup"][1].n_shingles == len(brute_set(long, 4)) and row["op4_language_id"][1].lang_pred in ("en", "de")
+    assert (row["op6_secret_scans"][1].n_assign, row["op6_secret_scans"][1].n_hex) == (1, 1)
+    assert (row["op7_license_scans"][1].n_base, row["op7_license_scans"][1].labels) == (1, "mit")
+    ids = LIBRARY.encode_ordinary(long)
+    assert (row["op8_byte_bpe"][1].n_tokens, row["op8_byte_bpe"][1].ids_sha256, row["op8_byte_bpe"][1].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(long.encode()).hexdigest())
+    assert row["op9_media_columns"][1].n_bytes == len(long.encode())
+    pieces = [r for r in rows_of(spark, "op5_best_fit_packing", where) if r.doc_id == 1]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r.length for r in pieces) == len(t.encode(long, add_special_tokens=False).ids) + 1
+
+
 def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE), (3, "other"), (None, BASE)], "doc_id long, text string")
     assert sorted(neardup.keep_one_of_each(docs).collect(), key=str) == sorted([(1, BASE), (3, "other"), (None, BASE)], key=str)
+    # rows of one id with different texts: the same one stays, in whatever order they come
+    rows = [(1, "a b c"), (1, "d e f"), (1, "g h i"), (2, "x")]
+    one = lambda r: sorted(map(tuple, neardup.keep_one_of_each(spark.createDataFrame(r, "doc_id long, text string").repartition(3)).collect()))
+    assert one(rows) == one(rows[::-1]) and len(one(rows)) == 2
 
 
 def fewest(sizes, limit):
