@@ -232,8 +232,12 @@ def _sample_windows(batches):
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> tuple[BiGru | None, list[str]]:
     """Train on usable rows with a language. The sample: of each language the documents, then the windows of smallest hash."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    by_hash = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("lang", "id").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
+    # twice the share that is wanted passes by its hash, so that a language's window stays small whatever its documents
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    few = labelled.select("lang", "id").join(sizes, "lang").where(place * F.col("rows") < 2 * sample_docs)
+    by_hash = W.partitionBy("lang").orderBy(place, "id")
+    chosen = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     texts = labelled.join(F.broadcast(chosen.distinct()), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
     pieces = texts.mapInArrow(_sample_windows, "lang string, piece binary").distinct()
     by_hash = W.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
