@@ -18,6 +18,8 @@ from plumbline.sources.tables import materialised
 
 #: Rows of a vocabulary, of item lengths or of query terms that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes that a part of a scan is expected to have.
+SPLIT_BYTES = 128 << 20
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -25,8 +27,18 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, if by its estimated bytes it is read in fewer parts than there are: splitting words costs more
+    than sending texts. Larger tables are left where they are read.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(n) if size < n * SPLIT_BYTES else df
+
+
 def term_counts(texts: DataFrame, id_col: str, text: Column, name: str = "tf") -> DataFrame:
     """(id, term, tf) of normalised texts."""
+    texts = texts if texts.isStreaming else dealt(texts)
     return texts.select(id_col, F.explode(tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias(name))
 
 
