@@ -5,8 +5,8 @@ bounded number of pieces by a hash of their row, so that no key can gather in on
 itself: best-fit decreasing gives the incumbent, a lower bound tells whether it is optimal, and if not branch and
 bound completes one bin at a time around the largest piece left, with undominated fillings only, the fullest first,
 pruned by the waste that the incumbent allows. Fillings are enumerated lazily and none is left out; the search opens
-nodes for two whole solutions and `nodes` more (None: until the result is proved). A group costs less than one sequence
-over its own optimum for thousands of pieces.
+nodes for two whole solutions and `nodes` more (None: until the result is proved), and fillings that are looked at
+without opening a node are paid for as well, so a group's time is bounded too. Every piece is packed in any case.
 
 A null or empty text is one piece, the end token alone. Repeated rows are packed as often as they occur.
 """
@@ -29,6 +29,22 @@ from .common import mix, read_table, split_words, tuned, whole, written
 LIMIT, END = 2048, 0
 #: Pieces of one group (on average), and nodes that branch and bound may open beyond two whole solutions.
 GROUP, NODES = 16_384, 1_000
+#: Small steps (branches of a walk) that take about as long as opening a node does, and those of comparing two fillings.
+STEPS, COMPARE = 300, 10
+
+
+class Effort:
+    """What a search may still spend, in small steps (None: without end)."""
+
+    def __init__(self, left: int | None = None):
+        self.left = left
+
+    def spend(self, steps: int = 1) -> bool:
+        """Pay for steps; False once all is spent."""
+        if self.left is None:
+            return True
+        self.left -= steps
+        return self.left > 0
 
 
 def counted(sizes: list[int], limit: int) -> np.ndarray:
@@ -95,10 +111,11 @@ def _sums(sizes: list[int], counts: np.ndarray, total: int) -> list[int]:
     return reach[::-1]
 
 
-def exact_sums(counts: np.ndarray, low: int, total: int):
+def exact_sums(counts: np.ndarray, low: int, total: int, effort: Effort):
     """Every multiset of pieces larger than low whose sum is total, once each; few large pieces come first.
 
-    Lazy: one and two pieces are looked up, more are searched for along the sums that can be reached.
+    Lazy: one and two pieces are looked up, more are searched for along the sums that can be reached. It ends early when
+    the effort is spent.
     """
     if not total:
         yield ()
@@ -122,7 +139,7 @@ def exact_sums(counts: np.ndarray, low: int, total: int):
             if len(chosen) > 2:
                 yield chosen
             return
-        while reach[i] >> left & 1:
+        while reach[i] >> left & 1 and effort.spend():
             s = sizes[i]
             i += 1
             for n in range(min(int(counts[s]), left // s), 0, -1):
@@ -132,9 +149,9 @@ def exact_sums(counts: np.ndarray, low: int, total: int):
     yield from walk(0, total, ())
 
 
-def fillings(counts: np.ndarray, room: int, most: int | None = None):
+def fillings(counts: np.ndarray, room: int, most: int | None = None, effort: Effort | None = None):
     """Maximal multisets of pieces within room that leave `most` of it at most (None: all of them), the fullest first and
-    each made when it is asked for.
+    each made when it is asked for, until the effort (None: without end) is spent.
 
     A filling that leaves some room holds every piece that would still fit there: those are set, and the others make up
     the rest of its sum exactly.
@@ -142,6 +159,7 @@ def fillings(counts: np.ndarray, room: int, most: int | None = None):
     if counts[room]:
         yield (room,)  # an exact fit by one piece dominates every other filling
         return
+    effort = effort or Effort()
     forced: list[int] = []
     rest, one = room, False
     sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
@@ -150,13 +168,15 @@ def fillings(counts: np.ndarray, room: int, most: int | None = None):
         if spare and counts[spare]:
             forced += [spare] * int(counts[spare])
             rest -= spare * int(counts[spare])
-        if rest < spare:
+        if rest < spare or not effort.spend():
             return
         if spare and reach is None:
             reach = _sums(sizes, counts, room)[0]
         if spare and not reach >> (room - spare) & 1:
             continue
-        for f in exact_sums(counts, spare, rest - spare):
+        if spare and not effort.spend(STEPS):
+            return
+        for f in exact_sums(counts, spare, rest - spare, effort):
             if len(f) == 1 and not forced:
                 if one:
                     continue  # the larger piece that came first dominates it
@@ -170,13 +190,13 @@ def fillings(counts: np.ndarray, room: int, most: int | None = None):
 def pack(sizes: list[int], limit: int = LIMIT, nodes: int | None = NODES) -> list[list[int]]:
     """Bins of sizes: best-fit decreasing, improved by bin completion.
 
-    nodes: how many nodes the search may open beyond two whole solutions; None searches until the bins are proved to be
-    the fewest.
+    nodes: how many nodes the search may open beyond two whole solutions, or small steps worth as much; None searches
+    until the bins are proved to be the fewest.
     """
     incumbent = best_fit(sizes, limit)
     counts = counted(sizes, limit)
     least, total = bound(counts, limit), sum(sizes)
-    left = None if nodes is None else nodes + 2 * len(incumbent)
+    effort = Effort(None if nodes is None else STEPS * (nodes + 2 * len(incumbent)))
     stack: list[list[int]] = []
 
     def allowed() -> int:
@@ -193,10 +213,12 @@ def pack(sizes: list[int], limit: int = LIMIT, nodes: int | None = NODES) -> lis
             largest -= 1
         counts[largest] -= 1
         tried: list[tuple[int, ...]] = []
-        for f in fillings(counts, limit - largest, allowed() - waste):
+        for f in fillings(counts, limit - largest, allowed() - waste, effort):
             lost = limit - largest - sum(f)
             if waste + lost > allowed():
                 break  # the fullest comes first
+            if not effort.spend(COMPARE * len(tried)):
+                break
             if any(dominated(f, t) for t in tried):
                 continue
             tried.append(f)
@@ -211,12 +233,11 @@ def pack(sizes: list[int], limit: int = LIMIT, nodes: int | None = NODES) -> lis
 
     if len(incumbent) > least:
         open_nodes = [search(limit, len(sizes), 0)]
-        while open_nodes and left != 0 and len(incumbent) > least:
+        while open_nodes and effort.spend(STEPS) and len(incumbent) > least:
             step = next(open_nodes[-1], None)
             if step is None:
                 open_nodes.pop()
             else:
-                left = None if left is None else left - 1
                 open_nodes.append(search(*step))
     return incumbent
 

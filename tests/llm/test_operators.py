@@ -748,6 +748,23 @@ def test_bin_completion_of_a_whole_group():
     assert packing.bound(packing.counted(sizes, 2048), 2048) <= len(bins) < len(packing.best_fit(sizes, 2048)) - 10
 
 
+@pytest.mark.parametrize("n,seed", [(500, 0), (1000, 0), (2000, 5)])
+def test_search_pays_for_dominated_fillings(monkeypatch, n, seed):
+    """One bin over the bound, and the last nodes have millions of fillings that open no node: the search ends all the same."""
+    r, compared, plain = random.Random(seed), [], packing.dominated
+
+    def dominated(a, b):
+        compared.append(1)
+        assert len(compared) < 100_000
+        return plain(a, b)
+
+    monkeypatch.setattr(packing, "dominated", dominated)
+    sizes = [max(6, int(r.gauss(320, 90))) for _ in range(n)]
+    bins = packing.pack(sizes)
+    assert compared and sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 2048 for b in bins)
+    assert len(bins) <= packing.bound(packing.counted(sizes, 2048), 2048) + 1
+
+
 def test_another_tokenizer_gets_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     xs = ["two  words\n and ünïcode", "", "the end"]
