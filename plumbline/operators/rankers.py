@@ -1,8 +1,8 @@
 """Learning to rank on the pool: pointwise gradient boosting, and pairwise boosting with NDCG-weighted lambdas.
 
 Trees are pyspark.ml's. Missing features get a value below all others and a flag, since these trees have no branch for
-them. Lambdas are computed per query in Arrow groups; a query has at most a few hundred candidates (the channels' k), so
-a group is bounded. Scores are checkpointed between rounds.
+them. Lambdas are computed per query in Arrow groups, from the pairs that have one row among the first `top`, so time and
+memory grow with a query's rows and not with their square. Scores are checkpointed between rounds.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .splits import with_positive
 
 #: Stands for a missing feature; features are above it.
 MISSING = -1e6
+#: Pairs of rows of a query that are weighted at a time.
+PAIRS = 1_000_000
 
 
 def feature_columns(df: DataFrame, other: tuple[str, ...] = ("query_id", "item_id", "microcat", "label", "split", "score")) -> list[str]:
@@ -104,6 +106,13 @@ def train_binary(train: DataFrame, features: list[str], rounds: int = 20, depth:
     return Ranker("binary", features, pipeline=Pipeline(stages=[gbt]).fit(rows))
 
 
+def tiles(i: np.ndarray, j: np.ndarray):
+    """Blocks of i and of j whose product is all pairs, PAIRS at most in a block."""
+    step = max(1, PAIRS // max(1, min(len(i), len(j))))
+    for at in range(0, max(len(i), len(j)) if len(i) and len(j) else 0, step):
+        yield (i, j[at : at + step]) if len(j) >= len(i) else (i[at : at + step], j)
+
+
 def lambdas(score: np.ndarray, label: np.ndarray, top: int = 50, draws: int = 0, seed: int | tuple[int, ...] = 0) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and weight of each row of a query: pairs weighted by what swapping them changes in NDCG@top.
 
@@ -119,17 +128,22 @@ def lambdas(score: np.ndarray, label: np.ndarray, top: int = 50, draws: int = 0,
     rng = np.random.default_rng(seed)
     for _ in range(max(1, draws)):
         noisy = score + (rng.gumbel(size=n) if draws else 0)
-        place = np.empty(n, np.int64)
-        place[np.lexsort((np.arange(n), -noisy))] = np.arange(n)
-        gain = np.where(place < top, 1 / np.log2(place + 2), 0.0)
-        i, j = np.flatnonzero(positive), np.flatnonzero(~positive)
-        change = np.abs(gain[i][:, None] - gain[j][None, :]) / ideal
-        rho = 1 / (1 + np.exp(np.clip(score[i][:, None] - score[j][None, :], -50, 50)))
-        force, curve = change * rho, change * rho * (1 - rho)
-        g[i] += force.sum(1)
-        g[j] -= force.sum(0)
-        w[i] += curve.sum(1)
-        w[j] += curve.sum(0)
+        order = np.lexsort((np.arange(n), -noisy))
+        gain = np.zeros(n)
+        gain[order[:top]] = 1 / np.log2(np.arange(min(n, top)) + 2)
+        # a swap changes nothing unless one of the two is among the first `top`: pairs are top rows with all others
+        first = np.zeros(n, bool)
+        first[order[:top]] = True
+        for i, j in ((positive & first, ~positive), (positive & ~first, ~positive & first)):
+            i, j = np.flatnonzero(i), np.flatnonzero(j)
+            for a, b in tiles(i, j):
+                change = np.abs(gain[a][:, None] - gain[b][None, :]) / ideal
+                rho = 1 / (1 + np.exp(np.clip(score[a][:, None] - score[b][None, :], -50, 50)))
+                force, curve = change * rho, change * rho * (1 - rho)
+                g[a] += force.sum(1)
+                g[b] -= force.sum(0)
+                w[a] += curve.sum(1)
+                w[b] += curve.sum(0)
     return g / max(1, draws), w / max(1, draws)
 
 

@@ -1,6 +1,7 @@
 """Hand-written rows that pin null rules, ties and edge cases."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -255,6 +256,29 @@ def test_dense_blocks_equal_broadcast(spark, monkeypatch):
     assert run() == first and len(first) == 20
 
 
+def test_lambdas_of_a_long_query():
+    """Memory grows with a query's rows, not with their square, and no pair that counts is left out."""
+    rng = np.random.default_rng(0)
+    for n, top in ((30, 5), (200, 50), (40, 60)):
+        score, label = np.round(rng.normal(size=n), 1), (rng.random(n) < 0.4).astype(int)
+        order = np.lexsort((np.arange(n), -score))
+        gain = {row: 1 / math.log2(place + 2) if place < top else 0.0 for place, row in enumerate(order)}
+        ideal = sum(1 / math.log2(k + 2) for k in range(min(label.sum(), top)))
+        g, w = np.zeros(n), np.zeros(n)
+        for i in np.flatnonzero(label):
+            for j in np.flatnonzero(label == 0):
+                change, rho = abs(gain[i] - gain[j]) / ideal, 1 / (1 + math.exp(score[i] - score[j]))
+                for row, sign in ((i, 1), (j, -1)):
+                    g[row] += sign * change * rho
+                    w[row] += change * rho * (1 - rho)
+        assert all(np.allclose(a, b, rtol=0, atol=1e-9) for a, b in zip(rankers.lambdas(score, label, top), (g, w), strict=True))
+    tracemalloc.start()
+    rankers.lambdas(rng.normal(size=20_000), (rng.random(20_000) < 0.5).astype(int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_rankers_learn(spark, tmp_path):
     rows = spark.createDataFrame([(q, i, int(i < 2), float(i), None if i == 5 else 1.0) for q in range(6) for i in range(8)], "query_id long, item_id long, label int, x double, y double")
     for kind in ("binary", "lambdarank", "yetirank"):
