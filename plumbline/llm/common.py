@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,6 +178,28 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system. Python workers live on from stage to stage, and what
+    one operator has freed would count beside what the next one holds.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(work: Callable) -> Callable:
+    """work, a generator over a task's batches, that releases free memory when the task is done."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def annotate(docs: DataFrame, fn, schema, carry: list[str] | None = None, uses: list[str] | None = None) -> tuple[DataFrame, str]:
     """Add to each row a struct that fn computes from Arrow batches, in one pass and without a shuffle.
 
@@ -195,7 +219,7 @@ def annotate(docs: DataFrame, fn, schema, carry: list[str] | None = None, uses:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.StructArray.from_arrays(fn(b), names)], names=[*b.schema.names[:n], name])
 
-    return docs.select(*chosen).mapInArrow(work, out), name
+    return docs.select(*chosen).mapInArrow(released(work), out), name
 
 
 def sized_ids(ids: DataFrame, bound: int) -> tuple[DataFrame, bool]:

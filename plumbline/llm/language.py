@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, read_table, tuned, whole
+from .common import annotate, read_table, released, tuned, whole
 
 #: Labelled documents and windows of a language that train the network: what the driver collects at most.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 300, 1_500
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     by_hash = W.partitionBy("lang").orderBy(place, "id")
     chosen = few.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_docs).select(F.col("id").alias("chosen"), F.col("lang").alias("chosen_lang"))
     texts = labelled.join(F.broadcast(chosen.distinct()), (F.col("id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
-    pieces = texts.mapInArrow(_sample_windows, "lang string, piece binary").distinct()
+    pieces = texts.mapInArrow(released(_sample_windows), "lang string, piece binary").distinct()
     by_hash = W.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
     rows = pieces.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= sample_windows).select("lang", "piece").orderBy("lang", "k").toArrow()
     if not rows.num_rows:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPREAD, U64, fresh, hash_strings, hot_keys, mix, ngram_hashes, read_table, sized_ids, split_words, spread_join, tuned, whole, written
+from .common import SPREAD, U64, fresh, hash_strings, hot_keys, mix, ngram_hashes, read_table, released, sized_ids, split_words, spread_join, tuned, whole, written
 
 BANDS, ROWS = 40, 5
 #: A coordinate value holds the round above and the hash below.
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, w: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, U64).astype(np.int64)), pa.array(np.array(h2, U64).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))), pa.array(short, pa.binary())], names=["doc", *(f.name for f in SKETCH)])
 
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, T.StructType([source.schema["doc"], *SKETCH]))
+    return source.mapInArrow(released(work), T.StructType([source.schema["doc"], *SKETCH]))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, w: int, id_col: str, text_col: str) -> DataFrame:
@@ -141,7 +141,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, w: int, id_col: str, text_col: str)
     few = ids.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     source = source.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    return source.mapInArrow(work, T.StructType([source.schema["doc"], T.StructField("items", T.ArrayType(T.LongType()))]))
+    return source.mapInArrow(released(work), T.StructType([source.schema["doc"], T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
 def could_link(n: Column, m: Column, percent: int) -> Column:

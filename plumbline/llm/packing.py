@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, read_table, split_words, tuned, whole, written
+from .common import mix, read_table, release, released, split_words, tuned, whole, written
 
 LIMIT, END = 2048, 0
 #: Pieces of one group (on average), and nodes that branch and bound may open beyond two whole solutions.
@@ -387,7 +387,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, id_co
 
     tuned(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(work, T.StructType([source.schema["doc_id"], *PIECES]))
+    return source.mapInArrow(released(work), T.StructType([source.schema["doc_id"], *PIECES]))
 
 
 def pack_group(table: pa.Table, limit: int, nodes: int | None) -> pa.Table:
@@ -403,6 +403,8 @@ def pack_group(table: pa.Table, limit: int, nodes: int | None) -> pa.Table:
     for p in places.values():
         p.reverse()
     dealt = [places[s].pop() for s in length]
+    del places
+    release()
     group = table["group"][0].as_py()
     out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
     return out.append_column("sequence_id", pa.array([(group << 32) + k for k, _ in dealt], pa.int64())).append_column("offset", pa.array([at for _, at in dealt], pa.int64()))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, annotate, hash_strings, mix, ngram_hashes, read_table, sized_ids, split_words, sums_by_text, tuned, whole
+from .common import U64, annotate, hash_strings, mix, ngram_hashes, read_table, released, sized_ids, split_words, sums_by_text, tuned, whole
 
 #: log2 of the number of buckets: what the counts that reach the driver and the broadcast model are bounded by.
 BITS = 16
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     ids, few = sized_ids(trusted.select(F.col(trusted.columns[0]).alias("trusted_id")), BROADCAST_IDS)
     right = F.broadcast(ids) if few else ids
     marked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(right, F.col("i") == F.col("trusted_id"), "left")
-    counted = marked.select("t", F.col("trusted_id").isNotNull().alias("k")).mapInArrow(lambda it: _counts(it, bits), "bucket int, raw long, target long")
+    counted = marked.select("t", F.col("trusted_id").isNotNull().alias("k")).mapInArrow(released(lambda it: _counts(it, bits)), "bucket int, raw long, target long")
     rows = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     where = np.asarray(rows["bucket"])

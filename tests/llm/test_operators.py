@@ -765,6 +765,20 @@ def test_search_pays_for_dominated_fillings(monkeypatch, n, seed):
     assert len(bins) <= packing.bound(packing.counted(sizes, 2048), 2048) + 1
 
 
+def test_tasks_give_memory_back():
+    """What a task has freed, below pieces that stay, leaves the process when the task ends."""
+    resident, stays = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096, []
+
+    def work(batches):
+        for _ in batches:
+            held = [b"x" * (60_000 + k % 7) for k in range(4000)]
+            stays.extend(held[::100])
+            yield resident()
+
+    held = list(common.released(work)([None]))[0]
+    assert held - resident() > 150e6
+
+
 def test_another_tokenizer_gets_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     xs = ["two  words\n and ünïcode", "", "the end"]
