@@ -4,6 +4,7 @@ import math
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers, text
 from plumbline.functions.stem import stem_text, stemmed
-from plumbline.operators import bm25, evaluation, head, history, pool, rankers, ranking, splits, vectors
+from plumbline.operators import blocks, bm25, evaluation, head, history, pool, rankers, ranking, splits, vectors
 from plumbline.sources import tables
 from plumbline.streaming.scoring import score_arrivals
 
@@ -360,6 +361,50 @@ def test_pool_contract(spark):
     assert rows[1, 2]["cos2"] == h(unit(1, 1), unit(1, 0)) and rows[1, 2]["cos2_minus_max"] == rows[1, 2]["cos2"] - 1.0
 
 
+def test_blocks_keep_the_best():
+    """Scores in slices, with many ties, keep what sorting all of them keeps; common and rare terms sum alike."""
+    rng = np.random.default_rng(5)
+    for fp16 in (False, True):
+        scores = rng.integers(0, 40, (3000, 7)) / 16 + rng.random((3000, 7)) * 1e-9
+        ok = rng.random((3000, 7)) < [0, 0.001, 0.1, 0.5, 0.9, 1, 1]
+        best = blocks.Best(7, 20, fp16)
+        for i in range(0, 3000, 700):
+            best.add(i, scores[i : i + 700], ok[i : i + 700])
+        query, item, value, rank = best.settle()
+        rounded = vectors.half(scores) if fp16 else np.round(scores, 6)
+        want = [(q, i, rounded[i, q], r) for q in range(7) for r, i in enumerate(np.lexsort((np.arange(3000), -np.where(ok[:, q], rounded[:, q], -1)))[:20]) if ok[i, q]]
+        assert list(zip(query.tolist(), item.tolist(), value.tolist(), rank.tolist(), strict=True)) == want
+    terms = [[1, 2], [2, 9], [], [2, 3, 5], None]
+    asked = blocks.Asked(pa.array(terms, pa.list_(pa.int64())), pa.array([[1.0, 2], [1, 1], [], [3, 1, 1], None], pa.list_(pa.float64())))
+    items = [[2], [1, 2, 5], None, [7], *[[2]] * 2000]
+    here = asked.here(pa.array(items, pa.list_(pa.int64())), pa.array([None if x is None else [0.5] * len(x) for x in items], pa.list_(pa.float64())))
+    got = asked.scores(len(items), *here)
+    assert got[:4].tolist() == [[1, 0.5, 0, 1.5, 0], [1.5, 0.5, 0, 2, 0], [0] * 5, [0] * 5] and (got[4:] == got[0]).all()
+    shared, total = asked.pairs(*here, len(items), np.array([0, 1, 1, 2, 3]), np.array([3, 3, 0, 0, 4]))
+    assert shared.tolist() == [1, 2, 2, 0, 0] and total.tolist() == [1.5, 2, 1.5, 0, 0]
+
+
+def test_pool_writes_no_pairs(spark, monkeypatch):
+    """Every item shares a term with every query, and no step has a row for each of these pairs."""
+    n, m, rows = 300, 40, {}
+    for module in (pool, bm25, blocks):
+        def counted(df, name, write=module.materialised):
+            out = write(df, name)
+            rows[name] = max(rows.get(name, 0), out.count())
+            return out
+
+        monkeypatch.setattr(module, "materialised", counted)
+    items = spark.range(n).selectExpr("id AS item_id", "concat('red ', id % 7) AS title", "CAST(NULL AS STRING) AS params", "'lamp' AS description", "1.0D AS price", "4.0D AS rating", "3 AS reviews", "true AS phone_hidden", "true AS message_forbidden", "1.0D AS lat", "1.0D AS lon", "CAST(id % 3 AS INT) AS location", "'m' AS microcat")
+    queries = spark.range(m).selectExpr("id AS query_id", "concat('red ', id % 7) AS query", "CAST(NULL AS STRING) AS filters", "CAST(id % 3 AS INT) AS location", "1 AS category")
+    pairs = spark.createDataFrame([(1, 1, "red", "m")] * 2, "search_loc int, item_loc bigint, query string, category string")  # places of another width
+    chosen = history.choice_shares(pairs.withColumn("query_key", text.query_key(F.col("query"))))
+    got = pool.build_pool(items, queries, [], history.transitions(pairs), history.token_categories(pairs, F.col("query")), chosen, {"bm25_global": 5, "bm25_geo": 5}).collect()
+    assert rows and max(rows.values()) < n * m / 5
+    assert {r["n_bm25_hits_log"] for r in got} == {round(math.log1p(n), 6)} and {r["geo_supply_bm25"] for r in got} == {round(math.log1p(n / 3), 6)}
+    first = sorted((r["rank_bm25_geo"], r["item_id"]) for r in got if r["query_id"] == 8 and r["rank_bm25_geo"] < 5)
+    assert first == list(enumerate([i for i in range(n) if i % 3 == 2 and i % 7 == 1][:5]))
+
+
 def test_pool_missing_values(spark):
     """NaN is missing, small probabilities stay, texts of unknown category count, and a null category is not 0."""
     nan = float("nan")
