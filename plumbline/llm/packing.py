@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +265,8 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pretokens of one string that the tokenizer is given.
 CHUNK = 2000
+#: Pretokens, and characters of them, that a worker knows before it starts anew.
+KNOWN, KNOWN_CHARACTERS = 400_000, 8_000_000
 
 
 def cuts_into_words(path: str) -> bool:
@@ -280,7 +283,8 @@ def cuts_into_words(path: str) -> bool:
 
 
 class WordCoder:
-    """Ids of words. Words are normalised and cut here; distinct pretokens are encoded in long strings.
+    """Ids of words. Words are normalised and cut here; distinct pretokens are encoded in long strings, and known from
+    then on to the batches that follow, up to a number of pretokens and of their characters.
 
     Only the last id of a pretoken ends a word in this vocabulary, so the ids of a string of pretokens fall apart by
     themselves. A string whose ids do not fall into as many parts is encoded pretoken by pretoken.
@@ -294,6 +298,12 @@ class WordCoder:
         vocabulary = self.coder.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew with the line's end, which is no pretoken and has no ids."""
+        self.place, self.characters = {"\n": 0}, 0
+        self.flat, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _flat(self, pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each pretoken has."""
@@ -315,19 +325,17 @@ class WordCoder:
         if not joined.isascii():
             joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")
         found = self.cut.findall(joined.lower())
-        place: dict[str, int] = {}
+        if len(self.place) > KNOWN or self.characters > KNOWN_CHARACTERS or len(self.place) != len(self.size):  # the last: a batch broke off
+            self.forget()
+        place, before = self.place, len(self.place)
         at = np.fromiter((place.setdefault(p, len(place)) for p in found), np.int64, len(found))
-        line = place.pop("\n", None)
-        order = np.zeros(len(place) + 1, np.int64)
-        order[list(place.values())] = np.arange(len(place))
-        flat, size = self._flat(list(place))
-        if line is None:
-            at, word = order[at], np.zeros(len(at), np.int64)
-        else:
-            new = at == line
-            word = np.cumsum(new)[~new]
-            at = order[at[~new]]
-        ids, stops = gather(flat, size, at)
+        new = list(islice(place, before, None))
+        self.characters += sum(map(len, new))
+        flat, size = self._flat(new)
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        line = at == 0
+        word, at = np.cumsum(line)[~line], at[~line]
+        ids, stops = gather(self.flat, self.size, at)
         return ids, np.bincount(word, weights=np.diff(stops), minlength=len(words)).astype(np.int64)
 
 

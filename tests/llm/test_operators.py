@@ -787,3 +787,20 @@ def test_another_tokenizer_gets_whole_texts():
     t.encode_special_tokens = True
     assert not packing.cuts_into_words(path) and packing.cuts_into_words(packing.vocabulary())
     assert [ids[border[i] : border[i + 1]].tolist() for i in range(len(xs))] == [e.ids for e in t.encode_batch(xs, add_special_tokens=False)]
+
+
+def test_pretokens_are_known_across_batches(monkeypatch):
+    """Only new pretokens reach the tokenizer; ids stay those of whole texts, also where the worker starts anew."""
+    path = packing.vocabulary()
+    whole = packing.tokenizer(path)
+    batches = [["red lamp, it's 12 lamps", "", "ünïcode Ünïcode red"], ["lamp red\nred zebra-lamp", "it's"], ["zebra", "quagga red"], [""]]
+    for known in (400_000, 3):
+        monkeypatch.setattr(packing, "KNOWN", known)
+        monkeypatch.setattr(packing, "_CODERS", {path: packing.WordCoder(path)})
+        coder, sent = packing._CODERS[path], []
+        flat = coder._flat
+        monkeypatch.setattr(coder, "_flat", lambda new, flat=flat, sent=sent: sent.append(new) or flat(new))
+        for texts in batches:
+            ids, border = packing.encode_words(path, pa.array(texts))
+            assert [ids[border[i] : border[i + 1]].tolist() for i in range(len(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sent[:3] == [["red", "lamp", ",", "it", "'s", "1", "2", "lamps", "ünïcode"], ["zebra", "-"], ["quagga"]] if known > 3 else len(sent) == 3 and "red" in sent[2]
