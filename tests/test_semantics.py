@@ -438,3 +438,19 @@ def test_streaming_scores(spark, tmp_path):
     run = score_arrivals(stream, bm25.index(docs, "item_id", F.col("t")), "item_id", "query_id", F.col("q"), 2, lambda df, n: got.extend(df.collect()), f"{tmp_path}/state")
     run.awaitTermination(120)
     assert {(r["query_id"], r["rank"]) for r in got} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
+def test_choices_are_joined_once(spark, monkeypatch):
+    """The pool's history is counted from one written join, in which no table is sent whole by its file's size."""
+    from plumbline.plans import pool_queries
+
+    plans, write = {}, tables.materialised
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(pool_queries, "materialised", seen, raising=False)
+    given = pool_queries.inputs(spark, "/root/testdata/sf0.001")
+    assert plans["choices"].count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in plans["choices"]
+    assert all("lineitem" not in "".join(given[k].inputFiles()) for k in ("shares", "by_token", "chosen"))
