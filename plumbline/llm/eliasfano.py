@@ -35,17 +35,21 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     return {"upper": upper, "ones": ones, "low": low, "shape": np.array([n, width], np.int64)}
 
 
+#: Place of a byte's set bit by rank << 8 | byte.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[rank] for rank in range(8) for byte in range(256)], U)
+_EACH_BYTE, _TOP_BITS = U(0x0101010101010101), U(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the set bit with this rank (from 0) in each word."""
-    place = np.zeros(len(word), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        lower = word & U((1 << step) - 1)
-        count = np.bitwise_count(lower).astype(np.int64)
-        go = rank >= count
-        rank = rank - np.where(go, count, 0)
-        word = np.where(go, word >> U(step), lower)
-        place += np.where(go, step, 0)
-    return place
+    rank = rank.astype(U)
+    # ones of each byte and of all bytes below it, in that byte
+    ones = word - ((word >> U(1)) & U(0x5555555555555555))
+    ones = (ones & U(0x3333333333333333)) + ((ones >> U(2)) & U(0x3333333333333333))
+    ones = ((ones + (ones >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _EACH_BYTE
+    shift = np.bitwise_count((((rank * _EACH_BYTE) | _TOP_BITS) - ones) & _TOP_BITS).astype(U) << U(3)
+    rank -= ((ones << U(8)) >> shift) & U(255)
+    return (shift + _IN_BYTE[(rank << U(8)) | ((word >> shift) & U(255))]).astype(np.int64)
 
 
 class EliasFano:
@@ -59,6 +63,8 @@ class EliasFano:
 
     def _word_of_zero(self, k: np.ndarray) -> np.ndarray:
         """The word of the upper bits that holds the k-th zero: zeros before a word are its bits less its ones."""
+        if len(k) * 8 > len(self.upper):  # nearly all words are met: number the zeros before each
+            return np.searchsorted(np.arange(0, len(self.upper) * 64, 64) - self.ones[:-1], k, side="right") - 1
         word, last = (np.searchsorted(self.zeros, k, side="right") - 1) * STRIDE, len(self.upper) - 1
         step = STRIDE >> 1
         while step:
@@ -67,22 +73,39 @@ class EliasFano:
             step >>= 1
         return word
 
-    def _bucket(self, high: np.ndarray) -> np.ndarray:
-        """Index of the first value whose high part is at least high: the ones before zero number high - 1."""
-        k = high - 1
-        lo = self._word_of_zero(np.maximum(k, 0))
-        at = lo * 64 + _select_in_word(~self.upper[lo], k - (lo * 64 - self.ones[lo]))
-        return np.where(high > 0, at - k, 0)
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero of the upper bits."""
+        word = self._word_of_zero(k)
+        return word * 64 + _select_in_word(~self.upper[word], k - (word * 64 - self.ones[word]))
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the first values whose high part is at least high, and more than that: the ones before zeros
+        number high - 1 and high. Between these two there are only ones.
+        """
+        start = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
+        shift = start & 63
+        rest = self.upper[start >> 6] >> shift.astype(U)
+        run = np.bitwise_count(rest & ~(rest + U(1))).astype(np.int64)
+        first = start - high
+        end = first + run
+        on = np.flatnonzero(shift + run == 64)  # the ones go on in the next word
+        if len(on):
+            end[on] = self._zero(high[on]) - high[on]
+        return first, end
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), U)
         at = i * self.width
-        word, shift = at >> 6, (at & 63).astype(U)
+        word, shift = at >> 6, at.view(U) & U(63)
         value = self.low[word] >> shift
-        over = shift > 0
-        value |= np.where(over, self.low[word + 1] << np.where(over, U(64) - shift, U(0)), U(0))
-        return value & U((1 << self.width) - 1)
+        word += 1
+        over = self.low[word] << U(1)  # by 64 bits less the shift in all, of which none may be 64
+        shift ^= U(63)
+        over <<= shift
+        value |= over
+        value &= U((1 << self.width) - 1)
+        return value
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """Values at places: the i-th one of the upper bits, and the low bits."""
@@ -92,11 +115,21 @@ class EliasFano:
         return ((place - i).astype(U) << U(self.width)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first value >= x, and whether it equals x."""
+        """Place of the first value >= x, and whether it equals x. Each value is searched once, in order."""
         x = x.astype(U)
+        order = np.argsort(x)
+        x = x[order]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        place, equal = self._search(x[new])
+        which = np.empty(len(x), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return place[which], equal[which]
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         high = (x >> U(self.width)).astype(np.int64)
         want = x & U((1 << self.width) - 1)
-        lo, end = self._bucket(high), self._bucket(high + 1)
+        lo, end = self._bucket(high)
         hi = end.copy()
         rows = np.flatnonzero(lo < hi)
         while len(rows):  # binary search within buckets, over the rows that are still open

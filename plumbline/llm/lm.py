@@ -93,10 +93,13 @@ class Trie:
 
     def _each(self, shard: np.ndarray, use: np.ndarray):
         rows = np.flatnonzero(use)
-        rows = rows[np.argsort(shard[rows], kind="stable")]
-        for part in np.split(rows, np.flatnonzero(np.diff(shard[rows])) + 1):
-            if len(part):
-                yield int(shard[part[0]]), part
+        shard = shard[rows]
+        # numbers of 16 bits are put in order by counting
+        order = np.argsort(shard.astype(np.uint16) if int(self.first_part[-1]) <= 1 << 16 else shard, kind="stable")
+        rows, shard = rows[order], shard[order]
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True):
+            yield int(shard[i]), rows[i:j]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of word hashes."""
@@ -135,7 +138,8 @@ class Trie:
             rows, place, word = rows[hit], place[hit], word[hit]
             out["found"][rows] = True
             out["place"][rows] = place
-            out["rank"][rows] = (place - level["pointer"][word].astype(np.int64)) * self.parts[s] + (g - self.first_part[s])
+            own, where = np.unique(word, return_inverse=True)
+            out["rank"][rows] = (place - level["pointer"][own].astype(np.int64)[where]) * self.parts[s] + (g - self.first_part[s])
             out["code"][rows] = level["code"][place]
         return out
 
@@ -204,37 +208,62 @@ def _count_words(batches):
         yield from sent(*merged())
 
 
-def _summed(keys: np.ndarray, third: np.ndarray | None, counts: np.ndarray):
-    """Equal keys (and third parts) merged, in order."""
-    order = np.argsort(keys, kind="stable") if third is None else np.lexsort((third, keys))
-    keys, counts = keys[order], counts[order]
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal keys merged, in order, with the sum of their counts (None: one each)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(_changes(keys))
+    if counts is None:
+        return keys[at], np.diff(at, append=len(keys))
+    return keys[at], np.add.reduceat(counts, at, dtype=np.int64) if len(at) else counts
+
+
+def _changes(keys: np.ndarray) -> np.ndarray:
+    """Where a key differs from the one before it."""
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    if third is not None:
-        third = third[order]
-        new[1:] |= third[1:] != third[:-1]
-        third = third[np.flatnonzero(new)]
-    at = np.flatnonzero(new)
-    return keys[at], third, np.add.reduceat(counts, at, dtype=np.int64) if len(at) else counts
+    return new
+
+
+def _summed_triples(place: np.ndarray, third: np.ndarray, counts: np.ndarray | None, pairs: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal triples merged, in order: the places of their contexts among so many pairs, last words, and the sum of their
+    counts (None: one each).
+    """
+    if pairs * (v + 1) < 1 << 63:  # both in one number
+        keys, n = _summed(place.astype(U64) * U64(v + 1) + third.astype(U64), counts)
+        return (keys // U64(v + 1)).astype(np.int64), (keys % U64(v + 1)).astype(third.dtype), n
+    order = np.lexsort((third, place))
+    place, third = place[order], third[order]
+    at = np.flatnonzero(_changes(place) | _changes(third))
+    n = np.diff(at, append=len(place)) if counts is None else np.add.reduceat(counts[order], at, dtype=np.int64) if len(at) else counts
+    return place[at], third[at], n
 
 
 def _count_grams(batches, trie: Trie):
     """Packed n-grams of a partition, a row for each part: pairs with counts, and triples (pair key, third word) with
     counts."""
     pairs: list[np.ndarray] = []
-    keys: list[np.ndarray] = []
-    thirds: list[np.ndarray] = []
+    follows: list[np.ndarray] = []
     narrow = np.uint32 if trie.v < 1 << 32 else np.int64
 
     def sent():
-        k = np.concatenate(pairs)
-        k, _, c = _summed(k, None, np.ones(len(k), np.int32))
-        h = np.concatenate(keys)
-        h, t, d = _summed(h, np.concatenate(thirds), np.ones(len(h), np.int32))
-        for x in (pairs, keys, thirds):
-            x.clear()
-        # every context of a triple is one of the pairs: the triples under each pair are told by their number
-        children = np.bincount(np.searchsorted(k, h), minlength=len(k))
+        k, use = np.concatenate(pairs), np.flatnonzero(np.concatenate(follows))
+        pairs.clear()
+        follows.clear()
+        order = np.argsort(k)
+        third = (k[use] % U64(trie.v + 1)).astype(narrow)
+        k = k[order]
+        new = _changes(k)
+        at = np.flatnonzero(new)
+        place = np.empty(len(k), np.int64)
+        place[order] = np.cumsum(new) - 1
+        k, c = k[at], np.diff(at, append=len(k))
+        # the context of a triple is the pair before: the triples under each pair are told by their number
+        place, t, d = _summed_triples(place[use - 1], third, None, len(k), trie.v)
+        children = np.bincount(place, minlength=len(k))
         first, second = (k // U64(trie.v + 1)).astype(np.int64), (k % U64(trie.v + 1)).astype(np.int64)
         part = trie.part_of(trie.shard_of(first), second)
         order = np.argsort(part, kind="stable")
@@ -255,10 +284,8 @@ def _count_grams(batches, trie: Trie):
         distinct, at, borders = token_hashes(whole(b.column(0)))
         ids = trie.words(distinct)[0][at]
         before, earlier = _contexts(ids, borders, trie.v)
-        use = earlier >= 0
         pairs.append(before.astype(U64) * U64(trie.v + 1) + ids.astype(U64))
-        keys.append(earlier[use].astype(U64) * U64(trie.v + 1) + before[use].astype(U64))
-        thirds.append(ids[use].astype(narrow))
+        follows.append(earlier >= 0)
         if sum(map(len, pairs)) >= FLUSH:
             yield from sent()
     if pairs:
@@ -283,20 +310,21 @@ def _counts_of(data: pa.Buffer, n: int) -> np.ndarray:
 
 
 def _gathered(table: pa.Table, v: int):
-    """Merged pairs (keys, counts) and triples (pair keys, third words, counts) of a part."""
+    """Merged pairs (keys, counts) and triples (places of their pairs, third words, counts) of a part."""
     narrow = np.dtype(np.uint32 if v < 1 << 32 else np.int64)
-    pairs, pair_n, contexts, thirds, triple_n = [], [], [], [], []
+    pairs, pair_n, children, thirds, triple_n = [], [], [], [], []
     for row in range(table.num_rows):
         data = {name: table[name][row].as_buffer() for name in GRAMS[1:]}
         first, second, third = (np.frombuffer(data[x], narrow) for x in ("first", "second", "third"))
         key = np.repeat(first.astype(U64) * U64(v + 1), _counts_of(data["runs"], len(first))) + second.astype(U64)
         pairs.append(key)
         pair_n.append(_counts_of(data["pair_n"], len(key)).astype(np.int32))
-        contexts.append(np.repeat(key, _counts_of(data["children"], len(key))))
+        children.append(_counts_of(data["children"], len(key)))
         thirds.append(third)
         triple_n.append(_counts_of(data["triple_n"], len(third)).astype(np.int32))
-    keys, _, counts = _summed(np.concatenate(pairs), None, np.concatenate(pair_n))
-    return keys, counts, *_summed(np.concatenate(contexts), np.concatenate(thirds), np.concatenate(triple_n))
+    keys, counts = _summed(np.concatenate(pairs), np.concatenate(pair_n))
+    place = np.concatenate([np.repeat(np.searchsorted(keys, key), n) for key, n in zip(pairs, children, strict=True)])
+    return keys, counts, *_summed_triples(place, np.concatenate(thirds), np.concatenate(triple_n), len(keys), v)
 
 
 def _write_words(table: pa.Table, folder: str) -> pa.Table:
@@ -321,7 +349,7 @@ def _write_pairs(table: pa.Table, trie: Trie) -> pa.Table:
     put(f"{trie.folder}/k-{g}.bin", packed({"kinds": _least(kinds)}))
     put(f"{trie.folder}/p-{g}.bin", packed({"count": _least(counts)}))
     new = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-    place = np.searchsorted(keys, context[new])  # every context of a triple is a pair of this part
+    place = context[new]
     group = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
     sums = np.add.reduceat(n, new) if len(new) else n
     kept = n >= MIN_TRIPLES

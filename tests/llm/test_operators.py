@@ -180,6 +180,39 @@ def test_elias_fano(values, universe, asked):
     assert (at == np.searchsorted(v, asked)).all() and (hit == np.isin(asked, v)).all()
 
 
+def test_elias_fano_searches_each_value_once(monkeypatch):
+    r = np.random.default_rng(3)
+    # runs of equal high parts over several words of the upper bits, and gaps; few and many searches at a time
+    v = np.sort(np.concatenate([r.integers(0, 300, 2000), r.integers(70_000, 10**6, 500), [10**6] * 200]))
+    e = eliasfano.EliasFano(eliasfano.encode(v, 10**6 + 1))
+    for asked in (np.arange(10**6 + 1), r.integers(0, 10**6 + 1, 3), v[r.permutation(len(v))], np.array([10**6, 0, 299, 0])):
+        at, hit = e.successor(asked)
+        assert (at == np.searchsorted(v, asked)).all() and (hit == np.isin(asked, v)).all()
+    place, selected = eliasfano._select_in_word, []
+    monkeypatch.setattr(eliasfano, "_select_in_word", lambda word, rank: selected.append(len(word)) or place(word, rank))
+    e.successor(np.repeat([5, 80_000, 900_000], 1000))
+    assert sum(selected) <= 6  # both borders of three buckets at most
+
+
+def test_select_in_word():
+    r = np.random.default_rng(4)
+    words = np.append(r.integers(0, 1 << 63, 500).astype(U64) & r.integers(0, 1 << 63, 500).astype(U64) << U64(1), [U64(2**64 - 1), U64(1 << 63), U64(1)])
+    for w in words:
+        bits = [i for i in range(64) if int(w) >> i & 1]
+        assert eliasfano._select_in_word(np.full(len(bits), w), np.arange(len(bits))).tolist() == bits
+
+
+def test_summed_triples_of_any_number_of_words():
+    r = np.random.default_rng(5)
+    place, third, n = r.integers(0, 9, 400), r.integers(0, 9, 400).astype(np.uint32), r.integers(1, 5, 400)
+    for counts in (None, n):
+        want = Counter()
+        for a, b, c in zip(place.tolist(), third.tolist(), n.tolist() if counts is not None else [1] * 400, strict=True):
+            want[a, b] += c
+        for v in (10, 1 << 62):  # pairs and words in one number, and beyond that
+            assert [((a, b), c) for a, b, c in zip(*(x.tolist() for x in lm._summed_triples(place, third, counts, 9, v)), strict=True)] == sorted(want.items())
+
+
 def brute_set(t, w):
     x = words((t or "").encode().lower().decode())
     return frozenset([tuple(x)] if 0 < len(x) < w else [tuple(x[k : k + w]) for k in range(len(x) - w + 1)])
