@@ -7,7 +7,8 @@ runs all compatible token chains at once: a hypothesis is (tokens not yet emitte
 state is a set of hypotheses; its successor under a byte is computed once, when first met, and kept. What all
 hypotheses agree on is emitted as soon as one chain is left; the lookahead is bounded by the longest tokens.
 
-Whole pieces that are tokens are emitted as such, as the rank-file libraries do. A null text is an empty one, without
+Short pieces go through the transducer side by side, a byte of each at a time, with the moves in arrays; long ones are
+streamed. Whole pieces that are tokens are emitted as such, as the rank-file libraries do. A null text is an empty one, without
 ids. Repeated rows are coded each, with equal results. Very long texts are read whole: what is held beyond the ids
 themselves is bounded by a text's longest piece and the memos.
 """
@@ -18,6 +19,7 @@ import base64
 import hashlib
 import re
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from .common import annotate, read_table, tuned, whole
 
 #: Kept entries of each memo of a worker (states, pairs, pieces); a full one is emptied, which changes no result.
 STATES, PAIRS, PIECES = 200_000, 400_000, 100_000
+#: Bytes up to which a piece is short; bytes of short pieces that run side by side; characters of texts split at a time.
+SHORT, RUN, GROUP = 256, 1 << 17, 1 << 20
 #: Tokens that a query's streaming decoder takes at a time.
 BLOCK = 2048
 #: No token; and one more than the places of the trie. Both allow ranks and places below 2**24.
@@ -50,6 +54,48 @@ def merge(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class Moves:
+    """Numbers by key in arrays (open addressing), many at a time. Keys are not negative."""
+
+    def __init__(self, slots: int = 1 << 12):
+        self.keys, self.values, self.n = np.full(slots, -1, np.int64), np.zeros(slots, np.int64), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        shift = 64 - (len(self.keys).bit_length() - 1)
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(shift)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where unknown."""
+        slot = self._slot(keys)
+        out = self.values[slot]
+        rest = np.flatnonzero(self.keys[slot] != keys)
+        slot, last = slot[rest], len(self.keys) - 1
+        while len(rest):
+            have = self.keys[slot]
+            same = have == keys[rest]
+            out[rest[same]] = self.values[slot[same]]
+            out[rest[have < 0]] = -1
+            on = ~same & (have >= 0)
+            rest, slot = rest[on], (slot[on] + 1) & last
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.__init__(1 << (4 * len(keys)).bit_length())
+        self.n += len(keys)
+        slot, last = self._slot(keys), len(self.keys) - 1
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & last
+
+
 class Transducer:
     """encode(piece) gives the ids of BPE; states are determinised as bytes call for them.
 
@@ -75,6 +121,8 @@ class Transducer:
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
         self.depth = self._depths()
+        self.length = np.zeros(max(self.tokens) + 1, np.int64)
+        self.length[list(self.tokens)] = [len(x) for x in self.tokens.values()]
         self._restart()
 
     def _restart(self) -> None:
@@ -83,6 +131,7 @@ class Transducer:
         self.number = {start: 0}
         self.states = [start]
         self.moves: dict[int, int] = {}
+        self.many = Moves()
         #: Bytes since the last border that the one chain of a state has, -1 where several are alive.
         self.settled = [-1]
 
@@ -132,7 +181,8 @@ class Transducer:
             self.pairs[key] = known
         return known
 
-    def _move(self, state: int, c: int) -> int:
+    def _move(self, state: int, c: int, keep: bool = False) -> int:
+        """The move of a state under a byte. keep: forget no state, and leave it to the caller to keep the move."""
         live, ended, onward, token, pairs = [], NONE, self.next, self.token, self.pairs
         for hypothesis in self.states[state]:
             last, at = divmod(hypothesis, PLACE)
@@ -152,7 +202,7 @@ class Transducer:
             raise ValueError("the rank file lacks a single byte")
         live.sort()
         target = tuple(live)
-        number, full = self.number.get(target), len(self.states) >= STATES
+        number, full = self.number.get(target), not keep and len(self.states) >= STATES
         if number is None:
             if full:
                 self._restart()
@@ -160,7 +210,7 @@ class Transducer:
             self.states.append(target)
             self.settled.append(self.depth[target[0] % PLACE] if len(target) == 1 else -1)
         out = number << 25 | ended
-        if number < len(self.states) - 1 or not full:  # the state that this move leaves is still known
+        if not keep and (number < len(self.states) - 1 or not full):  # the state that this move leaves is still known
             self.moves[state << 8 | c] = out
         return out
 
@@ -177,6 +227,62 @@ class Transducer:
         known = self.ranks.get(piece)
         return [known] if known is not None else list(self.encode_stream((piece,)))
 
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of short pieces that are not empty, as little-endian unsigned 32-bit integers."""
+        out, i = [], 0
+        while i < len(pieces):
+            j, size = i + 1, len(pieces[i])
+            while j < len(pieces) and size + len(pieces[j]) <= RUN:
+                size += len(pieces[j])
+                j += 1
+            out += self._side_by_side(pieces[i:j])
+            i = j
+        return out
+
+    def _side_by_side(self, pieces: list[bytes]) -> list[bytes]:
+        """States are forgotten before a run only, which adds one for each of its bytes at most."""
+        if len(self.states) >= STATES or self.many.n >= 2 * STATES + RUN:
+            self._restart()
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")  # the pieces that go on are the first ones
+        begin = (np.cumsum(size) - size)[order]
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        going = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
+        ends = np.empty(len(data), np.int64)
+        state = np.zeros(len(pieces), np.int64)
+        for step, n in enumerate(going.tolist()):
+            at = begin[:n] + step
+            key = state[:n] << 8 | data[at]
+            to = self.many.find(key)
+            unknown = np.flatnonzero(to < 0)
+            if len(unknown):
+                new, which = np.unique(key[unknown], return_inverse=True)
+                made = np.array([self._move(k >> 8, k & 255, keep=True) for k in new.tolist()], np.int64)
+                self.many.add(new, made)
+                to[unknown] = made[which]
+            state = to >> 25
+            ends[at] = to & NONE
+        # followed back from the last tokens
+        row, stop, found = np.arange(len(pieces)), begin + size[order], []
+        while len(row):
+            token = ends[stop - 1]
+            found.append((row, token))
+            stop = stop - self.length[token]
+            on = stop > begin[row]
+            row, stop = row[on], stop[on]
+        count = np.zeros(len(pieces), np.int64)
+        for row, _ in found:
+            count[row] += 1
+        borders = np.zeros(len(pieces) + 1, np.int64)
+        count[order] = count.copy()
+        np.cumsum(count, out=borders[1:])
+        last = borders[1:][order] - 1
+        ids = np.empty(int(borders[-1]), "<u4")
+        for back, (row, token) in enumerate(found):
+            ids[last[row] - back] = token
+        packed, cuts = ids.tobytes(), (borders * 4).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode_stream(self, pieces_of_bytes):
         """Tokens of a stream of byte strings (taken as one piece), each emitted once only one chain is left alive.
 
@@ -277,20 +383,53 @@ class Codec:
         self.older: dict[str, bytes] = {}
         self.decoded: dict[int, bytes] = self.fst.tokens
 
-    def _piece(self, piece: str) -> bytes:
+    def _learn(self, new: set[str]) -> None:
+        """Put pieces into the memo."""
+        ranks, short = self.fst.ranks, {}
+        for p in new:
+            out = self.older.get(p)
+            if out is None:
+                data = p.encode()
+                rank = ranks.get(data)
+                if rank is None and len(data) <= SHORT:
+                    short[p] = data
+                    continue
+                ids = self.fst.encode(data) if rank is None else [rank]
+                out = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces[p] = out
+        self.pieces.update(zip(short, self.fst.encode_many(list(short.values())), strict=True))
+
+    def _joined(self, groups: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces, all of which stay in the memo meanwhile."""
         if len(self.pieces) >= PIECES:
             self.pieces, self.older = {}, self.pieces
-        out = self.older.get(piece)
-        if out is None:
-            ids = self.fst.encode(piece.encode())
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        self.pieces[piece] = out
+        self._learn(set().union(*groups) - self.pieces.keys())
+        return [b"".join(map(self.pieces.__getitem__, found)) for found in groups]
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. Texts are taken together up to GROUP characters,
+        longer ones in blocks of pieces.
+        """
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            if len(texts[len(out)]) > GROUP:
+                pieces, parts = (m[0] for m in self.pattern.finditer(texts[len(out)])), []
+                while block := list(islice(pieces, GROUP >> 2)):
+                    parts += self._joined([block])
+                out.append(b"".join(parts))
+                continue
+            group, size = [], 0
+            for t in islice(texts, len(out), None):
+                size += len(t)
+                if size > GROUP:
+                    break
+                group.append(self.pattern.findall(t))
+            out += self._joined(group)
         return out
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        make = self._piece
-        return b"".join([self.pieces.get(p) or make(p) for p in self.pattern.findall(text)])
+        return self.pack([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
@@ -325,7 +464,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
 
     def work(b):
         c = codec(path, pattern)
-        packed = [c.encode_packed(t) for t in whole(b.column(b.schema.get_field_index(text_col))).to_pylist()]
+        packed = c.pack(whole(b.column(b.schema.get_field_index(text_col))).to_pylist())
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))]
 
@@ -353,8 +492,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     def work(b):
         c = codec(path, pattern)
         n, a, d = [], [], []
-        for t in whole(b.column(b.schema.get_field_index(text_col))).to_pylist():
-            packed = c.encode_packed(t)
+        for packed in c.pack(whole(b.column(b.schema.get_field_index(text_col))).to_pylist()):
             n.append(len(packed) // 4)
             a.append(hashlib.sha256(packed).hexdigest())
             decoded = hashlib.sha256()

@@ -581,6 +581,30 @@ def test_bpe_stream_and_restart(monkeypatch):
         assert list(fst.encode_stream([piece[:5], piece[5:]])) == want
 
 
+def test_bpe_short_pieces_run_side_by_side(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("theingaosrx é日\n") for _ in range(r.randint(0, 400))) for _ in range(40)] + ["", "zq" * 400, "xqj" * 30]
+    want = [np.array(LIBRARY.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    for limits in ({}, {"GROUP": 150, "RUN": 40, "STATES": 60, "PIECES": 20, "SHORT": 9}, {"GROUP": 12, "STATES": 5}):
+        for name, value in limits.items():
+            monkeypatch.setattr(bpe, name, value)
+        made = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+        assert made.pack(texts) == made.pack(texts) == want
+    monkeypatch.undo()
+    made = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(made.fst, "encode_stream", None)  # only long pieces are taken one by one
+    assert [made.encode_packed(t) for t in texts[:40]] == want[:40]
+
+
+def test_bpe_moves():
+    r = np.random.default_rng(6)
+    keys, moves = r.permutation(1 << 40 | np.arange(5000) << 9), bpe.Moves(16)
+    for i in range(0, 5000, 700):
+        assert (moves.find(keys[i : i + 700]) == -1).all()
+        moves.add(keys[i : i + 700], np.arange(i, min(i + 700, 5000)))
+    assert (moves.find(keys) == np.arange(5000)).all() and moves.n == 5000 and (moves.find(keys + 1) == -1).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=30), st.integers(0, 30))
 def test_utf8_machine(data, cut):
